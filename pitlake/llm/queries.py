@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import op6_byte_bpe
 from .exact_dedup import OP4_SQL, op4_exact_dedup
+from .packing import op9_best_fit_packing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_exact_dedup": op4_exact_dedup}
+    return {f.__name__: f for f in (op4_exact_dedup, op6_byte_bpe, op9_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
