@@ -8,11 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op6_byte_bpe
 from .exact_dedup import OP4_SQL, op4_exact_dedup
+from .langid import op8_language_id
 from .packing import op9_best_fit_packing
+from .quality import op5_quality_rules
+from .substring import op1_substring_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_exact_dedup, op6_byte_bpe, op9_best_fit_packing)}
+    return {f.__name__: f for f in (op1_substring_dedup, op4_exact_dedup, op5_quality_rules, op6_byte_bpe, op8_language_id, op9_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
