@@ -5,7 +5,8 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -21,19 +22,42 @@ CAPACITY = 2048
 GROUP_PIECES = 4096
 #: Rounds in which groups with a gap exchange documents.
 ROUNDS = 3
-#: Words whose ids a worker keeps.
+#: Words, and runs of characters between white space, whose ids a worker keeps.
 CACHE_WORDS = 400_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 # Texts of these characters only: NFC leaves them alone and lower-casing maps one to one,
 # so that the tokenizer's split can be done by the standard library. Others go to the tokenizer whole.
-_PLAIN = re.compile("[\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-įı-ɏ]*")
+_PLAIN = re.compile("[\x00-\x1b\x20-\x84\x86-\xb1\xb4-\xb8\xba\xbb\xbf-įı-ɏ]*")
 _WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
 
 
+class _Ids(dict):
+    """Ids by text; what is missing is made and kept, up to a number of entries."""
+
+    def __init__(self, make: Callable[[str], bytes]):
+        self.make = make
+
+    def __missing__(self, text: str) -> bytes:
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        ids = self[text] = self.make(text)
+        return ids
+
+
+def _byte_letters() -> list[str]:
+    """The letter that stands for each byte in byte-level vocabularies: printable Latin-1 is itself, others follow U+0100."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = iter(range(256, 512))
+    return [chr(b) if b in shown else chr(next(others)) for b in range(256)]
+
+
 class WordTokenizer:
-    """Ids of texts as little-endian unsigned 32-bit integers. Each distinct word is encoded once."""
+    """Ids of texts as little-endian unsigned 32-bit integers. Each distinct word is encoded once.
+
+    No token holds white space, so the ids of a run without white space are kept as well as those of its words.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -41,22 +65,22 @@ class WordTokenizer:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
+        model, letters = self.tokenizer.model, _byte_letters()
+
+        def word(w: str) -> bytes:
+            own = w if w.isascii() and w.isprintable() else "".join([letters[b] for b in w.encode()])
+            return array("I", [t.id for t in model.tokenize(own)]).tobytes()
+
+        words = _Ids(word)
+        self.runs = _Ids(lambda run: b"".join([words[w] for w in _WORDS.findall(run)]))
 
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def whole(self, texts: list[str]) -> list[bytes]:
+        """By the library alone."""
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        split = [_WORDS.findall(t.lower()) if _PLAIN.fullmatch(t) else None for t in texts]
-        new = list({w for words in split if words for w in words if w not in self.known})
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            self.known.update(zip(part, self._whole(part), strict=True))
-        odd = iter(self._whole([t for t, words in zip(texts, split, strict=True) if words is None]))
-        get = self.known.__getitem__
-        return [b"".join(map(get, words)) if words is not None else next(odd) for words in split]
+        get = self.runs.__getitem__
+        return [b"".join(map(get, t.lower().split())) if _PLAIN.fullmatch(t) else self.whole([t])[0] for t in texts]
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
