@@ -57,6 +57,16 @@ def _unpack(blob: bytes) -> list[bytes]:
     return [raw[a:b] for a, b in zip(at, at[1:], strict=False)]
 
 
+def _deal(words: set[str], buckets: int) -> dict[int, list[bytes]]:
+    """Distinct words by bucket, sorted: the same on both ways."""
+    dealt: dict[int, list[bytes]] = {}
+    for b in map(str.encode, words):
+        dealt.setdefault(zlib.crc32(b) % buckets, []).append(b)
+    for own in dealt.values():
+        own.sort()
+    return dealt
+
+
 def _chunk_words(pattern: str, plain: bool, buckets: int):
     """Distinct words of each chunk, dealt to buckets by a hash of the word."""
 
@@ -66,18 +76,14 @@ def _chunk_words(pattern: str, plain: bool, buckets: int):
             for chunk, text in zip(part.column("chunk").to_pylist(), part.column("text").to_pylist(), strict=True):
                 found.setdefault(chunk, set()).update(pre.split(text))
         for chunk in list(found):
-            dealt: dict[int, list[bytes]] = {}
-            for w in found.pop(chunk):
-                b = w.encode()
-                dealt.setdefault(zlib.crc32(b) % buckets, []).append(b)
-            keys = list(dealt)
-            blobs = [_pack(sorted(dealt[k])) for k in keys]
+            dealt = _deal(found.pop(chunk), buckets)
+            keys, blobs = list(dealt), list(map(_pack, dealt.values()))
             yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(keys), pa.int64()), pa.array(keys, pa.int64()), pa.array(blobs, pa.binary())], names=["chunk", "bucket", "words"])
 
     return run
 
 
-def _encode_words(ranks_path: str, pattern: str):
+def _encode_words(ranks_path: str, pattern: str, kind: str):
     """Encode each distinct word of a bucket once, for all chunks that have it. Rows come sorted by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,9 +100,9 @@ def _encode_words(ranks_path: str, pattern: str):
                 parts = _unpack(words)
                 for w in parts:
                     if w not in ids:
-                        ids[w] = np.array(encode(w.decode()), dtype="<u4").tobytes()
+                        ids[w] = np.array(encode(w.decode()), dtype=kind).tobytes()
                 out.append(_pack([ids[w] for w in parts]))
-            yield pa.RecordBatch.from_arrays([batch.column("chunk"), batch.column("words"), pa.array(out, pa.binary())], names=["chunk", "words", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column("chunk"), batch.column("bucket"), pa.array(out, pa.binary())], names=["chunk", "bucket", "ids"])
 
     return run
 
@@ -105,29 +111,35 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, each: Calla
     """Each document's token ids (little-endian unsigned 32-bit, `ids`), or what `each(ids)` makes of them, as `fields`.
 
     Documents are dealt to chunks of about `chunk_bytes` by a hash. The distinct pre-tokens of each chunk go to
-    buckets by word; a bucket encodes each of its words once and sends the ids back to the chunks, where the
-    documents' pre-tokens, in their order, take them up. A chunk holds each word once, so a frequent word is
+    buckets by word; a bucket encodes each of its words once and sends the ids back to the chunks, in the order
+    of the chunk's sorted words, and the documents' pre-tokens, in their order, take them up. A chunk holds each word once, so a frequent word is
     no hot key. A null text counts as empty; repeated rows are encoded each. `plain`: the pattern is the one
     that the standard library's fast form equals.
     """
     n = parts_for(text_bytes(docs), chunk_bytes)
+    kind = "<u2" if max(read_ranks(ranks_path).values()) < 1 << 16 else "<u4"
     text = F.coalesce(F.col("text"), F.lit(""))
     dealt = docs.select("doc_id", text.alias("text"), F.pmod(F.xxhash64("doc_id", text), F.lit(n)).alias("chunk")).repartition(n, "chunk")
     words = dealt.mapInArrow(_chunk_words(pattern, plain, n), "chunk long, bucket long, words binary")
-    encoded = words.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_encode_words(ranks_path, pattern), "chunk long, words binary, ids binary")
+    encoded = words.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_encode_words(ranks_path, pattern, kind), "chunk long, bucket long, ids binary")
     names = [f.split()[0] for f in fields.split(", ")]
 
     def join(rows: pa.Table, table: pa.Table) -> pa.Table:
-        ids: dict[str, bytes] = {}
-        for words_, ids_ in zip(table.column("words").to_pylist(), table.column("ids").to_pylist(), strict=True):
-            ids.update(zip([w.decode() for w in _unpack(words_)], _unpack(ids_), strict=True))
-        pre, get, out = PreTokenizer(pattern, plain), ids.__getitem__, []
+        pre, ids, words, out = PreTokenizer(pattern, plain), {}, set(), []
+        parts = list(slices(iter(rows.select(["text"]).to_batches())))
+        for part in parts:
+            for text_ in part.column("text").to_pylist():
+                words.update(pre.split(text_))
+        dealt_ = _deal(words, n)
+        for bucket, blob in zip(table.column("bucket").to_pylist(), table.column("ids").to_pylist(), strict=True):
+            wide = [np.frombuffer(x, kind).astype("<u4").tobytes() for x in _unpack(blob)] if kind != "<u4" else _unpack(blob)
+            ids.update(zip(map(bytes.decode, dealt_.pop(bucket)), wide, strict=True))
+        get = ids.__getitem__
         doc_ids = rows.column("doc_id")
-        for batch in rows.select(["text"]).to_batches():
-            for part in slices(iter([batch])):
-                for text_ in part.column("text").to_pylist():
-                    own = b"".join(map(get, pre.split(text_)))
-                    out.append(each(own) if each else (own,))
+        for part in parts:
+            for text_ in part.column("text").to_pylist():
+                own = b"".join(map(get, pre.split(text_)))
+                out.append(each(own) if each else (own,))
         cols = list(zip(*out, strict=True)) or [[]] * len(names)
         kinds = {"binary": pa.binary(), "string": pa.string(), "long": pa.int64()}
         return pa.table({"doc_id": doc_ids} | {k: pa.array(c, kinds[f.split()[1]]) for k, c, f in zip(names, cols, fields.split(", "), strict=True)})
