@@ -22,7 +22,7 @@ LONGEST = 256
 #: Text bytes whose super-k-mers are packed together, and packed bytes of a bucket.
 CHUNK_BYTES, BUCKET_BYTES = 32 << 20, 12 << 20
 #: Bytes whose hashes are computed at once.
-STEP = 2 << 20
+STEP = 1 << 19
 #: Stands for a null doc_id: larger than any other.
 LAST = np.iinfo(np.int64).max
 
@@ -34,22 +34,26 @@ def _bytes_table() -> np.ndarray:
     return mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(_ODD[2]))
 
 
-@cache
+_held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
 def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number and of its inverse modulo 2 ** 64."""
+    """At least n powers of an odd number and of its inverse modulo 2 ** 64; the longest made are kept."""
 
-    def run(b: int) -> np.ndarray:
-        a = np.full(n, b, dtype=np.uint64)
+    def run(b: int, m: int) -> np.ndarray:
+        a = np.full(m, b, dtype=np.uint64)
         a[0] = 1
         return np.multiply.accumulate(a)
 
-    return run(base), run(pow(base, -1, 1 << 64))
+    if base not in _held or len(_held[base][0]) < n:
+        m = 1 << max(10, n.bit_length())
+        _held[base] = run(base, m), run(pow(base, -1, 1 << 64), m)
+    return _held[base]
 
 
 def _ranges_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
     """Hashes of values[start:end], the same wherever the values stand."""
-    n = 1 << max(10, len(values).bit_length())
-    up, down = _powers(base, n)
+    up, down = _powers(base, len(values) + 1)
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * up[: len(values)], dtype=np.uint64)])
     return mix64((sums[ends] - sums[starts]) * down[starts])
 
