@@ -8,7 +8,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import mix64, save, slices
@@ -20,10 +20,8 @@ BANDS, ROWS = 24, 4
 K = BANDS * ROWS
 #: Nodes of a bucket beyond which it is replaced by buckets of FINE coordinates each, in FINES choices.
 LARGE, FINE, FINES = 16, 8, 120
-#: Members of a bucket that are compared with the others in one round.
-PIVOTS = 4
-#: Share of equal coordinates under which a pair at 0.8 lies with probability 3e-5.
-LIKELY = 0.62
+#: Nodes and shingles of a block of a family.
+BLOCK, BLOCK_SHINGLES = 2048, 4_000_000
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
@@ -141,33 +139,88 @@ def _fine_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for c in range(FINE):
                 keys = mix64(keys * _A + own[:, _choices()[:, c]] + np.arange(1, FINES + 1, dtype=np.uint64) * _C)
             take = pa.array(np.repeat(np.arange(at, at + len(own)), FINES))
-            yield pa.RecordBatch.from_arrays([batch.column("node").take(take), batch.column("n").take(take), pa.array(keys.view(np.int64).ravel())], names=["node", "n", "key"])
+            yield pa.RecordBatch.from_arrays([batch.column("node").take(take), pa.array(keys.view(np.int64).ravel())], names=["node", "key"])
 
 
-def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if batch.num_rows:
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint16).reshape(-1, K) for c in ("x", "y"))
-            yield batch.filter(pa.array((a == b).mean(axis=1) >= LIKELY)).select(["a", "b"])
+class _Forest:
+    """Union-find over 0..n-1 whose roots are the smallest members."""
+
+    def __init__(self, n: int):
+        self.up = list(range(n))
+
+    def find(self, x: int) -> int:
+        while self.up[x] != x:
+            self.up[x] = self.up[self.up[x]]
+            x = self.up[x]
+        return x
+
+    def join(self, x: int, y: int) -> None:
+        x, y = self.find(x), self.find(y)
+        self.up[max(x, y)] = min(x, y)
+
+
+def linked(sets: list[np.ndarray], similarity: float) -> list[int]:
+    """For each set of distinct numbers the first set of its component, where sets with a Jaccard similarity of
+    `similarity` or more are linked.
+
+    The intersections of one set with all others are counted by posting lists. The set with most shared numbers
+    goes first; of the largest component that it leaves, no other set needs its own turn.
+    """
+    g = len(sets)
+    size = np.fromiter(map(len, sets), dtype=np.int64, count=g)
+    owner = np.repeat(np.arange(g), size)
+    _, number = np.unique(np.concatenate(sets), return_inverse=True)
+    order = np.argsort(number, kind="stable")
+    lists, uses = owner[order], np.bincount(number)
+    begin = np.cumsum(uses) - uses
+    ends = np.cumsum(size)
+    forest, done = _Forest(g), np.zeros(g, dtype=bool)
+
+    def turn(i: int) -> None:
+        own = number[ends[i] - size[i] : ends[i]]
+        n = uses[own]
+        at = np.repeat(begin[own] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        both = np.bincount(lists[at], minlength=g)
+        for j in np.flatnonzero(both >= similarity * (size + size[i] - both) - 1e-9).tolist():
+            forest.join(i, j)
+        done[i] = True
+
+    shared = np.add.reduceat(uses[number], ends - size)
+    turn(int(shared.argmax()))
+    while True:
+        roots = np.array([forest.find(i) for i in range(g)])
+        largest = np.bincount(roots).argmax()
+        rest = np.flatnonzero(~done & (roots != largest))
+        if not len(rest):
+            return roots.tolist()
+        for i in rest[:64].tolist():
+            turn(i)
+
 
+def _link_groups(similarity: float):
+    """Rows come sorted by group; a row for each node whose component in the group has another, with the first of it."""
 
-def _verify(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            same = []
-            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                a, b = (np.frombuffer(v.as_buffer(), dtype=np.uint32) for v in (x, y))
-                both = len(a) + len(b) - len(np.union1d(a, b))
-                same.append(both >= least * (len(a) + len(b) - both) - 1e-9)
-            yield batch.filter(pa.array(same, pa.bool_())).select(["a", "b"])
+        now, nodes, sets = None, [], []
 
-    return run
+        def send() -> Iterator[pa.RecordBatch]:
+            if len(nodes) > 1:
+                first = linked(sets, similarity)
+                at = [i for i, r in enumerate(first) if r != i]
+                if at:
+                    yield pa.RecordBatch.from_arrays([pa.array([nodes[i] for i in at], pa.binary()), pa.array([nodes[first[i]] for i in at], pa.binary())], names=["a", "b"])
 
+        for batch in batches:
+            for group, node, blob in zip(*(batch.column(c).to_pylist() for c in ("group", "node", "shingles")), strict=True):
+                if group != now:
+                    yield from send()
+                    now, nodes, sets = group, [], []
+                if not nodes or node != nodes[-1]:
+                    nodes.append(node)
+                    sets.append(np.frombuffer(blob, dtype=np.uint32))
+        yield from send()
 
-def _with_payload(pairs: DataFrame, nodes: DataFrame, column: str) -> DataFrame:
-    x = nodes.select(F.col("node").alias("a"), F.col(column).alias("x"))
-    y = nodes.select(F.col("node").alias("b"), F.col(column).alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y")
+    return run
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -185,74 +238,58 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _merge(labels: DataFrame | None, edges: DataFrame) -> DataFrame:
-    """Labels after further edges: the edges between components are contracted first."""
-    if labels is None:
-        return components(edges)
-    a = labels.select(F.col("node").alias("a"), F.col("label").alias("la"))
-    b = labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
-    between = edges.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).where("a <> b").distinct()
-    joined = components(between).select(F.col("node").alias("old"), F.col("label").alias("new"))
-    kept = labels.join(joined, labels.label == joined.old, "left").select("node", F.coalesce("new", "label").alias("label"))
-    return save(kept.union(joined.select(F.col("old").alias("node"), F.col("new").alias("label"))).distinct(), "labels")
+def _buckets(members: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+    """(key, node) of buckets with two to `least` nodes, and of larger ones."""
+    size = members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    shared = save(members.join(size, "key"), "buckets")
+    return shared.where(F.col("size") <= least).select("key", "node"), shared.where(F.col("size") > least).select("key", "node")
 
 
-def _large(buckets: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
-    """Buckets of two nodes up to `least`, and the nodes of larger ones."""
-    size = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    shared = save(buckets.join(size, "key"), "buckets")
-    return shared.where(F.col("size") <= least), shared.where(F.col("size") > least)
+def families(sketched: DataFrame) -> DataFrame | None:
+    """node, family for nodes (distinct shingle sets) that share a bucket with another, directly or by way of others.
+
+    Two sets at 0.8 share a band with probability 1 - 3e-6. Bands with more than LARGE nodes are replaced by
+    buckets of more coordinates, which dissimilar texts with a common passage do not share.
+    """
+    some = sketched.where("node IS NOT NULL")
+    small, large = _buckets(some.select("node", F.explode("keys").alias("key")).distinct(), LARGE)
+    hot = large.select("node").distinct().join(some.groupBy("node").agg(F.min("doc_id").alias("doc_id")), "node")
+    fine = some.select("node", "doc_id", "sketch").join(hot.withColumnRenamed("node", "h"), (F.col("node") == F.col("h")) & some.doc_id.eqNullSafe(hot.doc_id), "left_semi")
+    fine = fine.dropDuplicates(["node"]).select("node", "sketch").mapInArrow(_fine_keys, "node binary, key long").distinct()
+    members = small.unionByName(_buckets(fine, 1 << 62)[0])
+    first = members.groupBy("key").agg(F.min("node").alias("first"))
+    stars = members.join(first, "key").select("node", "first").distinct()
+    # contracted: a node goes with the least first of its buckets, and that is linked to the others
+    own = save(stars.groupBy("node").agg(F.min("first").alias("own")), "own")
+    if not own.limit(1).count():
+        return None
+    between = stars.join(own, "node").where("own <> first").select(F.col("own").alias("a"), F.col("first").alias("b")).distinct()
+    labels = components(between)
+    return save(own.join(labels.withColumnRenamed("node", "own"), "own", "left").select("node", F.coalesce("label", "own").alias("family")), "families")
 
 
 def link(sketched: DataFrame, similarity: float = SIMILARITY) -> DataFrame | None:
-    """node, label for nodes (distinct shingle sets) with a link, None if there is none.
+    """node, label for nodes with a link, None if there is none.
 
-    Nodes that share a band are candidates. In each bucket the most central members (those whose buckets hold
-    most nodes) are compared with all others, PIVOTS at a time, until the bucket lies in one component or each
-    member has had its turn; no pair of one component is compared again. Buckets with more than LARGE nodes are
-    first replaced by buckets of more coordinates, which dissimilar texts with a common passage do not share.
+    Candidates are the members of a family. A family is cut by hash into blocks of at most about BLOCK nodes and
+    BLOCK_SHINGLES shingles, and each two of its blocks (a family of one block: itself) are compared in a task,
+    which returns the components of their links; together these are the components of all links.
     """
-    nodes = save(sketched.where("node IS NOT NULL").dropDuplicates(["node"]).select("node", "n", "sketch", "shingles"), "nodes")
-    bands = sketched.where("node IS NOT NULL").select("node", "n", F.explode("keys").alias("key")).distinct()
-    small, large = _large(bands, LARGE)
-    hot = large.select("node").distinct()
-    fine = nodes.join(hot, "node", "left_semi").select("node", "n", "sketch").mapInArrow(_fine_keys, "node binary, n int, key long").distinct()
-    all_ = small.unionByName(_large(fine, 1 << 62)[0])
-    central = all_.groupBy("node").agg(F.sum("size").alias("pop"))
-    open_ = save(all_.join(central, "node"), "open")
-    labels = tested = None
-    turn = 0
-    while True:
-        top = Window.partitionBy("key").orderBy(F.desc("pop"), "node")
-        pivots = open_.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= PIVOTS)
-        pivots = pivots.select("key", F.col("node").alias("pivot"), F.col("n").alias("pn"), F.col("pop").alias("pp"), *([F.col("label").alias("pl")] if labels is not None else []))
-        pairs = open_.join(pivots, "key").where((F.col("pp") > F.col("pop")) | ((F.col("pp") == F.col("pop")) & (F.col("pivot") < F.col("node"))))
-        pairs = pairs.where(F.least("n", "pn") >= similarity * F.greatest("n", "pn") - 1e-9)
-        if labels is not None:
-            pairs = pairs.where("label <> pl")
-        pairs = pairs.select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = save(pairs, "pairs")
-        tested = pairs if tested is None else tested.union(pairs)
-        likely = save(_with_payload(pairs, nodes, "sketch").mapInArrow(_likely, "a binary, b binary"), "likely")
-        sure = save(_with_payload(likely, nodes, "shingles").mapInArrow(_verify(similarity), "a binary, b binary"), "sure")
-        if sure.limit(1).count():
-            labels = _merge(labels, sure)
-        # members that have had their turn leave as pivots; a bucket in one component is done
-        ranked = open_.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= PIVOTS).select("key", "node")
-        rest = open_.select("key", "node", "n", "pop").join(ranked, ["key", "node"], "left_anti")
-        if labels is not None:
-            rest = rest.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        else:
-            rest = rest.withColumn("label", F.col("node"))
-        spread = rest.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-        open_ = save(rest.join(spread, "key", "left_semi"), "open")
-        if labels is None:
-            open_ = open_.drop("label")
-        turn += 1
-        if not open_.limit(1).count():
-            return labels
+    found = families(sketched)
+    if found is None:
+        return None
+    reps = sketched.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"))
+    sized = found.join(reps, "node")
+    blocks = sized.groupBy("family").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    blocks = found.groupBy("family").agg(F.count(F.lit(1)).alias("nodes")).join(blocks, "family").where("nodes > 1")
+    mine = sized.join(blocks, "family").select("node", "least", "family", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
+    placed = mine.select("node", "least", "family", "blocks", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).where("blocks = 1 OR other <> block")
+    lo, hi = F.least("block", "other"), F.greatest("block", "other")
+    placed = placed.select("node", "least", F.concat("family", F.encode(F.format_string("/%d/%d", lo, hi), "utf-8")).alias("group"))
+    payload = sketched.where("node IS NOT NULL").select(F.col("node").alias("n_"), "doc_id", "shingles")
+    rows = placed.join(payload, (F.col("node") == F.col("n_")) & F.col("least").eqNullSafe(F.col("doc_id"))).select("group", "node", "shingles")
+    edges = save(rows.repartition("group").sortWithinPartitions("group", "node").mapInArrow(_link_groups(similarity), "a binary, b binary"), "links")
+    return components(edges) if edges.limit(1).count() else None
 
 
 def near_classes(docs: DataFrame, similarity: float = SIMILARITY, weights: str = "set") -> DataFrame:
