@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op6_byte_bpe
 from .exact_dedup import OP4_SQL, op4_exact_dedup
+from .html_text import op7_html_text
 from .langid import op8_language_id
 from .lattice import op2_lattice_scores
 from .neardup import op10_near_dedup
@@ -18,7 +19,7 @@ from .substring import op1_substring_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_lattice_scores, op3_pseudonyms, op4_exact_dedup, op5_quality_rules, op6_byte_bpe, op8_language_id, op9_best_fit_packing, op10_near_dedup)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_lattice_scores, op3_pseudonyms, op4_exact_dedup, op5_quality_rules, op6_byte_bpe, op7_html_text, op8_language_id, op9_best_fit_packing, op10_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
