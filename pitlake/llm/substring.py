@@ -20,7 +20,7 @@ WINDOW, MINIMISER = 50, 4
 #: Windows of one super-k-mer at most; a longer run is cut into several.
 LONGEST = 256
 #: Text bytes whose super-k-mers are packed together, and packed bytes of a bucket.
-CHUNK_BYTES, BUCKET_BYTES = 32 << 20, 12 << 20
+CHUNK_BYTES, BUCKET_BYTES = 16 << 20, 8 << 20
 #: Bytes whose hashes are computed at once.
 STEP = 1 << 19
 #: Stands for a null doc_id: larger than any other.
@@ -61,9 +61,10 @@ def _ranges_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base:
 class Words:
     """Words of several texts, joined by one space: bytes, places and hashes."""
 
-    def __init__(self, parts: list[list[bytes]]):
-        self.counts = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
-        self.joined = b" ".join([b" ".join(p) for p in parts if p])
+    def __init__(self, parts: list[bytes]):
+        """parts: texts whose words are joined by one space already; an empty one has no words."""
+        self.counts = np.fromiter((p.count(b" ") + 1 if p else 0 for p in parts), dtype=np.int64, count=len(parts))
+        self.joined = b" ".join([p for p in parts if p])
         raw = np.frombuffer(self.joined, dtype=np.uint8)
         gaps = np.flatnonzero(raw == 32)
         full = len(raw) > 0
@@ -128,7 +129,7 @@ def _ids(column: pa.Array) -> np.ndarray:
 
 
 def _words_of(part: pa.RecordBatch) -> Words:
-    return Words([t.split() for t in part.column("text").cast(pa.binary()).to_pylist()])
+    return Words([b" ".join(t.split()) for t in part.column("text").cast(pa.binary()).to_pylist()])
 
 
 def _pack_chunks(window: int, buckets: int):
@@ -143,7 +144,7 @@ def _pack_chunks(window: int, buckets: int):
             for (one, two), (bucket, doc, several, packed) in found.items():
                 dealt.setdefault(bucket, []).append((one, two, doc, several, packed))
             found.clear()
-            squeeze = zstandard.ZstdCompressor(3)
+            squeeze = zstandard.ZstdCompressor(5)
             blobs = []
             for rows in dealt.values():
                 one, two, doc, several, packed = zip(*rows, strict=True)
@@ -151,7 +152,7 @@ def _pack_chunks(window: int, buckets: int):
                 blobs.append(squeeze.compress(np.array([len(rows)], "<i8").tobytes() + head.tobytes() + b"".join(packed)))
             yield pa.RecordBatch.from_arrays([pa.array(list(dealt), pa.int64()), pa.array(blobs, pa.binary())], names=["bucket", "packed"])
 
-        for part in slices(batches, most=4 << 20):
+        for part in slices(batches, most=2 << 20):
             words, docs = _words_of(part), _ids(part.column("doc_id"))
             first, size, low, one, two, text = super_kmers(words, window)
             begin, end = words.starts[first].tolist(), words.ends[first + size + window - 2].tolist()
@@ -203,7 +204,8 @@ def _count_bucket(blobs: list[bytes], window: int) -> tuple[list, list, list, li
     at = np.flatnonzero(new)
     several = (np.maximum.reduceat(several, at) > 0) | (np.maximum.reduceat(doc, at) != doc[at])
     one, two, doc = one[at], two[at], doc[at]
-    words = Words([texts[i].split(b" ") for i in order[at].tolist()])
+    words = Words([texts[i] for i in order[at].tolist()])
+    del texts, heads
     base = np.cumsum(words.counts) - words.counts
     size = words.counts - window + 1
     run = np.repeat(np.arange(len(at)), size)
@@ -264,7 +266,7 @@ def _find_runs(window: int):
     """Where each text has its super-k-mers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, most=4 << 20):
+        for part in slices(batches, most=2 << 20):
             words = _words_of(part)
             first, _, _, one, two, text = super_kmers(words, window)
             base = np.cumsum(words.counts) - words.counts
@@ -305,7 +307,7 @@ _CUT = "doc_id long, n_words long, n_removed long, kept string"
 
 def _cut(digest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
+        for part in slices(batches, most=2 << 20):
             rows = []
             for doc_id, text, first, end in zip(*(part.column(c).to_pylist() for c in ("doc_id", "text", "first", "end")), strict=True):
                 words = text.encode().split()
