@@ -45,6 +45,35 @@ CTE: dict[str, tuple[tuple[str, ...], str]] = {
         SELECT b.*, EXISTS (SELECT 1 FROM intervals i WHERE i.security_id = b.security_id AND b.date >= i.start_date
                             AND (i.end_is_open OR b.date <= i.end_date)) AS in_index, cal.is_month_end
         FROM ibars b JOIN cal USING (date)"""),
+    "dense": (("cal",), """
+        SELECT b.*, c.session_index, c.is_month_end, (security_id + month(b.date)) % 4 <> 0 AS in_index, 0.0005 * (1 + security_id % 3) AS half_spread,
+               CASE WHEN count(close * volume) OVER w >= 10 THEN quantile_cont(close * volume, 0.5) OVER w END AS dollar_volume
+        FROM (SELECT s AS security_id, d AS date, max(CASE WHEN a = 1 THEN px END) AS open, max(px) AS high, min(px) AS low,
+                     max(CASE WHEN z = 1 THEN px END) AS close, sum(q) AS volume
+              FROM (SELECT *, row_number() OVER (PARTITION BY s, d ORDER BY o, n, p, e, q, u) a,
+                              row_number() OVER (PARTITION BY s, d ORDER BY o DESC, n DESC, p DESC, e DESC, q DESC, u DESC) z
+                    FROM (SELECT l_suppkey % 10 s, l_suppkey u, CAST(l_shipdate AS DATE) d, l_extendedprice / l_quantity px, l_quantity q,
+                                 l_orderkey o, l_linenumber n, l_partkey p, l_extendedprice e FROM lineitem))
+              GROUP BY s, d) b JOIN cal c USING (date)
+        WINDOW w AS (PARTITION BY security_id ORDER BY c.session_index RANGE BETWEEN 19 PRECEDING AND CURRENT ROW)"""),
+    "rets": (("dense",), """
+        SELECT d.*, m.mkt FROM (SELECT *, CASE WHEN lag(session_index) OVER w = session_index - 1 THEN close / lag(close) OVER w - 1 END AS ret,
+                   CASE WHEN lag(session_index) OVER w = session_index - 1 THEN ln(open / lag(close) OVER w) END AS leg_on, ln(close / open) AS leg_id
+              FROM dense WINDOW w AS (PARTITION BY security_id ORDER BY session_index)) d
+        LEFT JOIN (SELECT session_index, CASE WHEN count(ret) >= 3 THEN avg(ret) END AS mkt
+                   FROM (SELECT *, CASE WHEN lag(session_index) OVER w = session_index - 1 THEN close / lag(close) OVER w - 1 END AS ret
+                         FROM dense WINDOW w AS (PARTITION BY security_id ORDER BY session_index)) WHERE in_index GROUP BY session_index) m USING (session_index)"""),
+    "resids": (("rets",), """
+        SELECT *, ret - beta * mkt AS resid FROM (
+          SELECT *, CASE WHEN n >= 63 AND vm > 0 THEN (xy - x * y) / vm END AS beta,
+                 CASE WHEN n >= 63 AND vm > 0 AND vr > 0 THEN greatest(least((xy - x * y) / sqrt(vm * vr), 1), -1) END AS corr,
+                 CASE WHEN nr >= 63 THEN sd * sqrt(252) END AS vol_126d
+          FROM (SELECT *, count(ret * mkt) OVER w AS n, avg(ret * mkt) OVER w AS xy, avg(CASE WHEN mkt IS NOT NULL THEN ret END) OVER w AS x,
+                       avg(CASE WHEN ret IS NOT NULL THEN mkt END) OVER w AS y, avg(mkt * mkt) OVER w - pow(avg(mkt) OVER w, 2) AS vm,
+                       avg(CASE WHEN mkt IS NOT NULL THEN ret * ret END) OVER w - pow(avg(CASE WHEN mkt IS NOT NULL THEN ret END) OVER w, 2) AS vr,
+                       count(ret) OVER v AS nr, stddev_samp(ret) OVER v AS sd
+                FROM rets WINDOW w AS (PARTITION BY security_id ORDER BY session_index RANGE BETWEEN 251 PRECEDING AND CURRENT ROW),
+                                 v AS (PARTITION BY security_id ORDER BY session_index RANGE BETWEEN 125 PRECEDING AND CURRENT ROW)))"""),
     "curves": (("bars",), """
         SELECT run_id, date, avg(p) OVER (PARTITION BY run_id ORDER BY date ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS nav
         FROM (SELECT security_id % 5 AS run_id, date, avg(close) AS p FROM bars GROUP BY ALL)"""),

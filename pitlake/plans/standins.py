@@ -101,3 +101,25 @@ def curves(spark: SparkSession, sf_dir: str) -> DataFrame:
     mean = b.groupBy(F.pmod("security_id", F.lit(5)).cast("long").alias("run_id"), "date").agg(F.avg("close").alias("p"))
     w = Window.partitionBy("run_id").orderBy("date")
     return mean.select("run_id", "date", (F.avg("p").over(w.rowsBetween(-9, 0))).alias("nav"))
+
+
+def dense_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten securities with bars on nearly all sessions: bars of suppliers modulo 10, session_index, is_month_end, in_index
+    (by id and month), dollar_volume (trailing median) and half_spread."""
+    px = F.col("l_extendedprice") / F.col("l_quantity")
+    key = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity", "l_suppkey")
+    b = (
+        table(spark, sf_dir, "lineitem")
+        .groupBy(F.pmod("l_suppkey", F.lit(10)).alias("security_id"), F.col("l_shipdate").cast("date").alias("date"))
+        .agg(F.min_by(px, key).alias("open"), F.max(px).alias("high"), F.min(px).alias("low"), F.max_by(px, key).alias("close"), F.sum("l_quantity").alias("volume"))
+    )
+    b = b.join(F.broadcast(calendar(spark, sf_dir).select("date", "session_index", "is_month_end")), "date")
+    value = F.col("close") * F.col("volume")
+    w = Window.partitionBy("security_id").orderBy("session_index").rangeBetween(-19, 0)
+    return b.withColumns(
+        {
+            "in_index": (F.col("security_id") + F.month("date")) % 4 != 0,
+            "dollar_volume": F.when(F.count(value).over(w) >= 10, F.percentile(value, F.lit(0.5)).over(w)),
+            "half_spread": 0.0005 * (1 + F.col("security_id") % 3),
+        }
+    )
