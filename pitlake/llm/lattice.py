@@ -212,6 +212,19 @@ def _score(frequent: object):
     return run
 
 
+def commonest(words: DataFrame, most: int) -> int:
+    """The least count from which on there are at most `most` words, on a scale of eight steps an octave."""
+    step = F.floor(8 * F.log2("c")).cast("int")
+    hist = words.where("c > 0").groupBy(step.alias("k")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("k")).collect()
+    total, least = 0, None
+    for r in hist:
+        total += r.n
+        if total > most:
+            break
+        least = r.k
+    return 1 << 62 if least is None else int(np.ceil(2 ** (least / 8) - 1e-9))
+
+
 def score_texts(docs: DataFrame, learn: Column, vocabulary_path: str, frequent: int = FREQUENT) -> DataFrame:
     """A row per document: doc_id, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -249,7 +262,7 @@ def score_texts(docs: DataFrame, learn: Column, vocabulary_path: str, frequent:
 
     known = (F.col("c") > 0).cast("long")
     scored = found.select("word", known.alias("k"), base(F.col("c")).alias("b"), model(F.col("c"), F.col("q")).alias("s"))
-    top = found.orderBy(F.desc("c"), "word").limit(frequent).select("word", known.alias("k"), base(F.col("c")).alias("b"), model(F.col("c"), F.col("q")).alias("s")).toPandas()
+    top = found.where(F.col("c") >= commonest(found, frequent)).select("word", known.alias("k"), base(F.col("c")).alias("b"), model(F.col("c"), F.col("q")).alias("s")).toPandas()
     sent = spark.sparkContext.broadcast(([w.encode() for w in top["word"]], top[["k", "b", "s"]].to_numpy(dtype=np.float64)))
     rows = texts.select("doc_id", "text", F.xxhash64("text").alias("row")).mapInArrow(_score(sent), "word string, doc_id long, row long, times long, n_tokens long, known long, base double, score double")
     doc = F.col("word").startswith("\n")
