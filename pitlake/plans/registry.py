@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pitlake.operators import pit
-from pitlake.plans import q_lake, q_price
+from pitlake.plans import q_fundamental, q_lake, q_price
 from pitlake.plans import standins as S
 
-MODULES = (q_lake, q_price)
+MODULES = (q_lake, q_price, q_fundamental)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
