@@ -14,8 +14,8 @@ SALTS = 64
 def exact_classes(docs: DataFrame, keep: str = "smallest", salts: int = SALTS) -> DataFrame:
     """Classes of texts that are equal after lower-casing A-Z: (norm_sha256, keep_id, group_size), a row per text.
 
-    Sampled splitters range-partition the normalised text, each range is sorted externally, and each row's
-    whole text is compared with its neighbour's. Copies of one text are dealt over `salts` sub-ranges, which
+    Sampled splitters (the text's beginning and a hash) range-partition the normalised texts, each range is sorted
+    externally, and each row's whole text is compared with its neighbour's. Copies of one text are dealt over `salts` sub-ranges, which
     sort next to each other, so no group lies in one task; the at most `salts` heads of a text are then compared
     whole once more. `keep` says which doc_id stays: "smallest" or "largest".
 
@@ -23,10 +23,11 @@ def exact_classes(docs: DataFrame, keep: str = "smallest", salts: int = SALTS) -
     """
     best = {"smallest": F.min, "largest": F.max}[keep]
     rows = docs.select("doc_id", lower_ascii(text_of()).alias("norm"))
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)))
+    # splitters are of bounded size: the text's beginning, and a hash where many texts begin alike
+    place = {"begin": F.substring("norm", 1, 24), "h": F.xxhash64("norm"), "salt": F.pmod(F.xxhash64("doc_id"), F.lit(salts))}
     n = parts_for(text_bytes(docs))
-    ranged = rows.repartitionByRange(n, "norm", "salt")
-    near = Window.partitionBy("norm", "salt")
+    ranged = rows.withColumns(place).repartitionByRange(n, *place)
+    near = Window.partitionBy(*place, "norm")
     heads = (
         ranged.withColumn("head", F.row_number().over(near.orderBy("doc_id")))
         .withColumns({"best": best("doc_id").over(near), "n": F.count(F.lit(1)).over(near)})
