@@ -15,7 +15,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import parts_for, slices, text_bytes
+from .common import frugal, parts_for, slices, text_bytes
 
 # The White_Space property, as the tokenizer library has it; Python's \s has U+001C to U+001F besides.
 _SPACE = r"\t-\r \x85\xa0  -     　"
@@ -70,6 +70,7 @@ def _deal(words: set[str], buckets: int) -> dict[int, list[bytes]]:
 def _chunk_words(pattern: str, plain: bool, buckets: int):
     """Distinct words of each chunk, dealt to buckets by a hash of the word."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pre, found = PreTokenizer(pattern, plain), {}
         for part in slices(batches):
@@ -86,6 +87,7 @@ def _chunk_words(pattern: str, plain: bool, buckets: int):
 def _encode_words(ranks_path: str, pattern: str, kind: str):
     """Encode each distinct word of a bucket once, for all chunks that have it. Rows come sorted by bucket."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
 
@@ -158,6 +160,7 @@ def decoder(ranks_path: str) -> Callable[[bytes], bytes]:
 def decode_documents(encoded: DataFrame, ranks_path: str) -> DataFrame:
     """doc_id and text of encoded documents: each id is looked up in the table of tokens. Null ids: an empty text."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decode = decoder(ranks_path)
         for batch in batches:

@@ -14,7 +14,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import frugal, slices
 
 #: Made pages that the trees are fitted on, and the seed of their making.
 TRAIN_PAGES, SEED = 900, 7
@@ -447,6 +447,7 @@ def extract_pages(pages: DataFrame, column: str = "html") -> DataFrame:
     trees = model()
     broadcast = pages.sparkSession.sparkContext.broadcast(trees)
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "html", 2 << 20):
             texts = extract(part.column("html").to_pylist(), broadcast.value)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import charlm
-from .common import save, slices
+from .common import frugal, save, slices
 
 UNKNOWN = "und"
 #: Models that one pass over the texts holds: 10 MB each.
@@ -30,6 +30,7 @@ _FOUND = T.StructType().add("_li_lang", "string").add("_li_bits", "double").add(
 def _scores(langs: list[str], models: Broadcast, carry: bool) -> Callable:
     """Best and log-sum of the models of this pass, together with those of the passes before."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = [charlm.load(m) for m in models.value]
         for batch in batches:

@@ -12,7 +12,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix64, save, slices
+from .common import frugal, mix64, save, slices
 from .langid import crc_of_id
 
 #: Words whose counts a task holds before it sends them, and words whose scores each worker holds.
@@ -149,6 +149,7 @@ class Lattice:
         return total
 
 
+@frugal
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict[bytes, int] = {}
 
@@ -174,6 +175,7 @@ def fit_vocabulary(words: DataFrame, path: str, rounds: int = ROUNDS) -> tuple[l
     for _ in range(rounds):
         now = logs
 
+        @frugal
         def expect(batches: Iterator[pa.RecordBatch], now: np.ndarray = now) -> Iterator[pa.RecordBatch]:
             lattice, total = Lattice(pieces, now, of_byte), np.zeros(len(now))
             for batch in batches:
@@ -193,6 +195,7 @@ def fit_vocabulary(words: DataFrame, path: str, rounds: int = ROUNDS) -> tuple[l
 def _score(frequent: object):
     """For each text the sums over its frequent words, as a row whose word no text has, and a row for each other word."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, table = frequent.value
         at = {w: i for i, w in enumerate(words)}
@@ -241,6 +244,7 @@ def score_texts(docs: DataFrame, learn: Column, vocabulary_path: str, frequent:
     counts = save(counted, "words")
     pieces, logs, of_byte = fit_vocabulary(counts, vocabulary_path)
 
+    @frugal
     def marginal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(pieces, logs, of_byte)
         for batch in batches:

@@ -11,7 +11,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix64, save, slices
+from .common import frugal, mix64, save, slices
 from .substring import Words, _words_of
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -91,6 +91,7 @@ _SKETCHED = "doc_id long, node binary, n int, keys array<long>, sketch binary, s
 
 
 def _sketch(weighted: bool):
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, most=2 << 20):
             words = _words_of(part)
@@ -127,6 +128,7 @@ def _choices() -> np.ndarray:
     return np.stack([rng.choice(K, FINE, replace=False) for _ in range(FINES)])
 
 
+@frugal
 def _fine_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = batch.num_rows
@@ -200,6 +202,7 @@ def linked(sets: list[np.ndarray], similarity: float) -> list[int]:
 def _link_groups(similarity: float):
     """Rows come sorted by group; a row for each node whose component in the group has another, with the first of it."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, nodes, sets = None, [], []
 

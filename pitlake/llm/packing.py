@@ -15,7 +15,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import save, slices
+from .common import frugal, save, slices
 
 CAPACITY = 2048
 #: Pieces that one group packs in the first round; a merged group has twice as many.
@@ -23,7 +23,7 @@ GROUP_PIECES = 4096
 #: Rounds in which groups with a gap exchange documents.
 ROUNDS = 3
 #: Words, and runs of characters between white space, whose ids a worker keeps.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -71,9 +71,13 @@ class WordTokenizer:
             own = w if w.isascii() and w.isprintable() else "".join([letters[b] for b in w.encode()])
             return array("I", [t.id for t in model.tokenize(own)]).tobytes()
 
-        words = _Ids(word)
+        words = self.words = _Ids(word)
         self.runs = _Ids(lambda run: b"".join([words[w] for w in _WORDS.findall(run)]))
 
+    def forget(self) -> None:
+        self.words.clear()
+        self.runs.clear()
+
     def whole(self, texts: list[str]) -> list[bytes]:
         """By the library alone."""
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -95,6 +99,7 @@ def _tokenizer(path: str) -> WordTokenizer:
 def tokenize_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
     """A row per piece: doc_id, piece, start, length, ids_crc32. A document's ids end with `end_id`; only a longer one is cut."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, end = _tokenizer(path), np.array([end_id], dtype="<u4").tobytes()
         for part in slices(batches, most=4 << 20):
@@ -106,6 +111,7 @@ def tokenize_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id
                     rows.append((doc_id, k, at // 4, len(own) // 4, zlib.crc32(own)))
             cols = list(zip(*rows, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        tok.forget()
 
     texts = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
     return texts.mapInArrow(run, PIECES)

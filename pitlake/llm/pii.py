@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices
+from .common import frugal, slices
 
 #: Key of the registered query. Give your own to `pseudonymise`; whoever has it can undo the pseudonyms.
 DEMO_KEY = b"pitlake demonstration key"
@@ -241,6 +241,7 @@ def pseudonymise(docs: DataFrame, key: bytes, column: str = "text", spans: str =
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
     place = docs.columns.index(column)
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         permute = Permutation(key, undo)
         for part in slices(batches, column):

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import charlm
-from .common import mix64, save, slices
+from .common import frugal, mix64, save, slices
 
 #: Words of a window whose repeats count.
 WINDOW = 8
@@ -58,6 +58,7 @@ _MEASURED = "doc_id long, lang string, n_words long, word_chars long, n_symbols
 
 
 def _measure(blobs: dict[str, bytes]):
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables: dict[str, np.ndarray] = {}
         for batch in batches:

@@ -13,7 +13,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix64, parts_for, slices, text_bytes
+from .common import frugal, mix64, parts_for, slices, text_bytes
 
 #: Words of a window, and of a minimiser.
 WINDOW, MINIMISER = 50, 4
@@ -135,6 +135,7 @@ def _words_of(part: pa.RecordBatch) -> Words:
 def _pack_chunks(window: int, buckets: int):
     """Distinct super-k-mers of each chunk of texts, packed for their buckets with the smallest doc_id that has them."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[tuple[int, int], list] = {}
         held = 0
@@ -243,6 +244,7 @@ def _count_bucket(blobs: list[bytes], window: int) -> tuple[list, list, list, li
 def _count_windows(window: int):
     """Rows come sorted by bucket."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, blobs = None, []
 
@@ -265,6 +267,7 @@ def _count_windows(window: int):
 def _find_runs(window: int):
     """Where each text has its super-k-mers."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, most=2 << 20):
             words = _words_of(part)
@@ -306,6 +309,7 @@ _CUT = "doc_id long, n_words long, n_removed long, kept string"
 
 
 def _cut(digest: bool):
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, most=2 << 20):
             rows = []
