@@ -15,7 +15,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import frugal, parts_for, slices, text_bytes
+from .common import frugal, parts_for, slices, small_batches, text_bytes
 
 # The White_Space property, as the tokenizer library has it; Python's \s has U+001C to U+001F besides.
 _SPACE = r"\t-\r \x85\xa0  -     　"
@@ -118,6 +118,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, each: Calla
     no hot key. A null text counts as empty; repeated rows are encoded each. `plain`: the pattern is the one
     that the standard library's fast form equals.
     """
+    small_batches(docs.sparkSession)
     n = parts_for(text_bytes(docs), chunk_bytes)
     kind = "<u2" if max(read_ranks(ranks_path).values()) < 1 << 16 else "<u4"
     text = F.coalesce(F.col("text"), F.lit(""))

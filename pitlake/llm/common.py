@@ -56,6 +56,13 @@ def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of at most so many rows from now on in this session, unless it sets a size itself: the default of
+    10,000 whole texts takes buffers of 100 MB on either side."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def text_bytes(df: DataFrame, column: str = "text") -> int:
     """Bytes in a text column: one pass in the JVM."""
     return int(df.agg(F.sum(F.octet_length(column))).first()[0] or 0)

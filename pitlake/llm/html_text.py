@@ -14,7 +14,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import frugal, slices
+from .common import frugal, slices, small_batches
 
 #: Made pages that the trees are fitted on, and the seed of their making.
 TRAIN_PAGES, SEED = 900, 7
@@ -444,6 +444,7 @@ def extract(pages: list[str], trees: Boosted) -> list[str]:
 def extract_pages(pages: DataFrame, column: str = "html") -> DataFrame:
     """page_id, url, text, n_chars of each row of pages; the html is read whole. A null or empty page has an empty text,
     and text without any markup is main text. Repeated rows stay."""
+    small_batches(pages.sparkSession)
     trees = model()
     broadcast = pages.sparkSession.sparkContext.broadcast(trees)
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import charlm
-from .common import frugal, save, slices
+from .common import frugal, save, slices, small_batches
 
 UNKNOWN = "und"
 #: Models that one pass over the texts holds: 10 MB each.
@@ -69,6 +69,7 @@ def _scores(langs: list[str], models: Broadcast, carry: bool) -> Callable:
 
 def train_languages(docs: DataFrame) -> DataFrame:
     """Models of the languages in docs (lang, text); rows without either add nothing. Saved in the shared folder."""
+    small_batches(docs.sparkSession)
     return save(charlm.train(docs.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text"), marks=False), "languages")
 
 
@@ -80,6 +81,7 @@ def identify(docs: DataFrame, models: DataFrame) -> DataFrame:
     without letters is `und`, with score 0; so is every text if there is no model. Models are read in passes of
     MODELS_AT_ONCE, each broadcast with at most 10 MB a model. Columns of docs stay; text must be among them.
     """
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     names = sorted(r.lang for r in models.select("lang").collect())
     kept, out = docs.columns, docs

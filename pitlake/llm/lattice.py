@@ -12,7 +12,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import frugal, mix64, save, slices
+from .common import frugal, mix64, save, slices, small_batches
 from .langid import crc_of_id
 
 #: Words whose counts a task holds before it sends them, and words whose scores each worker holds.
@@ -238,6 +238,7 @@ def score_texts(docs: DataFrame, learn: Column, vocabulary_path: str, frequent:
     it is its end alone. The `frequent` commonest words are sent to every task; all others are joined.
     Rows that repeat doc_id and text come out alike.
     """
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     texts = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), F.coalesce(learn, F.lit(True)).alias("learn"))
     counted = texts.select("text", "learn").mapInArrow(_count_words, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))

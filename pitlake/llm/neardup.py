@@ -11,7 +11,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import frugal, mix64, save, slices
+from .common import frugal, mix64, save, slices, small_batches
 from .substring import Words, _words_of
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -304,6 +304,7 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, weights: str =
     with one shingle set are one node. Links are verified on the whole sets. A null doc_id is never a class_id,
     unless its class has no other.
     """
+    small_batches(docs.sparkSession)
     texts = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
     sketched = save(texts.mapInArrow(_sketch(weights == "count"), _SKETCHED), "sketched")
     labels = link(sketched, similarity)

@@ -15,7 +15,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import frugal, save, slices
+from .common import frugal, save, slices, small_batches
 
 CAPACITY = 2048
 #: Pieces that one group packs in the first round; a merged group has twice as many.
@@ -221,6 +221,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACIT
 
     A row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset. Repeated rows are packed each.
     """
+    small_batches(docs.sparkSession)
     return pack_pieces(tokenize_pieces(docs, tokenizer_path, capacity), capacity)
 
 

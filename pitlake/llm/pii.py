@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import frugal, slices
+from .common import frugal, slices, small_batches
 
 #: Key of the registered query. Give your own to `pseudonymise`; whoever has it can undo the pseudonyms.
 DEMO_KEY = b"pitlake demonstration key"
@@ -236,6 +236,7 @@ def pseudonymise(docs: DataFrame, key: bytes, column: str = "text", spans: str =
     become equal ones in all documents, and with `undo` the same key gives them back. All else stays, and so
     does the length. A null text stays null with no spans. Columns of docs stay, but for a former `spans`.
     """
+    small_batches(docs.sparkSession)
     docs = docs.drop(spans)
     schema = T.StructType([*docs.schema.fields, T.StructField(spans, _FOUND)])
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import charlm
-from .common import frugal, mix64, save, slices
+from .common import frugal, mix64, save, slices, small_batches
 
 #: Words of a window whose repeats count.
 WINDOW = 8
@@ -90,6 +90,7 @@ def quality_rules(docs: DataFrame, min_words: int = 20, max_repeat_percent: int
     spread cannot be told (one text) rejects nothing. A null text counts as empty, and fails. A task holds the
     models of charlm.HELD languages; all are sent to it with at most 5 MB each.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select("doc_id", F.coalesce(F.col("lang"), F.lit(NO_LANGUAGE)).alias("lang"), "text")
     models = save(charlm.train(rows, marks=True), "perplexity")
     blobs = {r.lang: bytes(r.model) for r in models.select("lang", "model").toLocalIterator()}

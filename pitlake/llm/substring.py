@@ -13,7 +13,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import frugal, mix64, parts_for, slices, text_bytes
+from .common import frugal, mix64, parts_for, slices, small_batches, text_bytes
 
 #: Words of a window, and of a minimiser.
 WINDOW, MINIMISER = 50, 4
@@ -337,6 +337,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, digest: bool = False)
     doc_id counts as the largest. Rows that share a doc_id are not before one another, and repeated rows come
     out alike.
     """
+    small_batches(docs.sparkSession)
     texts = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
     texts = texts.withColumn("row", F.xxhash64("text"))
     ranges = repeated_ranges(docs, window).groupBy("doc_id", "row").agg(F.collect_set(F.struct("first", "end")).alias("r"))
