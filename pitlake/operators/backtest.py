@@ -75,7 +75,9 @@ def _fold(capital: float, m: CostModel, delist: dict[int, float], field: str):
             hs = now["hs"].to_numpy(float)
             spent = 0.0
             for _ in range(2):  # the cost is paid out of what is invested
-                want = np.where(ok, target * (nav - spent), value)
+                budget = nav - spent - float(value[~ok].sum())  # what cannot be sold is not there to invest
+                scale = min(1.0, max(0.0, budget) / max(target.sum() * (nav - spent), 1e-12))
+                want = np.where(ok, target * (nav - spent) * scale, value)
                 delta = want - value
                 terms = costs(delta, np.where(ok, fill, 1.0), hs)
                 sold = costs(-np.array(list(others.values())), np.ones(len(others)), np.full(len(others), np.nan)) if others else (np.zeros(0),) * 3

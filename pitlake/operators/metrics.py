@@ -130,7 +130,7 @@ def probabilistic_sharpe_sql(sharpe: str, n: str, skew: str, kurt: str, against:
 def expected_max_sharpe_sql(trials: str, sd: str) -> str:
     """Largest Sharpe ratio to expect of so many trials without skill."""
     g = 0.5772156649015329
-    return f"CASE WHEN {trials} > 1 THEN {sd} * ({1 - g!r} * {norm_ppf_sql(f'(1 - 1.0 / {trials})')} + {g!r} * {norm_ppf_sql(f'(1 - 1.0 / ({trials} * 2.718281828459045))')}) ELSE 0.0 END"
+    return f"CASE WHEN {trials} > 1 THEN {sd} * ({1 - g!r} * {norm_ppf_sql(f'(1e0 - 1e0 / {trials})')} + {g!r} * {norm_ppf_sql(f'(1e0 - 1e0 / ({trials} * 2.718281828459045e0))')}) ELSE 0.0 END"
 
 
 def sharpe_inference(stats: DataFrame, confidence: float = 0.95) -> DataFrame:
