@@ -17,8 +17,8 @@ from .common import frugal, mix64, save, slices, small_batches
 WINDOW = 8
 #: Bands: so many robust standard deviations, and at least so many bits a symbol, around the language's median.
 BAND_SD, BAND_BITS = 5.0, 0.22
-#: The group of documents without a language.
-NO_LANGUAGE = ""
+#: The group of documents without a language, and what parts a language from the half of its texts.
+NO_LANGUAGE, FOLD = "", "\x01"
 
 
 def n_repeat_words(words: list[bytes], window: int = WINDOW) -> int:
@@ -64,15 +64,17 @@ def _measure(blobs: dict[str, bytes]):
         for batch in batches:
             for part in slices(iter([batch])):
                 rows = []
-                for doc_id, lang, text in zip(*(part.column(c).to_pylist() for c in ("doc_id", "lang", "text")), strict=True):
+                for doc_id, lang, fold, text in zip(*(part.column(c).to_pylist() for c in ("doc_id", "lang", "fold", "text")), strict=True):
                     bits, size = None, 0
                     if text:
-                        if lang not in tables:
+                        own = lang + FOLD + str(1 - fold)
+                        own = own if own in blobs else lang + FOLD + str(fold)
+                        if own not in tables:
                             while len(tables) >= charlm.HELD:
                                 tables.pop(next(iter(tables)))
-                            tables[lang] = charlm.load(blobs[lang])
+                            tables[own] = charlm.load(blobs[own])
                         c = charlm.codes(text, True)
-                        bits, size = -float(tables[lang][c].mean(dtype=np.float64)), len(c)
+                        bits, size = -float(tables[own][c].mean(dtype=np.float64)), len(c)
                     rows.append((doc_id, lang, *counts_of(text or ""), bits, size))
                 kinds = [pa.int64(), pa.string(), *[pa.int64()] * 5, pa.float64(), pa.int64()]
                 cols = list(zip(*rows, strict=True)) or [[]] * len(kinds)
@@ -84,15 +86,17 @@ def _measure(blobs: dict[str, bytes]):
 def quality_rules(docs: DataFrame, min_words: int = 20, max_repeat_percent: int = 30) -> DataFrame:
     """A row per document: doc_id, lang, the counts, bits, base_failed and kept.
 
-    Models are learned from all texts of each language (a null language is one of its own). A document whose
+    Models are learned from all texts of each language (a null language is one of its own), one from either half of
+    them by a hash of the text, and a text is measured by the half that it and its copies are not in, since a model
+    knows what it has been taught (a language with one half has no other). A document whose
     base counts fail is not kept; another is kept if its cross-entropy a symbol (the logarithm of its perplexity)
     lies in its language's band, around the median, with a width that allows for its length. A language whose
     spread cannot be told (one text) rejects nothing. A null text counts as empty, and fails. A task holds the
     models of charlm.HELD languages; all are sent to it with at most 5 MB each.
     """
     small_batches(docs.sparkSession)
-    rows = docs.select("doc_id", F.coalesce(F.col("lang"), F.lit(NO_LANGUAGE)).alias("lang"), "text")
-    models = save(charlm.train(rows, marks=True), "perplexity")
+    rows = docs.select("doc_id", F.coalesce(F.col("lang"), F.lit(NO_LANGUAGE)).alias("lang"), F.pmod(F.xxhash64("text"), F.lit(2)).cast("int").alias("fold"), "text")
+    models = save(charlm.train(rows.select(F.concat("lang", F.lit(FOLD), "fold").alias("lang"), "text"), marks=True), "perplexity")
     blobs = {r.lang: bytes(r.model) for r in models.select("lang", "model").toLocalIterator()}
     measured = save(rows.mapInArrow(_measure(blobs), _MEASURED), "measured")
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
