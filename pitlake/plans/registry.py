@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pitlake.operators import pit
-from pitlake.plans import q_fundamental, q_lake, q_price, q_research, q_timing
+from pitlake.plans import q_fundamental, q_lake, q_price, q_research, q_sources, q_timing
 from pitlake.plans import standins as S
 
-MODULES = (q_lake, q_price, q_fundamental, q_research, q_timing)
+MODULES = (q_lake, q_price, q_fundamental, q_research, q_timing, q_sources)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

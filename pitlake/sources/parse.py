@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 def series_csv(lines: DataFrame, series: str, description: str = "", revised: bool = False) -> DataFrame:
     """Lines (value) "date,number" of one series: a dot is a null value, a line without a date is left out."""
     part = F.split("value", ",")
-    out = lines.select(F.lit(series).alias("series_id"), F.try_to_date(F.trim(F.get(part, F.lit(0))), F.lit("yyyy-MM-dd")).alias("date"), F.nullif(F.trim(F.get(part, F.lit(1))), F.lit(".")).try_cast("double").alias("value"))
+    out = lines.select(F.lit(series).alias("series_id"), F.try_to_date(F.trim(F.get(part, F.lit(0))), "yyyy-MM-dd").alias("date"), F.nullif(F.trim(F.get(part, F.lit(1))), F.lit(".")).try_cast("double").alias("value"))
     return out.where("date IS NOT NULL").withColumns({"description": F.lit(description), "revised": F.lit(revised)})
 
 
@@ -98,7 +98,7 @@ def change_events(rows: DataFrame) -> DataFrame:
     ticker left out, once each."""
     text = lambda c: F.nullif(F.trim(F.regexp_replace(c, r"\[\w+\]", "")), F.lit(""))
     d = text(F.col("date"))
-    day = F.coalesce(*[F.try_to_date(d, F.lit(f)) for f in ("yyyy-MM-dd", "MMMM d, yyyy", "MMM d, yyyy", "M/d/yyyy")])
+    day = F.coalesce(*[F.try_to_date(d, f) for f in ("yyyy-MM-dd", "MMMM d, yyyy", "MMM d, yyyy", "M/d/yyyy")])
     out = rows.select(day.alias("effective_date"), text(F.col("added")).alias("added_ticker"), text(F.col("removed")).alias("removed_ticker"), text(F.col("reason")).alias("reason"))
     return out.where("effective_date IS NOT NULL AND (added_ticker IS NOT NULL OR removed_ticker IS NOT NULL)").dropDuplicates(["effective_date", "added_ticker", "removed_ticker"])
 

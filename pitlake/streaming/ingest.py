@@ -15,7 +15,7 @@ def read_log(spark: SparkSession, path: str, schema: T.StructType, per_trigger:
 
 def windowed_counts(events: DataFrame, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Events (event_id, ts, event_type, value) by window and type; the same event again within the watermark counts once."""
-    once = events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
+    once = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
     return once.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
 
 
