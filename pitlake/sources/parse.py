@@ -86,7 +86,7 @@ def wiki_ticker(cell: Column) -> Column:
 def wiki_constituents(pages: DataFrame) -> DataFrame:
     """Pages (page, text) of wiki markup: page, ticker of each row of the table that has a column of tickers, once each, in order."""
     rows = pages.select("page", F.posexplode(F.split("text", r"\n\|-[^\n]*")).alias("n", "row"))
-    cells = rows.select("page", "n", F.filter(F.transform(F.split("row", r"\n[|!]|\|\||!!"), lambda c: F.trim(F.regexp_replace(c, r"^\s*[|!]", ""))), lambda c: c != "").alias("cells"), F.col("row").contains("!").alias("header"))
+    cells = rows.select("page", "n", F.filter(F.transform(F.split("row", r"\n[|!]|\|\||!!"), lambda c: F.trim(F.regexp_replace(c, r"^\s*[|!]", ""))), lambda c: (c != "") & ~c.startswith("{|")).alias("cells"), F.col("row").contains("!").alias("header"))
     at = F.array_position(F.transform("cells", lambda c: c.rlike("(?i)^(ticker|symbol)")), F.lit(True)).cast("int")
     head = cells.where("header").withColumn("at", at).where("at > 0").groupBy("page").agg(F.min_by("at", "n").alias("at"))
     named = cells.join(head, "page").where("NOT header").select("page", "n", wiki_ticker(F.get("cells", F.col("at") - 1)).alias("ticker"))
