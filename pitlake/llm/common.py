@@ -86,6 +86,18 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SL
             at = to
 
 
+def gather(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """Batches of short rows put together to about `rows`."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= rows:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 @cache
 def _libc() -> ctypes.CDLL | None:
     try:

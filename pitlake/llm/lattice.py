@@ -12,7 +12,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import frugal, mix64, save, slices, small_batches
+from .common import frugal, gather, mix64, save, slices, small_batches
 from .langid import crc_of_id
 
 #: Words whose counts a task holds before it sends them, and words whose scores each worker holds.
@@ -178,7 +178,7 @@ def fit_vocabulary(words: DataFrame, path: str, rounds: int = ROUNDS) -> tuple[l
         @frugal
         def expect(batches: Iterator[pa.RecordBatch], now: np.ndarray = now) -> Iterator[pa.RecordBatch]:
             lattice, total = Lattice(pieces, now, of_byte), np.zeros(len(now))
-            for batch in batches:
+            for batch in gather(batches, BATCH):
                 own = batch.column("word").to_pylist()
                 total += lattice.expected(own, np.ones(len(own)))
             at = np.flatnonzero(total)
@@ -248,7 +248,7 @@ def score_texts(docs: DataFrame, learn: Column, vocabulary_path: str, frequent:
     @frugal
     def marginal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(pieces, logs, of_byte)
-        for batch in batches:
+        for batch in gather(batches, BATCH):
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lattice.log_marginals(batch.column("word").to_pylist()) / np.log(10))], names=["word", "c", "q"])
 
     found = save(counts.mapInArrow(marginal, "word string, c long, q double"), "marginals")
