@@ -107,3 +107,61 @@ def unpack_curves(lines: DataFrame) -> DataFrame:
 def usage(genomes: DataFrame, dead: float = 0.05) -> DataFrame:
     """How many genomes of a population use each gene (beyond the dead zone)."""
     return genomes.select(F.posexplode("genes").alias("gene", "w")).where(F.abs("w") >= dead).groupBy("gene").agg(F.count(F.lit(1)).alias("n"), F.avg("w").alias("mean_weight"))
+
+
+def sharpe_band(sharpe: Column, months: Column, skew: Column, kurt: Column, z: float = 1.959963984540054) -> tuple[Column, Column]:
+    """Interval of an annualised Sharpe ratio known from so many months."""
+    m = sharpe / F.sqrt(F.lit(12.0))
+    se = F.sqrt(F.greatest(1 - skew * m + (kurt - 1) / 4 * m * m, F.lit(0.0)) / (months - 1))
+    return (m - z * se) * F.sqrt(F.lit(12.0)), (m + z * se) * F.sqrt(F.lit(12.0))
+
+
+def detectable_gap(months: Column, sharpe: Column, z: float = 1.959963984540054) -> Column:
+    """The least difference of annualised Sharpe ratios that so many months can tell."""
+    m = sharpe / F.sqrt(F.lit(12.0))
+    return z * F.sqrt(F.lit(2.0)) * F.sqrt((1 + m * m / 2) / (months - 1)) * F.sqrt(F.lit(12.0))
+
+
+def freshness(windows: DataFrame, seen: str) -> DataFrame:
+    """windows (start, end) with fresh_start: the first day after what was seen before, null if nothing is fresh."""
+    after = F.greatest(F.col("start"), F.date_add(F.lit(seen).cast("date"), 1))
+    return windows.withColumn("fresh_start", F.when(after <= F.col("end"), after))
+
+
+def previous_end(records: DataFrame, key: list[str]) -> DataFrame:
+    """records with prev_end: the latest data_end of the key's earlier records."""
+    w = Window.partitionBy(*key).orderBy("logged_at", "run_id").rowsBetween(Window.unboundedPreceding, -1)
+    return records.withColumn("prev_end", F.max("data_end").over(w))
+
+
+def selection_bar(records: DataFrame, expected: Column) -> DataFrame:
+    """trials (distinct seals), their deviation, and the Sharpe ratio that the best of them would reach without skill."""
+    return records.agg(F.countDistinct("seal_id").alias("trials"), F.stddev_samp("sharpe").alias("trial_sd")).withColumn("bar", expected)
+
+
+def origin_study(runs: DataFrame, exclude: list[str]) -> DataFrame:
+    """The study in which each fingerprint was first run, but for excluded ones."""
+    return runs.where(~F.col("study").cast("string").isin(exclude)).groupBy("fingerprint").agg(F.min_by("study", F.struct("logged_at", "run_id")).alias("origin"))
+
+
+def primary_rows(records: DataFrame) -> DataFrame:
+    """Of records the last per seal, and of those the last per strategy."""
+    return latest_lines(latest_lines(records, ["seal_id"], ["logged_at", "run_id"]), ["strategy"], ["logged_at", "run_id"])
+
+
+def highlight_best(rows: DataFrame, up: list[str], down: list[str]) -> DataFrame:
+    """rows with best_<column>: whether a value is the best of its column, by the direction that is good."""
+    w = Window.partitionBy()
+    return rows.withColumns({f"best_{c}": F.col(c) == F.max(c).over(w) for c in up} | {f"best_{c}": F.col(c) == F.min(c).over(w) for c in down})
+
+
+def checks(pairs: DataFrame) -> DataFrame:
+    """Tri-state checks of a forward leg: true, false, or null where it cannot be told."""
+    return pairs.withColumns(
+        {
+            "enough_months": F.col("n_f") >= 12,
+            "positive": F.col("sharpe_f") > 0,
+            "within_band": F.when(F.col("se_f").isNotNull(), F.abs(F.col("sharpe_f") - F.col("sharpe_r")) <= 1.959963984540054 * F.sqrt(F.col("se_f") * F.col("se_f") + F.col("se_r") * F.col("se_r"))),
+            "kept_half": F.when(F.col("sharpe_r") > 0, F.col("sharpe_f") >= F.col("sharpe_r") / 2),
+        }
+    )

@@ -196,3 +196,33 @@ def run(spark: SparkSession, checks: dict[str, Callable[[], DataFrame]]) -> Data
 
 def summary(findings: DataFrame) -> DataFrame:
     return findings.groupBy("severity").agg(F.count(F.lit(1)).alias("findings"), F.sum("rows").alias("rows"))
+
+
+def ticker_recycling(bars: DataFrame, intervals: DataFrame, most: int = 365) -> DataFrame:
+    """Securities with bars over `most` days after their last membership ended, and members without any bar."""
+    last = bars.groupBy("security_id").agg(F.max("date").alias("last_bar"))
+    ended = intervals.groupBy("security_id").agg(F.max(F.when(~F.col("end_is_open"), F.col("end_date"))).alias("exit"), F.max(F.col("end_is_open").cast("int")).alias("open"))
+    x = ended.join(last, "security_id", "left")
+    late = x.where((F.col("open") == 0) & (F.datediff("last_bar", "exit") > most)).withColumn("n", F.datediff("last_bar", "exit"))
+    none = x.where("last_bar IS NULL").withColumn("n", F.lit(0))
+    return finding(late, "ticker_recycling", "WARN", F.col("security_id"), "days of bars after the exit", F.col("n")).union(finding(none, "ticker_recycling", "WARN", F.col("security_id"), "member without bars", F.col("n")))
+
+
+def universe_coverage(bars: DataFrame, intervals: DataFrame, least: float = 0.8) -> DataFrame:
+    """Share of all members that have a bar within membership, a finding if under `least`."""
+    inside = bars.join(intervals.withColumnRenamed("security_id", "_s"), (F.col("security_id") == F.col("_s")) & (F.col("date") >= F.col("start_date")) & (F.col("end_is_open") | (F.col("date") <= F.col("end_date"))), "left_semi")
+    s = intervals.agg(F.countDistinct("security_id").alias("all")).crossJoin(inside.agg(F.countDistinct("security_id").alias("n"))).where(F.col("n") < least * F.col("all"))
+    return finding(s, "universe_coverage", "WARN", "members", F.concat(F.col("n").cast("string"), F.lit(" of "), F.col("all").cast("string")), F.col("all") - F.col("n"))
+
+
+def security_master(master: DataFrame) -> DataFrame:
+    """Ids that are no SID and six digits, repeated ids or natural keys, empty tickers."""
+    x = master.withColumns({"_a": F.count(F.lit(1)).over(Window.partitionBy("security_id")), "_b": F.count(F.lit(1)).over(Window.partitionBy("cik", "ticker"))})
+    return counted(x, "security_master", "ERROR", {"malformed id": ~F.col("security_id").rlike(r"^SID\d{6}$"), "repeated id": F.col("_a") > 1, "repeated key": F.col("_b") > 1, "no ticker": F.coalesce(F.trim("ticker"), F.lit("")) == ""})
+
+
+def factor_sanity(factors: DataFrame, columns: list[str], most: float = 0.25, mean: float = 0.002) -> DataFrame:
+    """Daily factors out of bounds, and columns whose mean is implausible."""
+    rules = {f"{c} out of bounds": F.abs(c) > most for c in columns}
+    means = factors.agg(*[F.abs(F.avg(c)).alias(c) for c in columns])
+    return counted(factors, "factor_sanity", "ERROR", rules).union(counted(means, "factor_sanity", "WARN", {f"mean of {c}": F.col(c) > mean for c in columns}))

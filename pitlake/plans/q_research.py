@@ -10,6 +10,7 @@ from pitlake.operators import backtest, costs, experiments, metrics, panel, port
 from pitlake.plans import standins as S
 from pitlake.plans.oracle import sql
 from pitlake.plans.q_lake import day, r
+from pitlake.plans.q_price import _WINDOWS, PRICE
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -36,6 +37,8 @@ def _x(spark, d):
 
 
 _RANK = "CASE WHEN eligible AND {c} IS NOT NULL AND count(CASE WHEN eligible THEN {c} END) OVER (PARTITION BY date) >= 3 THEN (rank() OVER (PARTITION BY date, eligible ORDER BY {c}) - 1 + (count(*) OVER (PARTITION BY date, eligible, {c}) - 1) / 2) / (count(CASE WHEN eligible THEN {c} END) OVER (PARTITION BY date) - 1) END"
+_RK_SHORT = _RANK
+_NRANK = "CASE WHEN {c} IS NOT NULL AND count({c}) OVER (PARTITION BY date) >= 3 THEN (rank() OVER (PARTITION BY date ORDER BY {c} NULLS LAST) - 1 + (count({c}) OVER (PARTITION BY date, {c}) - 1) / 2) / (count({c}) OVER (PARTITION BY date) - 1) END"
 _RANKS = f"{_BASE}, rk AS (SELECT *, {_RANK.format(c='a')} AS ra, {_RANK.format(c='b')} AS rb FROM x)"
 
 
@@ -437,3 +440,21 @@ SQL["strategy_short_reversal"] = sql("WITH " + _MOMENTUM.format(e=f"close / {_BA
 SQL["strategy_low_vol"] = sql("WITH " + _MOMENTUM.format(e="vol_126d", sign=-1), "resids")
 SQL["strategy_equal_weight"] = sql("WITH " + _MOMENTUM.format(e="1.0", sign=1), "resids")
 SQL["strategy_cash"] = sql("SELECT strftime(date, '%Y-%m-%d') AS date, security_id, 0.1::DOUBLE AS weight FROM dense WHERE 1 = 0", "dense")
+
+#: Strategies whose score is one rank, as SQL: the feature, and a condition on the rank of another one.
+_ONE_RANK = {
+    "residual_momentum": ("resid_mom_12_1", None, ""),
+    "overnight_momentum": ("mom_on_12_1", None, ""),
+    "week52_breakout": ("high_52w_ratio", None, ""),
+    "frog_in_the_pan": ("mom_12_1", "info_discreteness", "rb <= 0.5"),
+    "illiquidity_carry": ("amihud_illiq", "log_dollar_volume", "rb > 0.1"),
+}
+for _n, (_a, _b, _c) in _ONE_RANK.items():
+    _second = PRICE[_b] if _b else "1.0"
+    SQL[f"strategy_{_n}"] = sql(
+        f"""WITH f AS (SELECT security_id, date, is_month_end, in_index AS eligible, CAST({PRICE[_a]} AS FLOAT) AS a, CAST({_second} AS FLOAT) AS b FROM resids WINDOW {_WINDOWS}),
+        e AS (SELECT * FROM f WHERE is_month_end AND eligible), k AS (SELECT *, {_NRANK.format(c='a')} AS ra, {_NRANK.format(c='b')} AS rb FROM e), s AS (SELECT * FROM k WHERE ra IS NOT NULL {'AND ' + _c if _c else ''}),
+        t AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY ra DESC, md5(CAST(security_id AS VARCHAR))) AS p FROM s), u AS (SELECT *, count(*) OVER (PARTITION BY date) AS n FROM t WHERE p <= 4)
+        SELECT strftime(date, '%Y-%m-%d') AS date, security_id, round(1.0 / n, 5) AS weight FROM u""",
+        "resids",
+    )
