@@ -73,8 +73,8 @@ def train_languages(docs: DataFrame) -> DataFrame:
     return save(charlm.train(docs.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text"), marks=False), "languages")
 
 
-def identify(docs: DataFrame, models: DataFrame) -> DataFrame:
-    """docs with lang_pred, score and bits (cross-entropy a symbol under the best model).
+def identify(docs: DataFrame, models: DataFrame, prefix: str = "") -> DataFrame:
+    """docs with lang_pred, score, bits (cross-entropy a symbol under the best model) and symbols, named with `prefix`.
 
     The lowest length-normalised cross-entropy wins; equal ones go to the first language by name. `score` is the
     share of the best model in the likelihoods, each to the power of its text's evidence. A null text and one
@@ -85,20 +85,21 @@ def identify(docs: DataFrame, models: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     names = sorted(r.lang for r in models.select("lang").collect())
     kept, out = docs.columns, docs
+    named = [prefix + c for c in ("lang_pred", "score", "bits", "symbols")]
     for at in range(0, len(names), MODELS_AT_ONCE):
         langs = names[at : at + MODELS_AT_ONCE]
         found = {r.lang: bytes(r.model) for r in models.where(F.col("lang").isin(langs)).select("lang", "model").collect()}
         blobs = spark.sparkContext.broadcast([found[k] for k in langs])
         out = out.mapInArrow(_scores(langs, blobs, at > 0), T.StructType([*docs.schema.fields, *_FOUND]))
     if not names:
-        return docs.withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0), "bits": F.lit(None).cast("double"), "symbols": F.lit(0).cast("long")})
+        return docs.withColumns(dict(zip(named, (F.lit(UNKNOWN), F.lit(0.0), F.lit(None).cast("double"), F.lit(0).cast("long")), strict=True)))
     got = F.col("_li_has") & F.col("_li_lang").isNotNull()
     return out.select(
         *kept,
-        F.when(got, F.col("_li_lang")).otherwise(UNKNOWN).alias("lang_pred"),
-        F.when(got, 1 / F.col("_li_sum")).otherwise(0.0).alias("score"),
-        F.when(got, F.col("_li_bits")).alias("bits"),
-        F.when(got, F.col("_li_size")).otherwise(0).cast("long").alias("symbols"),
+        F.when(got, F.col("_li_lang")).otherwise(UNKNOWN).alias(named[0]),
+        F.when(got, 1 / F.col("_li_sum")).otherwise(0.0).alias(named[1]),
+        F.when(got, F.col("_li_bits")).alias(named[2]),
+        F.when(got, F.col("_li_size")).otherwise(0).cast("long").alias(named[3]),
     )
 
 
@@ -130,11 +131,11 @@ def keep_identified(docs: DataFrame) -> DataFrame:
     is rejected if it is `und` or if its cross-entropy lies beyond what texts of its language and length have."""
     columns = docs.columns
     models = train_languages(docs)
-    found = identify(docs.withColumn("_li_keep", F.lit(True)), models)
-    stats = calibrate(identify(docs.select("text"), models).select("lang_pred", "bits", "symbols"))
+    found = identify(docs, models, "_ki_")
+    stats = calibrate(identify(docs.select("text"), models)).select(F.col("lang_pred").alias("_ki_by"), F.col("mean_bits").alias("_ki_mean"), F.col("var").alias("_ki_var"))
     return (
-        found.where(F.col("lang_pred") != UNKNOWN)
-        .join(F.broadcast(stats.withColumnRenamed("lang_pred", "_li_by")), F.col("lang_pred") == F.col("_li_by"))
-        .where(accepted(F.col("bits"), F.col("symbols"), F.col("mean_bits"), F.col("var")))
+        found.where(F.col("_ki_lang_pred") != UNKNOWN)
+        .join(F.broadcast(stats), F.col("_ki_lang_pred") == F.col("_ki_by"))
+        .where(accepted(F.col("_ki_bits"), F.col("_ki_symbols"), F.col("_ki_mean"), F.col("_ki_var")))
         .select(*columns)
     )

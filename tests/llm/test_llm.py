@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from pitlake.llm import bpe, charlm, exact_dedup, html_text, langid, lattice, neardup, packing, pii, quality, substring
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, keep_id long, row long, node string, kept string, found string, salt int"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, keep_id long, row long, node string, kept string, found string, salt int, score double, bits double, lang_pred string, symbols long"
 
 
 def words(rng, n, vocabulary=400):
@@ -34,8 +34,8 @@ def rows():
     texts += ["loop " * 4000, "x" * 50_000, "émile ñandú straße ½ ² 日本語 \x1c\x85 tab\there", "line\nline\nother\nline"]
     texts += [words(rng, 20_000, 5000)]
     langs = ["en", "de", None]
-    out = [(i, t, langs[i % 3], f"s{i % 2}", None if t is None else len(t), 7, 8, "n", "k", "f", 3) for i, t in enumerate(texts)]
-    return [*out, out[7], (None, base, "en", None, None, 7, 8, "n", "k", "f", 3)]
+    out = [(i, t, langs[i % 3], f"s{i % 2}", None if t is None else len(t), 7, 8, "n", "k", "f", 3, 0.5, None, "xx", 1) for i, t in enumerate(texts)]
+    return [*out, out[7], (None, base, "en", None, None, 7, 8, "n", "k", "f", 3, 0.5, None, "xx", 1)]
 
 
 @pytest.fixture(scope="module")
@@ -245,11 +245,13 @@ def test_language_id(spark, tiny, docs, empty):
     assert all(0 <= r.score <= 1 for r in found)
     models = langid.train_languages(table)
     odd = langid.identify(docs.select("doc_id", "text"), models).collect()
+    kept = langid.keep_identified(docs)
+    assert kept.columns == docs.columns and 0 < kept.count() <= docs.count()
     for r in odd:
         has = any(c.isalpha() for c in r.text or "")
         assert (r.lang_pred == "und") == (not has)
-    assert langid.identify(empty, models).count() == 0
-    assert {r.lang_pred for r in langid.identify(docs, langid.train_languages(empty)).collect()} == {"und"}
+    assert langid.identify(empty.select("text"), models).count() == 0
+    assert {r.lang_pred for r in langid.identify(docs.select("text"), langid.train_languages(empty)).collect()} == {"und"}
     assert langid.keep_identified(table).count() >= 0.97 * table.count()
 
 
