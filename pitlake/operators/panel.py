@@ -52,13 +52,21 @@ def coverage(panel: DataFrame, size: DataFrame) -> DataFrame:
 
 
 def session_lookup(calendar: DataFrame, dates: DataFrame) -> DataFrame:
-    """For each date its session index: exact, the one before or on it, and the one on or after it."""
-    c = F.broadcast(calendar.select(F.col("date").alias("_d"), F.col("session_index").alias("_i")))
-    return dates.join(c).groupBy("date").agg(
-        F.max(F.when(F.col("_d") == F.col("date"), F.col("_i"))).alias("exact"),
-        F.max(F.when(F.col("_d") <= F.col("date"), F.col("_i"))).alias("prev"),
-        F.min(F.when(F.col("_d") >= F.col("date"), F.col("_i"))).alias("next"),
+    """For each distinct date its session index: exact, the one before or on it, and the one on or after it.
+
+    Distinct dates and sessions are one sequence of days, so two frames of one ordered window do what a range join would.
+    """
+    days = dates.select("date").distinct().join(calendar.select("date", "session_index"), "date", "full")
+    asked = dates.select("date").distinct().withColumn("asked", F.lit(True))
+    w = Window.orderBy("date")
+    out = days.join(asked, "date", "left").withColumns(
+        {
+            "exact": F.col("session_index"),
+            "prev": F.last("session_index", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)),
+            "next": F.first("session_index", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)),
+        }
     )
+    return out.where("asked").select("date", "exact", "prev", "next")
 
 
 def never_priced(intervals: DataFrame, bars: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ def universe_asof(intervals: DataFrame, dates: DataFrame | str, key: str = "secu
     if isinstance(dates, str):
         day = F.lit(dates).cast("date")
         return intervals.where((F.col("start_date") <= day) & (F.col("end_is_open") | (F.col("end_date") >= day))).orderBy(key)
+    dates = F.broadcast(dates)  # as many as there are days at most
     inside = (intervals.start_date <= dates.as_of) & (intervals.end_is_open | (intervals.end_date >= dates.as_of))
     return dates.join(intervals, inside).select("as_of", *intervals.columns)
 
