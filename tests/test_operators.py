@@ -291,3 +291,18 @@ def test_ridge_equals_numpy(spark):
     m = np.column_stack([np.ones(len(use)), use[:, :2]])
     want = np.linalg.solve(m.T @ m + np.diag([0, 2, 2]), m.T @ use[:, 2])
     assert got == pytest.approx(want.tolist())
+
+
+def test_command_line(spark, tmp_path, tiny, capsys):
+    from pitlake import cli
+    from pitlake.plans import standins as S
+
+    lk = lake.Lake(spark, str(tmp_path))
+    for name, df in (("daily_bars", S.dense_panel(spark, tiny).select("security_id", "date", "open", "high", "low", "close", "volume")), ("corporate_actions", S.actions(spark, tiny)), ("trading_calendar", S.calendar(spark, tiny)), ("membership_intervals", S.intervals(spark, tiny)), ("xbrl_facts", S.facts(spark, tiny))):
+        lk.write(df, "silver", name)
+    root = str(tmp_path)
+    for args in (["status"], ["quality"], ["normalize"], ["features"], ["catalog"], ["query", "select count(*) as n from daily_bars"], ["universe", "1998-06-15"], ["fundamentals", "1998-06-15"], ["backtest", "equal_weight", "--start", "1996-01-01", "--top", "3"]):
+        cli.main([root, *args])
+    out = capsys.readouterr().out
+    assert "daily_bars" in out and "beta_252d" in out
+    assert lk.read("gold", "features").count() > 0
