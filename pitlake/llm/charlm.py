@@ -18,6 +18,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import frugal, release, slices
 
@@ -26,6 +27,8 @@ SYMBOLS, ORDER = 40, 4
 GAP, LETTER_A, DIGIT, MARK, POINT, OTHER = 0, 1, 27, 28, 29, 30
 #: Count arrays are sent in blocks of so many n-grams.
 BLOCK = SYMBOLS**3
+#: Tasks whose blocks are summed first.
+TOGETHER = 512
 #: Languages whose counts a task holds at once; beyond it, it sends what it has.
 HELD = 8
 
@@ -159,10 +162,12 @@ def train(docs: DataFrame, marks: bool) -> DataFrame:
     """Models by language from the columns lang (not null) and text: lang, ngrams, total, model.
 
     Each task counts its own texts in arrays, so a frequent language is no hot key; blocks of the arrays are
-    summed by Spark. Null and empty texts add nothing.
+    summed by Spark, first those of TOGETHER tasks, then what these gave. Null and empty texts add nothing.
     """
-    sent = docs.select("lang", "text").mapInArrow(_counts(marks), "lang string, block int, counts binary")
-    summed = sent.groupBy("lang", "block").applyInPandas(_sum_blocks, "lang string, block int, counts binary")
+    kind = "lang string, block int, counts binary"
+    sent = docs.select("lang", "text").mapInArrow(_counts(marks), kind).withColumn("tasks", F.floor(F.spark_partition_id() / TOGETHER))
+    some = sent.groupBy("tasks", "lang", "block").applyInPandas(_sum_blocks, kind)
+    summed = some.groupBy("lang", "block").applyInPandas(_sum_blocks, kind)
     return summed.groupBy("lang").applyInPandas(_fit, "lang string, ngrams long, total long, model binary")
 
 
