@@ -22,7 +22,7 @@ CAPACITY = 2048
 GROUP_PIECES = 4096
 #: Rounds in which groups with a gap exchange documents.
 ROUNDS = 3
-#: Words, and runs of characters between white space, whose ids a worker keeps.
+#: Words, and runs of characters between white space, whose ids a worker keeps at least.
 CACHE_WORDS = 200_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -34,17 +34,26 @@ _WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
 
 
 class _Ids(dict):
-    """Ids by text; what is missing is made and kept, up to a number of entries."""
+    """Ids by text; what is missing is made and kept. A full table becomes the older one, from which texts that are
+    asked for again move over, so that frequent ones stay."""
 
     def __init__(self, make: Callable[[str], bytes]):
-        self.make = make
+        self.make, self.older = make, {}
 
     def __missing__(self, text: str) -> bytes:
         if len(self) >= CACHE_WORDS:
+            self.older = dict(self)
             self.clear()
-        ids = self[text] = self.make(text)
+        ids = self.older.get(text)
+        if ids is None:
+            ids = self.make(text)
+        self[text] = ids
         return ids
 
+    def forget(self) -> None:
+        self.clear()
+        self.older = {}
+
 
 def _byte_letters() -> list[str]:
     """The letter that stands for each byte in byte-level vocabularies: printable Latin-1 is itself, others follow U+0100."""
@@ -75,8 +84,8 @@ class WordTokenizer:
         self.runs = _Ids(lambda run: b"".join([words[w] for w in _WORDS.findall(run)]))
 
     def forget(self) -> None:
-        self.words.clear()
-        self.runs.clear()
+        self.words.forget()
+        self.runs.forget()
 
     def whole(self, texts: list[str]) -> list[bytes]:
         """By the library alone."""
