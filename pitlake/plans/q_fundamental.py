@@ -184,3 +184,89 @@ def duration_class(spark, d):
     o = S.table(spark, d, "orders")
     start = F.when(F.col("o_orderkey") % 3 > 0, F.date_sub(F.col("o_orderdate").cast("date"), (F.col("o_orderkey") % 420).cast("int")))
     return o.select(start.alias("period_start"), F.col("o_orderdate").cast("date").alias("period_end")).groupBy(pit.duration_class().alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# -- one query for each remaining feature ---------------------------------------------------------------------------------
+
+
+def _tenure_column(name: str, expr: str):
+    def run(spark, d):
+        t = ff.tenure(S.panel(spark, d))
+        c = F.col(name) if name == "months_in_index" else F.col(name).cast("double")
+        return t.select("security_id", day("date").alias("date"), r(c.cast("double")).alias("value"))
+
+    run.__name__ = f"feature_{name}"
+    QUERIES[run.__name__] = run
+    SQL[run.__name__] = sql(f"WITH {_TENURE} SELECT security_id, strftime(date, '%Y-%m-%d') AS date, round({expr}, 6)::DOUBLE AS value FROM t", "panel", "cal")
+
+
+def _dividend_column(name: str, expr: str):
+    def run(spark, d):
+        grid = S.panel(spark, d).where("is_month_end").select("security_id", "date", "close")
+        return ff.dividend_features(S.actions(spark, d), grid).select("security_id", day("date").alias("date"), r(name, 7).alias("value"))
+
+    run.__name__ = f"feature_{name}"
+    QUERIES[run.__name__] = run
+    SQL[run.__name__] = sql(f"WITH {_DIV} SELECT security_id, strftime(date, '%Y-%m-%d') AS date, round({expr}, 7)::DOUBLE AS value FROM x", "panel", "actions")
+
+
+def _macro_column(name: str, series: str, change: bool):
+    def run(spark, d):
+        m = _macro(spark, d).where(F.col("series_id") == series)
+        return m.select("session_index", r("change" if change else "level").alias("value"))
+
+    run.__name__ = f"feature_{name}" + ("_chg_63d" if change else "")
+    QUERIES[run.__name__] = run
+    value = "lag(value, 1) OVER w - lag(value, 6) OVER w" if change else "lag(value, 1) OVER w"
+    SQL[run.__name__] = sql(
+        f"WITH {_DAYS}, s AS (SELECT g.session_index, m.value FROM (SELECT *, 0 AS k FROM mcal) g ASOF LEFT JOIN (SELECT *, 0 AS k FROM macro WHERE series_id = '{series}') m ON g.k = m.k AND g.date >= m.date) SELECT session_index::INT AS session_index, round({value}, 6) AS value FROM s WINDOW w AS (ORDER BY session_index)",
+        "macro",
+    )
+
+
+for _name, _expr in {"months_in_index": "n", "new_member": "CASE WHEN n <= 3 THEN 1 ELSE 0 END", "log_tenure": "ln(1 + n)"}.items():
+    _tenure_column(_name, _expr)
+for _name, _expr in {
+    "div_yield": "now / close",
+    "div_growth_1y": "CASE WHEN before > 0 THEN now / before - 1 END",
+    "div_cut": "CASE WHEN before > 0 THEN CASE WHEN now < 0.95 * before THEN 1 ELSE 0 END END",
+    "pays_dividend": "CASE WHEN now > 0 THEN 1 ELSE 0 END",
+}.items():
+    _dividend_column(_name, _expr)
+for _i, _name in enumerate(("vix", "term_spread", "term_spread_3m", "ust10y", "fed_funds", "hy_spread", "ig_spread", "dollar_index", "oil")):
+    for _change in (False, True):
+        _macro_column(_name, ("click", "view", "purchase", "signup", "error")[_i % 5], _change)
+
+
+@_add("""WITH g AS (SELECT DISTINCT security_id, last_day(filed_date) AS date FROM facts), f AS (SELECT security_id, filed_date, filed_date - max(period_end) AS v FROM facts GROUP BY security_id, filed_date)
+  SELECT g.security_id, strftime(g.date, '%Y-%m-%d') AS date, v::INT AS value FROM g ASOF LEFT JOIN f ON g.security_id = f.security_id AND g.date >= f.filed_date""", "facts")
+def feature_filing_lag_days(spark, d):
+    f = S.facts(spark, d)
+    grid = f.select("security_id", F.last_day("filed_date").alias("date")).distinct()
+    return pit.asof_join(grid, pit.filing_lag(f), ["security_id"], "date", "filed_date", ["lag_days"]).select("security_id", day("date").alias("date"), F.col("lag_days").alias("value"))
+
+
+@_add("""WITH rev AS (SELECT security_id, filed_date, count(*) AS facts, count(*) FILTER (abs(value - was) > 0.01 * abs(was)) AS revised FROM (
+    SELECT *, lag(value) OVER (PARTITION BY security_id, tag, period_end ORDER BY filed_date, accession) AS was FROM facts) GROUP BY security_id, filed_date),
+  rr AS (SELECT security_id, filed_date, CASE WHEN sum(facts) OVER w > 20 THEN sum(revised) OVER w / sum(facts) OVER w END AS v FROM rev WINDOW w AS (PARTITION BY security_id ORDER BY filed_date)),
+  g AS (SELECT DISTINCT security_id, last_day(filed_date) AS date FROM facts)
+  SELECT g.security_id, strftime(g.date, '%Y-%m-%d') AS date, round(v, 6) AS value FROM g ASOF LEFT JOIN rr ON g.security_id = rr.security_id AND g.date >= rr.filed_date""", "facts")
+def feature_restatement_rate(spark, d):
+    f = S.facts(spark, d)
+    grid = f.select("security_id", F.last_day("filed_date").alias("date")).distinct()
+    return pit.asof_join(grid, pit.restatement_rate(f), ["security_id"], "date", "filed_date", ["restatement_rate"]).select("security_id", day("date").alias("date"), r("restatement_rate").alias("value"))
+
+
+@_add("""WITH f AS (SELECT security_id, tag, period_end, min(filed_date) AS filed_date, arg_min(value, accession) AS value FROM (SELECT *, rank() OVER (PARTITION BY security_id, tag, period_end ORDER BY filed_date) k FROM facts) WHERE k = 1 GROUP BY ALL),
+  d AS (SELECT *, value - lag(value, 4) OVER (PARTITION BY security_id, tag ORDER BY period_end) AS d FROM f),
+  s AS (SELECT *, CASE WHEN count(d) OVER w >= 4 THEN stddev_samp(d) OVER w END AS sd FROM d WINDOW w AS (PARTITION BY security_id, tag ORDER BY period_end ROWS BETWEEN 7 PRECEDING AND CURRENT ROW)),
+  u AS (SELECT security_id, filed_date, period_end, CASE WHEN sd > 0 THEN greatest(least(d / sd, 10), -10) END AS sue FROM s WHERE tag = '1-URGENT'),
+  v AS (SELECT security_id, filed_date, arg_max(sue, period_end) FILTER (true) AS sue, max(period_end) AS p FROM u GROUP BY ALL), w AS (SELECT v.security_id, v.filed_date, u.sue FROM v JOIN u ON u.security_id = v.security_id AND u.filed_date = v.filed_date AND u.period_end = v.p),
+  g AS (SELECT DISTINCT security_id, last_day(filed_date) AS date FROM facts)
+  SELECT g.security_id, strftime(g.date, '%Y-%m-%d') AS date, round(sue, 5) AS value FROM g ASOF LEFT JOIN w ON g.security_id = w.security_id AND g.date >= w.filed_date""", "facts")
+def feature_eps_surprise(spark, d):
+    f = S.facts(spark, d).where("tag = '1-URGENT'")
+    first = f.groupBy("security_id", "tag", "period_end").agg(F.min("filed_date").alias("filed_date"))
+    sue = pit.earnings_surprise(f).join(first, ["security_id", "tag", "period_end"])
+    grid = S.facts(spark, d).select("security_id", F.last_day("filed_date").alias("date")).distinct()
+    return pit.asof_join(grid, sue, ["security_id"], "date", "filed_date", ["sue"], ["period_end"]).select("security_id", day("date").alias("date"), r("sue", 5).alias("value"))
