@@ -51,8 +51,8 @@ def period_prices(weights: DataFrame, panel: DataFrame, schedule: DataFrame) ->
 _HOLD = "run string, period int, security_id long, exec int, until int, shares double, price double, delta double, commission double, spread double, fixed double, status string, nav double, cash double"
 
 
-def _fold(capital: float, m: CostModel, delist: dict[int, float], field: str):
-    def costs(delta: np.ndarray, price: np.ndarray, hs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _fold(capital: float, models: dict[str, CostModel], delist: dict[int, float], field: str):
+    def costs(m: CostModel, delta: np.ndarray, price: np.ndarray, hs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         value = np.abs(delta)
         by_share = m.rate * np.divide(value, price, out=np.zeros_like(value), where=price > 0)
         commission = np.where(value > 0, np.minimum(np.maximum(by_share, m.minimum), m.most * value), 0.0)
@@ -60,6 +60,7 @@ def _fold(capital: float, m: CostModel, delist: dict[int, float], field: str):
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         name = rows["run"].iloc[0]
+        m = models.get(name.rpartition("|")[2]) or models[""]
         cash, held, out = capital, {}, []
         for period, now in rows.sort_values(["period", "security_id"]).groupby("period", sort=True):
             ids = now["security_id"].tolist()
@@ -79,8 +80,8 @@ def _fold(capital: float, m: CostModel, delist: dict[int, float], field: str):
                 scale = min(1.0, max(0.0, budget) / max(target.sum() * (nav - spent), 1e-12))
                 want = np.where(ok, target * (nav - spent) * scale, value)
                 delta = want - value
-                terms = costs(delta, np.where(ok, fill, 1.0), hs)
-                sold = costs(-np.array(list(others.values())), np.ones(len(others)), np.full(len(others), np.nan)) if others else (np.zeros(0),) * 3
+                terms = costs(m, delta, np.where(ok, fill, 1.0), hs)
+                sold = costs(m, -np.array(list(others.values())), np.ones(len(others)), np.full(len(others), np.nan)) if others else (np.zeros(0),) * 3
                 spent = float(sum(t.sum() for t in terms) + sum(t.sum() for t in sold))
             cash = nav - float(want.sum()) - spent
             held = {}
@@ -112,7 +113,15 @@ def run_backtest(weights: DataFrame, panel: DataFrame, schedule: DataFrame, m: C
     `with_closing_rows`), so that its sale is recorded.
     """
     rows = period_prices(weights, panel, schedule)
-    return rows.groupBy("run").applyInPandas(_fold(capital, m, delist or {}, _HOLD), _HOLD)
+    return rows.groupBy("run").applyInPandas(_fold(capital, {"": m}, delist or {}, _HOLD), _HOLD)
+
+
+def run_settings(weights: DataFrame, panel: DataFrame, schedule: DataFrame, models: dict[str, CostModel], capital: float = 100_000.0, delist: dict[int, float] | None = None) -> DataFrame:
+    """The holdings of each run under each cost model, as run "name|model": prices are joined once for all, and each run is
+    a fold of its own, so runs are as parallel as there are of them."""
+    rows = period_prices(weights, panel, schedule).withColumn("_m", F.explode(F.array(*[F.lit(k) for k in models])))
+    rows = rows.withColumn("run", F.concat("run", F.lit("|"), "_m")).drop("_m")
+    return rows.groupBy("run").applyInPandas(_fold(capital, models, delist or {}, _HOLD), _HOLD)
 
 
 def with_closing_rows(weights: DataFrame, schedule: DataFrame) -> DataFrame:

@@ -29,15 +29,15 @@ class Construction:
             raise ValueError("gross must lie in (0, 1]")
 
 
-def top_k(scores: DataFrame, k: int) -> DataFrame:
+def top_k(scores: DataFrame, k: int, by: tuple[str, ...] = ("date",)) -> DataFrame:
     """The k best scores of each date; ties by a hash that has nothing to do with ids."""
-    w = Window.partitionBy("date").orderBy(F.desc("score"), stable_key(F.col("security_id")))
+    w = Window.partitionBy(*by).orderBy(F.desc("score"), stable_key(F.col("security_id")))
     return scores.where("score IS NOT NULL").withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
 
 
-def raw_weights(picked: DataFrame, scheme: str) -> DataFrame:
+def raw_weights(picked: DataFrame, scheme: str, by: tuple[str, ...] = ("date",)) -> DataFrame:
     """Weights before the cap, summing to 1 per date."""
-    w = Window.partitionBy("date")
+    w = Window.partitionBy(*by)
     if scheme == "equal":
         raw = F.lit(1.0)
     elif scheme == "score":
@@ -67,17 +67,17 @@ def cap_weights(weights: DataFrame, cap: float, by: tuple[str, ...] = ("date",))
     return rows.withColumn("weight", capped).drop("_i", "_n", "_rest", "_m", "_tail")
 
 
-def build_weights(scores: DataFrame, how: Construction) -> DataFrame:
+def build_weights(scores: DataFrame, how: Construction, by: tuple[str, ...] = ("date",)) -> DataFrame:
     """date, security_id, weight from (date, security_id, eligible, score[, vol][, gross]); no rows where a date has fewer
-    than min_names to choose from."""
+    than min_names to choose from. With by=("run", "date") the scores of many runs are done in one plan."""
     rows = scores.where("eligible AND score IS NOT NULL")
-    rows = rows.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("date"))).where(F.col("_n") >= how.min_names).drop("_n")
-    picked = top_k(rows, how.top if how.top is not None else 1 << 30)
-    out = raw_weights(picked, how.scheme)
+    rows = rows.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*by))).where(F.col("_n") >= how.min_names).drop("_n")
+    picked = top_k(rows, how.top if how.top is not None else 1 << 30, by)
+    out = raw_weights(picked, how.scheme, by)
     if how.cap is not None:
-        out = cap_weights(out, how.cap)
+        out = cap_weights(out, how.cap, by)
     gross: Column = F.lit(how.gross) * (F.col("gross") if "gross" in scores.columns else F.lit(1.0))
-    return out.select("date", "security_id", (F.col("weight") * gross).alias("weight"))
+    return out.select(*by, "security_id", (F.col("weight") * gross).alias("weight"))
 
 
 def violations(weights: DataFrame, tolerance: float = 1e-9) -> DataFrame:

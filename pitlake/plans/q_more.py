@@ -101,13 +101,10 @@ def benchmark_rebased(spark, d):
 @_add()
 def cost_settings(spark, d):
     """One strategy under all cost settings: last value of each run."""
-    sched, p = _schedule(spark, d), S.dense_panel(spark, d)
-    w = backtest.with_closing_rows(_run_weights(spark, d), sched)
-    out = None
-    for name, m in costs.SETTINGS.items():
-        h = backtest.run_backtest(w, p, sched, m).groupBy(F.lit(name).alias("setting")).agg(F.max_by("nav", "period").alias("nav"), F.sum(F.col("commission") + F.col("spread") + F.col("fixed")).alias("cost"))
-        out = h if out is None else out.unionByName(h)
-    return out.select("setting", r("nav", 2).alias("nav"), r("cost", 2).alias("cost"))
+    sched = _schedule(spark, d)
+    h = backtest.run_settings(backtest.with_closing_rows(_run_weights(spark, d), sched), S.dense_panel(spark, d), sched, costs.SETTINGS)
+    out = h.groupBy("run").agg(F.max_by("nav", "period").alias("nav"), F.sum(F.col("commission") + F.col("spread") + F.col("fixed")).alias("cost"))
+    return out.select(F.element_at(F.split("run", r"\|"), 2).alias("setting"), r("nav", 2).alias("nav"), r("cost", 2).alias("cost"))
 
 
 @_add()
@@ -346,3 +343,17 @@ def spread_join(spark, d):
     spreads = p.select("security_id", "date", F.col("half_spread").alias("hs"))
     return p.drop("half_spread").join(spreads, ["security_id", "date"], "left").groupBy("security_id").agg(F.count(F.lit(1)).alias("rows_"), r(F.max("hs")).alias("most"))
 
+
+
+@_add()
+def backtest_roster(spark, d):
+    """Several strategies under all cost settings at once: one plan for the weights and prices of all, one fold a run."""
+    p, sched = S.dense_panel(spark, d), _schedule(spark, d)
+    x = price_features.price_features(p, 3).where("is_month_end").withColumn("eligible", F.col("in_index"))
+    names = ("equal_weight", "momentum_12_1", "low_vol", "short_reversal", "week52_breakout", "overnight_momentum")
+    for name in names:
+        x = signals.REGISTRY[name](x).withColumnRenamed("score", f"s_{name}")
+    long = x.select("date", "security_id", "eligible", F.explode(F.array(*[F.struct(F.lit(n).alias("run"), F.col(f"s_{n}").cast("double").alias("score")) for n in names])).alias("v"))
+    weights = portfolio.build_weights(long.select("date", "security_id", "eligible", "v.run", "v.score"), portfolio.Construction(top=4), ("run", "date"))
+    h = backtest.run_settings(backtest.with_closing_rows(weights, sched), p, sched, costs.SETTINGS)
+    return h.groupBy("run").agg(F.count_if(F.col("delta") != 0).alias("orders"), F.max("period").alias("last_period"))

@@ -146,3 +146,12 @@ def genetic_search(spark, d):
     _, history = evolve.evolve(ranked, ["f1", "f2"], folds, size=6, generations=2, top=3)
     ranked.unpersist()
     return spark.createDataFrame([(h["generation"], float(h["best"]), h["distinct"]) for h in history], "generation int, best double, distinct int")
+
+
+@_add()
+def genome_population(spark, d):
+    """The fitness of 256 genomes in one plan."""
+    rng = np.random.default_rng(11)
+    g = evolve.genomes_frame(spark, [rng.uniform(-1, 1, 2) for _ in range(256)])
+    found = evolve.objective(evolve.evaluate(g, _ranked(spark, d), ["f1", "f2"], 3), evolve.contiguous_folds("1995-06-01", "2001-06-01", 3))
+    return found.select("genome", r("fitness", 5).alias("fitness"), "folds")
