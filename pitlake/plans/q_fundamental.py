@@ -113,6 +113,14 @@ def market_cap(spark, d):
     return ff.market_cap(S.facts(spark, d), splits, prices, 1e8).select("security_id", day("date").alias("date"), r("market_cap", 1).alias("market_cap"))
 
 
+@_add(None)
+def market_cap_whole(spark, d):
+    """Of every bar; market_cap and its SQL hold the first week of the months of 25 securities."""
+    splits = S.actions(spark, d).where("action_type = 'split'")
+    caps = ff.market_cap(S.facts(spark, d), splits, S.bars(spark, d).select("security_id", "date", "close"), 1e8)
+    return caps.select("security_id", day("date").alias("date"), r("market_cap", 1).alias("market_cap"))
+
+
 @_add("""SELECT g.security_id, strftime(g.date, '%Y-%m-%d') AS date, (g.date - f.filed_date)::INT AS days_since_filing FROM (SELECT DISTINCT security_id, last_day(filed_date) AS date FROM facts) g
          ASOF LEFT JOIN (SELECT DISTINCT security_id, filed_date FROM facts) f ON g.security_id = f.security_id AND g.date >= f.filed_date""", "facts")
 def feature_days_since_filing(spark, d):
@@ -155,6 +163,12 @@ def feature_div_due_1m(spark, d):
     return ff.dividend_due(a, grid).withColumn("date", day("date"))
 
 
+@_add(None)
+def feature_div_due_1m_whole(spark, d):
+    """Of every security and all dividends; feature_div_due_1m and its SQL hold one security of seven and days 9, 18 and 27."""
+    return ff.dividend_due(S.actions(spark, d), S.panel(spark, d).where("is_month_end")).withColumn("date", day("date"))
+
+
 _DAYS = "mcal AS (SELECT CAST(d AS DATE) AS date, row_number() OVER (ORDER BY d) - 1 AS session_index FROM (SELECT DISTINCT CAST(ts AS DATE) AS d FROM events))"
 
 

@@ -2,6 +2,7 @@
 
 import math
 import random
+import statistics
 
 import numpy as np
 import pandas as pd
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 
 from pitlake.functions import exprs
 from pitlake.operators import adjust, backtest, costs, evolve, experiments, identity, learned, metrics, panel, pit, portfolio, quality, timing
+from pitlake.plans import registry
+from pitlake.plans import standins as S
 from pitlake.sources import lake, parse
 from pitlake.streaming import ingest
 
@@ -306,3 +309,39 @@ def test_command_line(spark, tmp_path, tiny, capsys):
     out = capsys.readouterr().out
     assert "daily_bars" in out and "beta_252d" in out
     assert lk.read("gold", "features").count() > 0
+
+
+def test_market_cap_of_every_bar(spark, tiny):
+    bars_ = S.bars(spark, tiny).collect()
+    facts, splits = {}, {}
+    for f in S.facts(spark, tiny).collect():
+        facts.setdefault(f.security_id, {}).setdefault(f.filed_date, []).append(f.value)
+    for a in S.actions(spark, tiny).where("action_type = 'split'").collect():
+        splits.setdefault(a.security_id, []).append(a.date)
+    want = {}
+    for b in bars_:
+        filed = max((f for f in facts.get(b.security_id, ()) if f <= b.date), default=None)
+        cap = max(facts[b.security_id][filed]) * 2.0 ** sum(filed < s <= b.date for s in splits.get(b.security_id, ())) * b.close if filed else 0
+        want[b.security_id, b.date.isoformat()] = cap if cap >= 1e8 else None
+    rows = registry.queries()["market_cap_whole"](spark, tiny).collect()
+    got = {(r.security_id, r.date): r.market_cap for r in rows}
+    assert len(rows) == len(got) == len(want) and got.keys() == want.keys()
+    assert all(got[k] == (None if v is None else pytest.approx(v, abs=0.06)) for k, v in want.items())
+    assert {k[1][8:] for k, v in got.items() if v is not None} > {f"{i:02d}" for i in range(1, 28)}
+
+
+def test_dividend_due_of_every_security(spark, tiny):
+    ex = {}
+    for a in S.actions(spark, tiny).where("action_type = 'dividend'").collect():
+        ex.setdefault(a.security_id, set()).add(a.date)
+    want = {}
+    for g in S.panel(spark, tiny).where("is_month_end").collect():
+        known = sorted(x for x in ex.get(g.security_id, ()) if x <= g.date)[-5:]
+        due = None
+        if len(known) >= 3:
+            gap = statistics.median((b - a).days for a, b in zip(known, known[1:], strict=False))
+            due = float(20 <= gap <= 200 and -10 <= (known[-1] - g.date).days + gap <= 31)
+        want[g.security_id, g.date.isoformat()] = due
+    rows = registry.queries()["feature_div_due_1m_whole"](spark, tiny).collect()
+    assert len(rows) == len(want) and {(r.security_id, r.date): r.div_due_1m for r in rows} == want
+    assert {k[0] for k in want} == set(range(10)) and set(want.values()) == {None, 0.0, 1.0}
