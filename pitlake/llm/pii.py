@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import datetime
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
+from functools import cache
 from hashlib import blake2b
 
 import pyarrow as pa
@@ -81,12 +83,23 @@ def card(s: str, permute: Permutation) -> str | None:
     d = _digits(s)
     if not 13 <= len(d) <= 19 or luhn_digit(d[:-1]) != d[-1]:
         return None
-    body = _number(d[:-1], permute, "card")
-    return _fill(s, body + luhn_digit(body))
+    new = d
+    while True:  # with digits after it, it must be as valid or invalid as before, else undoing would read it otherwise
+        body = _number(new[:-1], permute, "card")
+        new = body + luhn_digit(body)
+        if luhn_digit(new) == luhn_digit(d):
+            return _fill(s, new)
+
+
+#: What stays of a phone number: country codes, and the 1 or 0 that shapes with it begin with.
+_HEAD = re.compile(
+    r"\+\d{1,3}(?=[ .(-])|\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
+    r"|1(?=[ .-]\d{3}[ .-]\d{3}[ .-]\d{4}\Z|[ .-]?\()|0(?!\d\d[ .-]\d{3}[ .-]\d{4}\Z)"
+)
 
 
 def phone(s: str, permute: Permutation) -> str | None:
-    m = re.match(r"\+\d{1,3}(?=[ .(-])", s)
+    m = _HEAD.match(s)
     head = m[0] if m else ""
     rest = s[len(head) :]
     d = _digits(rest)
@@ -148,7 +161,66 @@ def iban(s: str, permute: Permutation) -> str | None:
     return "".join(" " if c == " " else next(it) for c in s)
 
 
+#: Months by name, in English, German, French and Spanish: the first language that has a name is taken to be its own.
+_MONTHS: dict[str, tuple[int, int]] = {}
+for _lang, _names in enumerate((
+    "january february march april may june july august september october november december",
+    "jan feb mar apr _ jun jul aug sep oct nov dec",
+    "januar februar märz _ mai juni juli _ _ oktober _ dezember",
+    "janvier février mars avril _ juin juillet août septembre octobre novembre décembre",
+    "enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre",
+)):
+    for _i, _name in enumerate(_names.split(), 1):
+        if _name != "_":
+            _MONTHS.setdefault(_name, (_lang, _i))
+_NAME = "(?:" + "|".join(sorted({f(n) for n in _MONTHS for f in (str.lower, str.upper, str.title)}, key=lambda n: (-len(n), n))) + ")"
+_YEAR = r"(?:19|20)\d\d"
+_ORDINAL = {"": range(1, 32), "er": (1,), "st": (1, 21, 31), "nd": (2, 22), "rd": (3, 23), "th": (*range(4, 21), *range(24, 31))}
+
+
+def _days(fits: Callable[[datetime.date], bool]) -> list[int]:
+    return [d for d in range(FIRST_DAY, LAST_DAY + 1) if fits(datetime.date.fromordinal(d))]
+
+
+@cache
+def _named_days(months: tuple[int, ...], ordinal: str, width: int) -> list[int]:
+    return _days(lambda x: x.month in months and x.day in _ORDINAL[ordinal] and (width == 1) == (x.day < 10))
+
+
+@cache
+def _narrow_days(day: str, month: str, both: bool | None) -> list[int]:
+    """Days whose day and month are as wide (a leading 0 is 0, else 1 or 2) and that both orders can read or not."""
+    ok = {"0": range(1, 10), "1": range(1, 10), "2": range(10, 32)}
+    return _days(lambda x: x.day in ok[day] and x.month in ok[month] and both in (None, x.day <= 12))
+
+
+def named_date(s: str, permute: Permutation) -> str | None:
+    """A date with its month's name: another of the same language and length, the day as wide and its ordinal as it was."""
+    name = re.search(r"[^\W\d_]{3,}", s)
+    lang, month = _MONTHS[name[0].lower()]
+    near = {i: n for n, (k, i) in _MONTHS.items() if k == lang and len(n) == len(name[0])}
+    m = re.search(r"(?<!\d)(\d{1,2})(st|nd|rd|th|er|)(?![\dA-Za-z])", s)
+    if m is None or m[1][0] == "0" and m[2]:
+        return None
+    try:
+        day = datetime.date(int(s[-4:]), month, int(m[1])).toordinal()
+    except ValueError:
+        return None
+    days = _named_days(tuple(sorted(near)), m[2], 0 if m[1][0] != "0" and len(m[1]) == 2 else 1)
+    at = bisect_left(days, day)
+    if at == len(days) or days[at] != day:
+        return None
+    got = datetime.date.fromordinal(days[permute(at, len(days), f"date {lang} {len(name[0])} {m[2]} {len(m[1])}")])
+    new = near[got.month]
+    new = new.upper() if name[0].isupper() else new.title() if name[0][0].isupper() else new
+    out = s[:-4] + f"{got.year:04d}"
+    out = out[: m.start(1)] + f"{got.day:0{len(m[1])}d}" + out[m.end(1) :]
+    return out[: name.start()] + new + out[name.end() :]
+
+
 def date(s: str, permute: Permutation) -> str | None:
+    if any(c.isalpha() for c in s):
+        return named_date(s, permute)
     sep = next(c for c in s if not c.isdigit())
     parts = s.split(sep)
     year_first = len(parts[0]) == 4
@@ -162,6 +234,12 @@ def date(s: str, permute: Permutation) -> str | None:
             return None
         # dates that both orders can read must stay such, and others must not become such
         both = not year_first and int(parts[m]) <= 12 and int(parts[d]) <= 12
+        if 1 in (len(parts[m]), len(parts[d])):
+            shape = ["0" if p[0] == "0" else str(len(p)) for p in (parts[d], parts[m])]
+            days = _narrow_days(*shape, None if year_first else both)
+            got = datetime.date.fromordinal(days[permute(bisect_left(days, day), len(days), f"date {y}{m} {shape} {both}")])
+            out = {y: f"{got.year:04d}", m: f"{got.month:0{len(parts[m])}d}", d: f"{got.day:0{len(parts[d])}d}"}
+            return sep.join(out[i] for i in range(3))
         new = day - FIRST_DAY
         while True:
             new = permute(new, LAST_DAY - FIRST_DAY + 1, "date")
@@ -192,14 +270,45 @@ FORMATS: tuple[tuple[str, str, Callable[[str, Permutation], str | None]], ...] =
     ("iban", r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", iban),
     ("secret", r"(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![A-Za-z0-9])", secret),
     ("ipv4", r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\.?\d)", ipv4),
-    ("date", r"(?:(?:19|20)\d\d-\d\d-\d\d|(?:19|20)\d\d/\d\d/\d\d|\d\d\.\d\d\.(?:19|20)\d\d|\d\d/\d\d/(?:19|20)\d\d)(?!\d)", date),
+    (
+        "date",
+        rf"(?:{_YEAR}(?:-\d\d?-|/\d\d?/|\.\d\d?\.)\d\d?|\d\d?(?:/\d\d?/|\.\d\d?\.|-\d\d?-){_YEAR}"
+        rf"|\d\d?(?:st|nd|rd|th|er|\.)?(?: |-| de | of ){_NAME}(?:\.?,? | de |-){_YEAR}|{_NAME}\.? \d\d?(?:st|nd|rd|th)?,? {_YEAR})(?!\d)",
+        date,
+    ),
     ("ssn", r"\d{3}-\d{2}-\d{4}(?![\d-])", ssn),
-    ("phone", r"(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]\d{3,4}(?!\d)|(?:\+\d{1,3}[ .-])(?:\d{2,4}[ .-]){1,4}\d{2,4}(?!\d)|\d{3}[.-]\d{3}[.-]\d{4}(?!\d)", phone),
+    (
+        "phone",
+        r"(?:\+\d{1,3}[ .-]?|1[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]\d{3,4}(?!\d)|\+\d{1,3}[ .-](?:\d{1,4}[ .-]){0,5}\d{2,12}(?!\d)|\+[1-9]\d{7,14}(?!\d)"
+        r"|(?:1[ .-])?\d{3}[ .-]\d{3}[ .-]\d{4}(?!\d)|0\d(?:[ .-]\d\d){4}(?![ -]?\d)|0\d{2,4}[ .-]\d{3,4}[ .-]\d{3,4}(?!\d|[ -]\d{3})",
+        phone,
+    ),
     ("card", r"\d(?:[ -]?\d){12,18}(?!\d)", card),
 )
 _ANY = re.compile(r"(?<![\w])(?<!\d[.-])(?:" + "|".join(f"(?P<{k}>{p})" for k, p, _ in FORMATS) + ")")
 _EACH = {k: (re.compile(p), f) for k, p, f in FORMATS}
 _SOME = re.compile(r"[0-9@]")
+#: What may part a value from digits or words behind it that its pattern takes up.
+_BREAKS = {"iban": " ", "phone": " .-", "card": " -"}
+_REGULAR = re.compile(r"\d{13,19}(?!\d)|\d{4}([ -])\d{4}\1\d{4}\1\d{4}(?!\d)|\d{4}[ -]\d{6}[ -]\d{4,5}(?!\d)")
+_TAIL = re.compile(r"[./]\d")
+
+
+def _places(kind: str, text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
+    """Where a value may lie in what its pattern found, the whole of it first. A card that only part of the found digits
+    make up is looked for in the usual groups first, from the start on or further on."""
+    breaks = [k for k in range(start + 1, end - 1) if text[k] in _BREAKS.get(kind, "")]
+    if kind != "card":
+        yield start, end
+        yield from ((start, k) for k in reversed(breaks))
+        return
+    ends = [k for k in (*breaks, end) if sum(map(str.isdigit, text[start:k])) >= 13]
+    if len(ends) > 1 and _TAIL.match(text, end):  # the last digits begin an address or a date
+        ends.pop()
+    yield start, ends[-1]
+    regular = [(k, m.end()) for k in (start, *(b + 1 for b in breaks)) if (m := _REGULAR.match(text, k))]
+    yield from regular
+    yield from ((start, k) for k in reversed(ends[:-1]))
 
 
 def replace(text: str, permute: Permutation) -> tuple[str, list[tuple[str, int, int]]]:
@@ -211,17 +320,16 @@ def replace(text: str, permute: Permutation) -> tuple[str, list[tuple[str, int,
         pos = m.start() + 1
         for kind, (pattern, change) in _EACH.items():
             own = pattern.match(text, m.start())
-            whole = own[0] if own else ""
-            new = change(whole, permute) if own else None
-            while own and new is None and kind == "iban" and " " in whole:  # a word that follows may look like a part
-                whole = whole.rpartition(" ")[0]
-                new = change(whole, permute)
-            if new is not None:
-                end = m.start() + len(whole)
-                out += [text[at : m.start()], new]
-                found.append((kind, m.start(), end))
-                at = pos = end
-                break
+            for begin, end in _places(kind, text, *own.span()) if own else ():
+                new = change(text[begin:end], permute)
+                if new is not None:
+                    break
+            else:
+                continue
+            out += [text[at:begin], new]
+            found.append((kind, begin, end))
+            at = pos = end
+            break
     return "".join([*out, text[at:]]), found
 
 
@@ -235,6 +343,9 @@ def pseudonymise(docs: DataFrame, key: bytes, column: str = "text", spans: str =
     names and hexadecimal secrets that are valid in their format become others that are as well; equal values
     become equal ones in all documents, and with `undo` the same key gives them back. All else stays, and so
     does the length. A null text stays null with no spans. Columns of docs stay, but for a former `spans`.
+
+    Dates are three numbers or have the month's name in English, German, French or Spanish. Phone numbers begin with +, (,
+    1 or 0, or are 3-3-4 digits. Digits behind a card number are part of it if the check digit holds with them as well.
     """
     small_batches(docs.sparkSession)
     docs = docs.drop(spans)
