@@ -27,6 +27,8 @@ _SPACE = re.compile(r"\s+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe object svg math canvas textarea select title head".split())
+#: Those of RAW whose content is text up to the end tag, or up to the end of the page if there is none.
+HIDES = frozenset("script style title textarea".split())
 BLOCK = frozenset(
     "html body article section main div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre "
     "figure figcaption nav header footer aside form fieldset address details summary center hgroup search dialog menu".split()
@@ -66,11 +68,13 @@ class Node:
 
 def parse(page: str) -> Node:
     """The block elements of a page as a tree; inline elements are part of their block, their tags forgotten, and
-    hidden or embedded matter is left out. Any text is a page: end tags may be missing or be too many."""
+    hidden or embedded matter is left out. Any text is a page: end tags may be missing or be too many. Only script, style,
+    title and textarea without an end tag hide the rest, as in browsers; of others without one just the tag is left out."""
     root = Node("html", "", None)
     here, at, link = root, 0, False
     stack: list[Node] = [root]
     size = len(page)
+    pairs: dict[int, int] | None = None
     while at < size:
         m = _TOKEN.search(page, at)
         begin = m.start() if m else size
@@ -94,10 +98,14 @@ def parse(page: str) -> Node:
                     if stack[k].tag in WALL and tag in ("p", "li", "td", "th", "tr"):
                         break
             continue
-        if tag in RAW and not m[4]:
-            close = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I) if tag not in _ENDS else _ENDS[tag]
-            end = close.search(page, at)
-            at = end.end() if end else (at if tag == "head" else size)
+        if tag in HIDES:
+            end = _ENDS[tag].search(page, at)
+            at = end.end() if end else size
+            continue
+        if tag in RAW:
+            if not _self_closed(tag, m[3]):
+                pairs = _pairs(page, begin) if pairs is None else pairs
+                at = pairs.get(begin, at)
             continue
         if tag == "br" or tag == "hr":
             here.items.append((" ", False))
@@ -124,6 +132,36 @@ def parse(page: str) -> Node:
 
 
 _ENDS = {t: re.compile(rf"</{t}\b[^>]*>?", re.I) for t in RAW}
+_BARE = re.compile(r"=\s*[^\s\"'>]*/\Z")
+
+
+def _self_closed(tag: str, attrs: str) -> bool:
+    """Whether a tag is an element of its own; only those of svg and math can be, and a slash in a bare value is the value's."""
+    return tag in ("svg", "math") and attrs.endswith("/") and not _BARE.search(attrs)
+
+
+def _pairs(page: str, at: int) -> dict[int, int]:
+    """Where elements of RAW that may be nested end, by where they begin; those without an end tag are not there."""
+    out: dict[int, int] = {}
+    opened: dict[str, list[int]] = {t: [] for t in RAW}
+    endless = set()
+    while m := _TOKEN.search(page, at):
+        at, tag = m.end(), (m[2] or "").lower()
+        if tag not in RAW:
+            continue
+        if tag in HIDES:
+            if m[1] or tag in endless or m[3].endswith("/") and (opened["svg"] or opened["math"]):
+                continue
+            if end := _ENDS[tag].search(page, at):
+                at = end.end()
+            else:
+                endless.add(tag)
+        elif m[1]:
+            if opened[tag]:
+                out[opened[tag].pop()] = at
+        elif not _self_closed(tag, m[3]):
+            opened[tag].append(m.start())
+    return out
 
 
 def nodes_of(root: Node) -> list[Node]:

@@ -6,6 +6,7 @@ import hashlib
 import json
 import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -405,6 +406,25 @@ def test_html(spark, tiny):
     assert all(len(r.text) == r.n_chars for r in pages) and sum(bool(r.text) for r in pages) > 0.95 * len(pages)
 
 
+def test_html_hides_no_more_than_browsers():
+    def text(page):
+        return re.sub(r"\s+", " ", " ".join(html_text.own_text(n) for n in html_text.nodes_of(html_text.parse(page)))).strip()
+
+    for tag in ('<svg class="i"/>', '<svg class="i" />', "<math/>", "<noscript>", "<object data=x>", "<select>", "<canvas id=c>", "<svg>", "<template>", "<iframe src=x>"):
+        assert text(f"<div>{tag}<p>First</p></div><p>Second</p>") == "First Second"
+    for tag in ("svg", "math"):
+        assert text(f"<p>A <{tag}/>B</p><p>C <{tag}><g>hidden</g></{tag}>D</p>") == "A B C D"
+    assert text("<noscript><p>A<noscript>hidden</noscript>B") == "AB"
+    assert text("A<svg><svg x='/'>one</svg><svg/>two</svg>B") == "AB"
+    assert text("A<svg class=x/>hidden</svg>B") == "AB"
+    for tag in ("script", "style", "title", "textarea"):
+        assert text(f"A<{tag}/>hidden</{tag}>B<{tag}>hidden too") == "AB"
+    assert text("A<noscript><style>hidden</noscript>B") == text("A<svg><style/>hidden</svg>B<style>x</style>") == "AB"
+    assert text("A<svg><script>if (a<b) '</svg>'</script>hidden</svg>B") == "AB"
+    page = "<p>x</p>" + "<object>" * 20000 + "<p>end</p>"
+    assert text(page) == "x end"
+
+
 def test_decoding_is_consistent():
     rng = random.Random(4)
     gen = np.random.default_rng(4)
