@@ -7,11 +7,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import charlm
-from .common import frugal, mix64, save, slices, small_batches
+from .common import frugal, histogram_median, mix64, save, slices, small_batches
 
 #: Words of a window whose repeats count.
 WINDOW = 8
@@ -57,28 +58,28 @@ def counts_of(text: str) -> tuple[int, int, int, int, int]:
 _MEASURED = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, bits double, symbols long"
 
 
-def _measure(blobs: dict[str, bytes]):
+def _measure(blobs: Broadcast):
+    """Counts of texts, and their cross-entropy under the model that the column `own` names."""
+
     @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables: dict[str, np.ndarray] = {}
-        for batch in batches:
-            for part in slices(iter([batch])):
-                rows = []
-                for doc_id, lang, fold, text in zip(*(part.column(c).to_pylist() for c in ("doc_id", "lang", "fold", "text")), strict=True):
-                    bits, size = None, 0
-                    if text:
-                        own = lang + FOLD + str(1 - fold)
-                        own = own if own in blobs else lang + FOLD + str(fold)
-                        if own not in tables:
-                            while len(tables) >= charlm.HELD:
-                                tables.pop(next(iter(tables)))
-                            tables[own] = charlm.load(blobs[own])
-                        c = charlm.codes(text, True)
-                        bits, size = -float(tables[own][c].mean(dtype=np.float64)), len(c)
-                    rows.append((doc_id, lang, *counts_of(text or ""), bits, size))
-                kinds = [pa.int64(), pa.string(), *[pa.int64()] * 5, pa.float64(), pa.int64()]
-                cols = list(zip(*rows, strict=True)) or [[]] * len(kinds)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=[f.split()[0] for f in _MEASURED.split(", ")])
+        models = charlm.Kept(blobs.value)
+        for part in slices(batches, most=4 << 20):
+            n = part.num_rows
+            texts = [t or "" for t in part.column("text").to_pylist()]
+            sums, size, by_model = np.zeros(n), np.zeros(n, np.int64), {}
+            for i, own in enumerate(part.column("own").to_pylist()):
+                if own in models.blobs:
+                    by_model.setdefault(own, []).append(i)
+            for own, rows in by_model.items():
+                places = np.array(rows)
+                for keys, owner in charlm.grams([texts[i] for i in rows], True):
+                    at = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+                    sums[places[owner[at]]] -= np.add.reduceat(models[own].logs(keys), at, dtype=np.float64)
+                    size[places[owner[at]]] += np.diff(np.append(at, len(owner)))
+            counted = [np.array(c, dtype=np.int64) for c in zip(*map(counts_of, texts), strict=True)] or [np.zeros(0, np.int64)] * 5
+            bits = pa.array(sums / np.maximum(size, 1), mask=size == 0)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("lang"), *map(pa.array, counted), bits, pa.array(size)], names=[f.split()[0] for f in _MEASURED.split(", ")])
 
     return run
 
@@ -90,32 +91,42 @@ def quality_rules(docs: DataFrame, min_words: int = 20, max_repeat_percent: int
     them by a hash of the text, and a text is measured by the half that it and its copies are not in, since a model
     knows what it has been taught (a language with one half has no other). A document whose
     base counts fail is not kept; another is kept if its cross-entropy a symbol (the logarithm of its perplexity)
-    lies in its language's band, around the median, with a width that allows for its length. A language whose
-    spread cannot be told (one text) rejects nothing. A null text counts as empty, and fails. A task holds the
-    models of charlm.HELD languages; all are sent to it with at most 5 MB each.
+    lies in its language's band, around the median, with a width that allows for its length. A text on the band's
+    edge is kept. A language whose spread cannot be told (one text) rejects nothing. A null text counts as empty, and
+    fails. Long texts are read whole, in steps; repeated rows come out alike. Models go to the tasks in parts of
+    charlm.PASS_BYTES, and each text is read with the part that its model is in.
     """
     small_batches(docs.sparkSession)
     rows = docs.select("doc_id", F.coalesce(F.col("lang"), F.lit(NO_LANGUAGE)).alias("lang"), F.pmod(F.xxhash64("text"), F.lit(2)).cast("int").alias("fold"), "text")
-    models = save(charlm.train(rows.select(F.concat("lang", F.lit(FOLD), "fold").alias("lang"), "text"), marks=True), "perplexity")
-    blobs = {r.lang: bytes(r.model) for r in models.select("lang", "model").toLocalIterator()}
-    measured = save(rows.mapInArrow(_measure(blobs), _MEASURED), "measured")
+    models = save(charlm.fit(charlm.count(rows.select(F.concat("lang", F.lit(FOLD), "fold").alias("lang"), "text"), True)), "perplexity")
+    halves = models.groupBy(F.expr("substr(lang, 1, length(lang) - 2)").alias("_lang")).agg(F.max(F.expr("substr(lang, -1)")).alias("_top"), F.count(F.lit(1)).alias("_halves"))
+    other = F.when(F.col("_halves") == 2, (1 - F.col("fold")).cast("string")).otherwise(F.col("_top"))
+    named = rows.join(halves, F.col("lang") == F.col("_lang"), "left").select("doc_id", "lang", "text", F.concat("lang", F.lit(FOLD), other).alias("own"))
+    parts = list(charlm.passes(models))
+    spark = docs.sparkSession
+    measured = None
+    for i, part in enumerate(parts or [{}]):
+        mine = named
+        if len(parts) > 1:
+            mine = named.where(F.col("own").isin(list(part)) if i else F.col("own").isin(list(part)) | F.col("own").isNull())
+        out = mine.mapInArrow(_measure(spark.sparkContext.broadcast(part)), _MEASURED)
+        measured = out if measured is None else measured.unionByName(out)
+    measured = save(measured, "measured")
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     sound = measured.where(~failed & F.col("bits").isNotNull())
-    middle = sound.groupBy("lang").agg(F.percentile_approx("bits", 0.5, 1000).alias("median"))
-    spread = (
-        sound.join(F.broadcast(middle), "lang")
-        .withColumn("off", F.abs(F.col("bits") - F.col("median")))
-        .groupBy("lang")
-        .agg(F.first("median").alias("median"), F.percentile_approx(F.col("off") * F.sqrt("symbols"), 0.5, 1000).alias("each"), F.percentile_approx("off", 0.5, 1000).alias("whole"))
-    )
+    middle = histogram_median(sound, "lang", F.col("bits"), "median")
+    off = sound.join(F.broadcast(middle), "lang").select("lang", F.abs(F.col("bits") - F.col("median")).alias("whole"), (F.abs(F.col("bits") - F.col("median")) * F.sqrt("symbols")).alias("each"))
+    spread = middle.join(histogram_median(off, "lang", F.col("each"), "each"), "lang").join(histogram_median(off, "lang", F.col("whole"), "whole"), "lang")
     wide = F.greatest(F.lit(BAND_BITS), BAND_SD * 1.4826 * F.greatest(F.col("each") / F.sqrt(F.greatest("symbols", F.lit(1))), F.col("whole")))
     verdict = F.coalesce(F.abs(F.col("bits") - F.col("median")) <= wide, F.lit(True))
     return (
-        measured.join(F.broadcast(spread), "lang", "left")
+        measured.join(F.broadcast(save(spread, "bands")), "lang", "left")
         .withColumn("base_failed", failed)
         .select("doc_id", F.nullif("lang", F.lit(NO_LANGUAGE)).alias("lang"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & verdict).alias("kept"), "bits")
     )
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdicts of all documents. A null or empty text fails the base counts; long texts are read whole; repeated
+    rows come out alike."""
     return quality_rules(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("lang", "bits")
