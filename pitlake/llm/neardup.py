@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import frugal, mix64, save, slices, small_batches
@@ -16,12 +15,14 @@ from .substring import Words, _words_of
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Bands and coordinates of each: a pair at 0.8 shares a band with probability 1 - 3e-6.
-BANDS, ROWS = 24, 4
+BANDS, ROWS = 32, 5
 K = BANDS * ROWS
-#: Nodes of a bucket beyond which it is replaced by buckets of FINE coordinates each, in FINES choices.
-LARGE, FINE, FINES = 16, 8, 120
-#: Nodes and shingles of a block of a family.
-BLOCK, BLOCK_SHINGLES = 2048, 4_000_000
+#: Parts into which a bucket's nodes are dealt where they are counted, and pairs with one leader that a task compares.
+SALTS, WITH_LEADER = 64, 512
+#: Rounds in which each bucket's nodes are compared with one of them.
+ROUNDS = 2
+#: Nodes and shingles of a bucket, or of a block of it, that a task compares among themselves.
+BLOCK, BLOCK_SHINGLES = 2048, 2_000_000
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
@@ -87,63 +88,41 @@ def shingle_sets(words: Words, size: int = SHINGLE) -> tuple[np.ndarray, np.ndar
     return h[at], np.diff(np.append(at, len(h))), text[at]
 
 
-_SKETCHED = "doc_id long, node binary, n int, keys array<long>, sketch binary, shingles binary"
+_SKETCHED = "doc_id long, row long, node binary, n int, keys array<long>, shingles binary"
 
 
 def _sketch(weighted: bool):
     @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, most=2 << 20):
+        for part in slices(batches, most=1 << 20):
             words = _words_of(part)
             h, count, text = shingle_sets(words)
-            if weighted:  # an integer weight is as many elements
-                unit = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-                h, text = mix64(np.repeat(h, count) + _C * unit.astype(np.uint64)), np.repeat(text, count)
             rows = part.num_rows
-            size = np.bincount(text, minlength=rows)
-            sig = darts(h, np.ones(len(h)), text, rows)
+            weight = count if weighted else np.ones(len(h), dtype=np.int64)
+            sig = darts(h, weight.astype(np.float64), text, rows)
             keys = np.zeros((rows, BANDS), dtype=np.uint64)
             for r in range(ROWS):
                 keys = mix64(keys * _A + sig.reshape(rows, BANDS, ROWS)[:, :, r] + np.arange(1, BANDS + 1, dtype=np.uint64))
+            if weighted:  # an integer weight is as many elements
+                unit = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+                h, text = np.repeat(h, count), np.repeat(text, count)
+                h = np.where(unit > 0, mix64(h + _C * unit.astype(np.uint64)), h)
+            size = np.bincount(text, minlength=rows)
             ends = np.cumsum(size)
             one, two = (np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(h ^ c), dtype=np.uint64)]) for c in (_A, _B))
             one, two = (mix64(x[ends] - x[ends - size] + size.astype(np.uint64)) for x in (one, two))
-            short, low = h.astype(np.uint32), sig.astype(np.uint16)
-            nodes, sketches, sets = [], [], []
+            nodes, sets = [], []
             for i in range(rows):
                 some = bool(size[i])
                 nodes.append(one[i].tobytes() + two[i].tobytes() if some else None)
-                sketches.append(low[i].tobytes() if some else None)
-                sets.append(np.unique(short[ends[i] - size[i] : ends[i]]).tobytes() if some else None)
+                sets.append(np.sort(h[ends[i] - size[i] : ends[i]]).tobytes() if some else None)
             flat = pa.array(keys.view(np.int64).ravel())
             lists = pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * BANDS), flat)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(nodes, pa.binary()), pa.array(size.astype(np.int32)), lists, pa.array(sketches, pa.binary()), pa.array(sets, pa.binary())], names=["doc_id", "node", "n", "keys", "sketch", "shingles"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("row"), pa.array(nodes, pa.binary()), pa.array(size.astype(np.int32)), lists, pa.array(sets, pa.binary())], names=["doc_id", "row", "node", "n", "keys", "shingles"])
 
     return run
 
 
-@cache
-def _choices() -> np.ndarray:
-    rng = np.random.default_rng(20240501)
-    return np.stack([rng.choice(K, FINE, replace=False) for _ in range(FINES)])
-
-
-@frugal
-def _fine_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = batch.num_rows
-        if not rows:
-            continue
-        sig = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), dtype=np.uint16).reshape(rows, K).astype(np.uint64)
-        for at in range(0, rows, 2048):
-            own = sig[at : at + 2048]
-            keys = np.zeros((len(own), FINES), dtype=np.uint64)
-            for c in range(FINE):
-                keys = mix64(keys * _A + own[:, _choices()[:, c]] + np.arange(1, FINES + 1, dtype=np.uint64) * _C)
-            take = pa.array(np.repeat(np.arange(at, at + len(own)), FINES))
-            yield pa.RecordBatch.from_arrays([batch.column("node").take(take), pa.array(keys.view(np.int64).ravel())], names=["node", "key"])
-
-
 class _Forest:
     """Union-find over 0..n-1 whose roots are the smallest members."""
 
@@ -161,38 +140,54 @@ class _Forest:
         self.up[max(x, y)] = min(x, y)
 
 
-def linked(sets: list[np.ndarray], similarity: float) -> list[int]:
+def linked(sets: list[np.ndarray], similarity: float, labels: list | None = None) -> list[int]:
     """For each set of distinct numbers the first set of its component, where sets with a Jaccard similarity of
-    `similarity` or more are linked.
+    `similarity` or more are linked, and those with one label are from the start.
 
-    The intersections of one set with all others are counted by posting lists. The set with most shared numbers
-    goes first; of the largest component that it leaves, no other set needs its own turn.
+    Two such sets share one of the rarest numbers of either, so only lists of these are read; what they give is compared
+    whole unless it is joined already. The set with most shared numbers goes first; of the largest component
+    that it leaves, no other set needs its own turn.
     """
     g = len(sets)
     size = np.fromiter(map(len, sets), dtype=np.int64, count=g)
-    owner = np.repeat(np.arange(g), size)
-    _, number = np.unique(np.concatenate(sets), return_inverse=True)
-    order = np.argsort(number, kind="stable")
-    lists, uses = owner[order], np.bincount(number)
-    begin = np.cumsum(uses) - uses
-    ends = np.cumsum(size)
-    forest, done = _Forest(g), np.zeros(g, dtype=bool)
+    owner, ends = np.repeat(np.arange(g), size), np.cumsum(size)
+    kinds, number = np.unique(np.concatenate(sets), return_inverse=True)
+    uses = np.bincount(number)
+    number = number[np.lexsort((number, uses[number], owner))]  # each set's rarest first
+    place = np.arange(len(number)) - np.repeat(ends - size, size)
+    head = place < np.repeat(size - np.ceil(similarity * size - 1e-9).astype(np.int64) + 1, size)
+    order = np.flatnonzero(head)
+    order = order[np.argsort(number[order], kind="stable")]
+    lists, begin = owner[order], np.searchsorted(number[order], np.arange(len(kinds) + 1))
+    forest, done, mark = _Forest(g), np.zeros(g, dtype=bool), np.zeros(len(kinds), dtype=bool)
+    first: dict = {}
+    for i, k in enumerate(labels or ()):
+        forest.join(i, first.setdefault(k, i))
+    roots = np.array([forest.find(i) for i in range(g)])
 
     def turn(i: int) -> None:
+        done[i] = True
         own = number[ends[i] - size[i] : ends[i]]
-        n = uses[own]
-        at = np.repeat(begin[own] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        both = np.bincount(lists[at], minlength=g)
-        for j in np.flatnonzero(both >= similarity * (size + size[i] - both) - 1e-9).tolist():
+        heads = own[: np.count_nonzero(head[ends[i] - size[i] : ends[i]])]
+        n = begin[heads + 1] - begin[heads]
+        at = np.repeat(begin[heads] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        near = np.unique(lists[at])
+        near = near[(roots[near] != roots[i]) & (np.minimum(size[near], size[i]) >= similarity * np.maximum(size[near], size[i]) - 1e-9)]
+        if not len(near):
+            return
+        mark[own] = True
+        n = size[near]
+        at = np.repeat(ends[near] - n - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        both = np.add.reduceat(mark[number[at]].astype(np.int64), np.cumsum(n) - n)
+        mark[own] = False
+        for j in near[both >= similarity * (n + size[i] - both) - 1e-9].tolist():
             forest.join(i, j)
-        done[i] = True
 
     shared = np.add.reduceat(uses[number], ends - size)
     turn(int(shared.argmax()))
     while True:
         roots = np.array([forest.find(i) for i in range(g)])
-        largest = np.bincount(roots).argmax()
-        rest = np.flatnonzero(~done & (roots != largest))
+        rest = np.flatnonzero(~done & (roots != np.bincount(roots).argmax()))
         if not len(rest):
             return roots.tolist()
         for i in rest[:64].tolist():
@@ -204,28 +199,53 @@ def _link_groups(similarity: float):
 
     @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, nodes, sets = None, [], []
+        now, nodes, labels, sets = None, [], [], []
 
         def send() -> Iterator[pa.RecordBatch]:
             if len(nodes) > 1:
-                first = linked(sets, similarity)
-                at = [i for i, r in enumerate(first) if r != i]
+                first = linked(sets, similarity, labels)
+                at = [i for i, r in enumerate(first) if labels[r] != labels[i]]
                 if at:
                     yield pa.RecordBatch.from_arrays([pa.array([nodes[i] for i in at], pa.binary()), pa.array([nodes[first[i]] for i in at], pa.binary())], names=["a", "b"])
 
         for batch in batches:
-            for group, node, blob in zip(*(batch.column(c).to_pylist() for c in ("group", "node", "shingles")), strict=True):
+            for group, node, label, blob in zip(*(batch.column(c).to_pylist() for c in ("group", "node", "label", "shingles")), strict=True):
                 if group != now:
                     yield from send()
-                    now, nodes, sets = group, [], []
+                    now, nodes, labels, sets = group, [], [], []
                 if not nodes or node != nodes[-1]:
                     nodes.append(node)
-                    sets.append(np.frombuffer(blob, dtype=np.uint32))
+                    labels.append(label)
+                    sets.append(np.frombuffer(blob, dtype="<u8"))
         yield from send()
 
     return run
 
 
+def _link_leaders(similarity: float):
+    """Rows come sorted by leader, the leader itself first; the pairs of it and a node that are linked."""
+
+    @frugal
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, own = None, np.zeros(0, np.uint64)
+        for batch in batches:
+            a, b = [], []
+            for leader, salt, node, blob in zip(*(batch.column(c).to_pylist() for c in ("leader", "salt", "node", "shingles")), strict=True):
+                other = np.frombuffer(blob, dtype="<u8")
+                if node == leader:
+                    now, own = (leader, salt), other
+                elif now == (leader, salt) and min(len(own), len(other)) >= similarity * max(len(own), len(other)) - 1e-9:
+                    at = np.minimum(np.searchsorted(own, other), len(own) - 1)
+                    both = int(np.count_nonzero(own[at] == other))
+                    if both >= similarity * (len(own) + len(other) - both) - 1e-9:
+                        a.append(leader)
+                        b.append(node)
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+
+    return run
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, label (the least node of its component) for the nodes of edges (a, b), by least neighbours and jumps."""
     both = save(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
@@ -241,90 +261,127 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _buckets(members: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
-    """(key, node) of buckets with two to `least` nodes, and of larger ones."""
-    size = members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    shared = save(members.join(size, "key"), "buckets")
-    return shared.where(F.col("size") <= least).select("key", "node"), shared.where(F.col("size") > least).select("key", "node")
-
-
-def families(sketched: DataFrame) -> DataFrame | None:
-    """node, family for nodes (distinct shingle sets) that share a bucket with another, directly or by way of others.
-
-    Two sets at 0.8 share a band with probability 1 - 3e-6. Bands with more than LARGE nodes are replaced by
-    buckets of more coordinates, which dissimilar texts with a common passage do not share.
-    """
-    some = sketched.where("node IS NOT NULL")
-    small, large = _buckets(some.select("node", F.explode("keys").alias("key")).distinct(), LARGE)
-    hot = large.select("node").distinct().join(some.groupBy("node").agg(F.min("doc_id").alias("doc_id")), "node")
-    fine = some.select("node", "doc_id", "sketch").join(hot.withColumnRenamed("node", "h"), (F.col("node") == F.col("h")) & some.doc_id.eqNullSafe(hot.doc_id), "left_semi")
-    fine = fine.dropDuplicates(["node"]).select("node", "sketch").mapInArrow(_fine_keys, "node binary, key long").distinct()
-    members = small.unionByName(_buckets(fine, 1 << 62)[0])
-    first = members.groupBy("key").agg(F.min("node").alias("first"))
-    stars = members.join(first, "key").select("node", "first").distinct()
-    # contracted: a node goes with the least first of its buckets, and that is linked to the others
-    own = save(stars.groupBy("node").agg(F.min("first").alias("own")), "own")
-    if not own.limit(1).count():
-        return None
-    between = stars.join(own, "node").where("own <> first").select(F.col("own").alias("a"), F.col("first").alias("b")).distinct()
-    labels = components(between)
-    return save(own.join(labels.withColumnRenamed("node", "own"), "own", "left").select("node", F.coalesce("label", "own").alias("family")), "families")
+def _over_buckets(members: DataFrame, **each: tuple) -> DataFrame:
+    """key, salt and values over whole buckets, given as name=(column, F.min, F.max or F.sum). A bucket's nodes are dealt
+    by salt, so that a large one is in no single task: at most SALTS rows of a bucket meet."""
+    heads = members.groupBy("key", "salt").agg(*(how(c).alias(k) for k, (c, how) in each.items()))
+    whole = Window.partitionBy("key")
+    return heads.select("key", "salt", *(how(k).over(whole).alias(k) for k, (_, how) in each.items()))
+
+
+def _compare_with_leaders(pairs: DataFrame, payload: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) among pairs (leader, node). A leader of many is sent to as many tasks as they need."""
+    sizes = pairs.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / WITH_LEADER).cast("int").alias("salts"))
+    mine = pairs.withColumn("part", F.pmod(F.xxhash64("node"), F.lit(SALTS)))
+    # the leader's number of parts reaches its nodes by way of the parts, as the leader may be that of many
+    parts = mine.groupBy("leader", "part").agg(F.lit(1).alias("one")).drop("one").join(sizes, "leader")
+    mine = mine.join(parts, ["leader", "part"]).select("leader", "node", F.pmod(F.xxhash64("node", "leader"), F.col("salts")).cast("int").alias("salt"))
+    own = sizes.select("leader", F.col("leader").alias("node"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    rows = mine.unionByName(own).join(payload, "node").select("leader", "salt", "node", "shingles")
+    sorted_ = rows.repartition("leader", "salt").sortWithinPartitions("leader", "salt", F.col("node") != F.col("leader"))
+    return sorted_.mapInArrow(_link_leaders(similarity), "a binary, b binary")
+
+
+def _compare_buckets(members: DataFrame, payload: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) that join components (label) within buckets: members (key, salt, node, label). Of buckets with the same
+    nodes one is taken; one of more than BLOCK nodes is cut into blocks, and each two of these are compared in a task."""
+    sized = members.join(payload.select("node", "n"), "node")
+    h = F.xxhash64("node", "label")
+    whole = _over_buckets(sized, nodes=(F.lit(1), F.sum), size=(F.col("n").cast("long"), F.sum), one=(F.pmod(h, F.lit(1 << 40)), F.sum), lo=(h, F.min), hi=(h, F.max))
+    same = whole.groupBy("nodes", "one", "lo", "hi").agg(F.min("key").alias("chosen"))
+    blocks = F.ceil(F.greatest(F.col("nodes") / BLOCK, F.col("size") / BLOCK_SHINGLES)).cast("int")
+    kept = whole.join(same, ["nodes", "one", "lo", "hi"]).where("key = chosen").select("key", "salt", blocks.alias("blocks"))
+    mine = members.join(kept, ["key", "salt"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    placed = mine.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("blocks = 1 OR other <> block")
+    group = F.concat_ws("/", "key", F.least("block", "other"), F.greatest("block", "other"))
+    rows = placed.select("node", "label", group.alias("group")).join(payload, "node").select("group", "node", "label", "shingles")
+    return rows.repartition("group").sortWithinPartitions("group", "node").mapInArrow(_link_groups(similarity), "a binary, b binary")
 
 
 def link(sketched: DataFrame, similarity: float = SIMILARITY) -> DataFrame | None:
-    """node, label for nodes with a link, None if there is none.
+    """node, label for nodes (distinct shingle sets) with a link, None if there is none.
 
-    Candidates are the members of a family. A family is cut by hash into blocks of at most about BLOCK nodes and
-    BLOCK_SHINGLES shingles, and each two of its blocks (a family of one block: itself) are compared in a task,
-    which returns the components of their links; together these are the components of all links.
+    Candidates share a band. In ROUNDS rounds the nodes of each bucket are compared with a leader, its smallest or one
+    by a hash, unless they are joined already: a bucket of near copies costs a comparison each. What is still
+    in several components is then compared within its bucket, each two nodes of different components.
     """
-    found = families(sketched)
-    if found is None:
+    some = sketched.where("node IS NOT NULL")
+    members = some.select("node", F.explode("keys").alias("key")).distinct().withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+    whole = _over_buckets(members, size=(F.lit(1), F.sum), leader=(F.col("node"), F.min)).where("size > 1")
+    shared = save(members.join(whole, ["key", "salt"]).select("key", "salt", "node", "leader"), "buckets")
+    if not shared.limit(1).count():
         return None
-    reps = sketched.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"))
-    sized = found.join(reps, "node")
-    blocks = sized.groupBy("family").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    blocks = found.groupBy("family").agg(F.count(F.lit(1)).alias("nodes")).join(blocks, "family").where("nodes > 1")
-    mine = sized.join(blocks, "family").select("node", "least", "family", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
-    placed = mine.select("node", "least", "family", "blocks", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).where("blocks = 1 OR other <> block")
-    lo, hi = F.least("block", "other"), F.greatest("block", "other")
-    placed = placed.select("node", "least", F.concat("family", F.encode(F.format_string("/%d/%d", lo, hi), "utf-8")).alias("group"))
-    payload = sketched.where("node IS NOT NULL").select(F.col("node").alias("n_"), "doc_id", "shingles")
-    rows = placed.join(payload, (F.col("node") == F.col("n_")) & F.col("least").eqNullSafe(F.col("doc_id"))).select("group", "node", "shingles")
-    edges = save(rows.repartition("group").sortWithinPartitions("group", "node").mapInArrow(_link_groups(similarity), "a binary, b binary"), "links")
-    return components(edges) if edges.limit(1).count() else None
-
-
-def near_classes(docs: DataFrame, similarity: float = SIMILARITY, weights: str = "set") -> DataFrame:
-    """A row per document: doc_id, class_id (the smallest doc_id of its class), class_size.
-
-    Classes are the components of the links between texts whose sets of five-word shingles have a Jaccard
-    similarity of `similarity` or more; with weights="count", of multisets. Words are separated by ASCII white
-    space; a text of one to four words is one shingle; a null text or one without words is linked to none. Texts
-    with one shingle set are one node. Links are verified on the whole sets. A null doc_id is never a class_id,
-    unless its class has no other.
-    """
+    reps = some.groupBy("node").agg(F.min("doc_id").alias("least")).join(shared.select("node").distinct(), "node", "left_semi").withColumnRenamed("node", "node_")
+    payload = some.join(reps, (F.col("node") == F.col("node_")) & F.col("doc_id").eqNullSafe(F.col("least")))
+    payload = save(payload.dropDuplicates(["node"]).select("node", "n", "shingles"), "payload")
+    edges, labels = None, None
+    for k in range(ROUNDS + 1):
+        if labels is None:
+            found = _compare_with_leaders(shared.where("node <> leader").select("leader", "node").distinct(), payload, similarity)
+        else:
+            now = shared.select("key", "salt", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+            leader = F.struct(F.xxhash64("node", F.lit(k)).alias("h"), "node", "label")
+            open_ = _over_buckets(now, lo=(F.col("label"), F.min), hi=(F.col("label"), F.max), leader=(leader, F.min)).where("lo <> hi")
+            shared = save(now.join(open_, ["key", "salt"]).select("key", "salt", "node", "label", "leader"), "open")
+            if not shared.limit(1).count():
+                break
+            if k < ROUNDS:
+                found = _compare_with_leaders(shared.where("label <> leader.label").select("leader.node", "node").toDF("leader", "node").distinct(), payload, similarity)
+            else:
+                found = _compare_buckets(shared.select("key", "salt", "node", "label"), payload, similarity)
+        found = save(found, "links")
+        if found.limit(1).count():
+            edges = found if edges is None else edges.unionByName(found)
+            labels = components(edges)
+        elif labels is None:
+            labels = found.select(F.col("a").alias("node"), F.col("b").alias("label"))
+    return labels if edges is not None else None
+
+
+def _classes(docs: DataFrame, similarity: float, weights: str) -> DataFrame:
+    """doc_id, row (xxhash64 of the text), class_id, class_row and class_size of each document."""
     small_batches(docs.sparkSession)
-    texts = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    texts = docs.select("doc_id", F.xxhash64(text).alias("row"), text.alias("text"))
     sketched = save(texts.mapInArrow(_sketch(weights == "count"), _SKETCHED), "sketched")
     labels = link(sketched, similarity)
-    rows = sketched.where("node IS NOT NULL").select("doc_id", "node")
-    by_node = rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("size"))
-    if labels is None:
-        classes = by_node.select("node", F.col("least").alias("class_id"), F.col("size").alias("class_size"))
-    else:
-        labelled = by_node.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        whole = labelled.groupBy("label").agg(F.min("least").alias("class_id"), F.sum("size").alias("class_size"))
-        classes = labelled.select("node", "label").join(whole, "label").select("node", "class_id", "class_size")
-    alone = sketched.where("node IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"))
-    return rows.join(classes, "node").select("doc_id", "class_id", "class_size").unionByName(alone)
+    rows = sketched.where("node IS NOT NULL").select("doc_id", "row", "node")
+    best = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    by_node = rows.groupBy("node").agg(F.min(best).alias("best"), F.count(F.lit(1)).alias("size"))
+    classes = by_node
+    if labels is not None:
+        labelled = save(by_node.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
+        whole = labelled.groupBy("label").agg(F.min("best").alias("best"), F.sum("size").alias("size"))
+        classes = labelled.select("node", "label").join(whole, "label").select("node", "best", "size")
+    alone = sketched.where("node IS NULL").select("doc_id", "row", F.col("doc_id").alias("class_id"), F.col("row").alias("class_row"), F.lit(1).cast("long").alias("class_size"))
+    found = rows.join(classes, "node").select("doc_id", "row", F.col("best.doc_id").alias("class_id"), F.col("best.row").alias("class_row"), F.col("size").alias("class_size"))
+    return found.unionByName(alone)
+
+
+def near_classes(docs: DataFrame, similarity: float = SIMILARITY, weights: str = "count") -> DataFrame:
+    """A row per document: doc_id, class_id (the smallest doc_id of its class), class_size.
+
+    Classes are the components of the links between texts whose five-word shingles have a weighted Jaccard
+    similarity of `similarity` or more: a shingle's weight is the number of times that the text has it, or 1 with
+    weights="set". Words are separated by ASCII white space; a text of one to four words is one shingle; a null
+    text or one without words is linked to none. Texts with the same shingles are one node. Links are verified on
+    the whole sets of 64-bit shingle hashes. Long texts are read whole; a tie at exactly `similarity` is a link;
+    repeated rows are of one class. A null doc_id is never a class_id, unless its class has no other.
+    """
+    return _classes(docs, similarity, weights).drop("row", "class_row")
 
 
-def drop_near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of docs that stand for their class: those with its smallest doc_id. Every column of docs."""
-    kept = near_classes(docs, similarity).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_nd_id")).distinct()
-    return docs.join(kept, docs.doc_id.eqNullSafe(kept._nd_id), "left_semi")
+def drop_near_copies(docs: DataFrame, similarity: float = SIMILARITY, weights: str = "count") -> DataFrame:
+    """The rows of docs that stand for their class: of its smallest doc_id, one text. Every column of docs. Rows that repeat
+    the doc_id and the text of what stays, stay as well."""
+    found = _classes(docs, similarity, weights)
+    same = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("row") == F.col("class_row"))
+    kept = found.where(same).select(F.col("doc_id").alias("_nd_id"), F.col("row").alias("_nd_row")).distinct()
+    row = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_nd_id"]) & (row == kept["_nd_row"]), "left_semi")
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of near copies among all documents. A null or empty text is alone; long texts are read whole; ties at the
+    limit are links; repeated rows are of one class."""
     return near_classes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
