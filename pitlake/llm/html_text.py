@@ -19,19 +19,24 @@ from .common import frugal, slices, small_batches
 #: Made pages that the trees are fitted on, and the seed of their making.
 TRAIN_PAGES, SEED = 900, 7
 TREES, DEPTH, RATE, BINS = 80, 4, 0.2, 32
+#: Share of the nodes that each tree is grown on.
+SHARE = 0.4
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(/?)(?:>|\Z)", re.S)
+# A quoted value that goes on beyond what looks like the tag's end and another tag was never closed: its quote is a character.
+_QUOTED = "|".join(rf"{q}(?:[^{q}<]*+|[^{q}<>]*+<[^{q}]*+){q}" for q in "\"'")
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|{_QUOTED}|[\"'])*+)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 _WORDS = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe object svg math canvas textarea select title head".split())
+#: What is not shown, or is part of a form. All other elements' text counts, be it of formulas, drawings or fallbacks.
+RAW = frozenset("script style template iframe textarea select title head".split())
 #: Those of RAW whose content is text up to the end tag, or up to the end of the page if there is none.
 HIDES = frozenset("script style title textarea".split())
 BLOCK = frozenset(
     "html body article section main div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre "
-    "figure figcaption nav header footer aside form fieldset address details summary center hgroup search dialog menu".split()
+    "figure figcaption nav header footer aside form fieldset address details summary center hgroup search dialog menu noscript".split()
 )
 #: What an opening tag closes.
 CLOSES = {
@@ -66,13 +71,38 @@ class Node:
         self.depth = up.depth + 1 if up else 0
 
 
+class _Open:
+    """The open elements, and where in the stack those of each tag and the walls are, so that no tag needs a search."""
+
+    def __init__(self, root: Node):
+        self.stack, self.places, self.walls = [root], {}, [0]
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.stack))
+        if node.tag in WALL:
+            self.walls.append(len(self.stack))
+        self.stack.append(node)
+
+    def last(self, tag: str) -> int:
+        return own[-1] if (own := self.places.get(tag)) else 0
+
+    def close(self, at: int) -> None:
+        """Close what is open from a place in the stack on."""
+        while len(self.stack) > at:
+            tag = self.stack.pop().tag
+            self.places[tag].pop()
+            if tag in WALL:
+                self.walls.pop()
+
+
 def parse(page: str) -> Node:
     """The block elements of a page as a tree; inline elements are part of their block, their tags forgotten, and
-    hidden or embedded matter is left out. Any text is a page: end tags may be missing or be too many. Only script, style,
-    title and textarea without an end tag hide the rest, as in browsers; of others without one just the tag is left out."""
+    hidden matter is left out. Any text is a page: end tags may be missing or be too many, and quotes may be unclosed. Only script,
+    style, title and textarea without an end tag hide the rest, as in browsers; of others without one just the tag is left
+    out. Time grows with the page's length, however it is nested."""
     root = Node("html", "", None)
     here, at, link = root, 0, False
-    stack: list[Node] = [root]
+    open_ = _Open(root)
     size = len(page)
     pairs: dict[int, int] | None = None
     while at < size:
@@ -89,23 +119,17 @@ def parse(page: str) -> Node:
         if m[1]:
             if tag == "a":
                 link = False
-            elif tag in BLOCK:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag == tag:
-                        del stack[k:]
-                        here = stack[-1]
-                        break
-                    if stack[k].tag in WALL and tag in ("p", "li", "td", "th", "tr"):
-                        break
+            elif tag in BLOCK and (k := open_.last(tag)) and (k >= open_.walls[-1] or tag not in ("p", "li", "td", "th", "tr")):
+                open_.close(k)
+                here = open_.stack[-1]
             continue
         if tag in HIDES:
             end = _ENDS[tag].search(page, at)
             at = end.end() if end else size
             continue
         if tag in RAW:
-            if not _self_closed(tag, m[3]):
-                pairs = _pairs(page, begin) if pairs is None else pairs
-                at = pairs.get(begin, at)
+            pairs = _pairs(page, begin) if pairs is None else pairs
+            at = pairs.get(begin, at)
             continue
         if tag == "br" or tag == "hr":
             here.items.append((" ", False))
@@ -115,29 +139,17 @@ def parse(page: str) -> Node:
             if tag == "body":
                 root.attrs += m[3] or ""
                 continue
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in CLOSES.get(tag, ()):
-                    del stack[k:]
-                    break
-                if stack[k].tag in WALL:
-                    break
-            here = Node(tag, m[3] or "", stack[-1])
+            k = max(map(open_.last, CLOSES[tag]), default=0) if tag in CLOSES else 0
+            if k and k >= open_.walls[-1]:
+                open_.close(k)
+            here = Node(tag, m[3] or "", open_.stack[-1])
             here.up.items.append(here)
-            if not m[4]:
-                stack.append(here)
-            else:
-                here = stack[-1]
+            open_.push(here)
             link = False
     return root
 
 
 _ENDS = {t: re.compile(rf"</{t}\b[^>]*>?", re.I) for t in RAW}
-_BARE = re.compile(r"=\s*[^\s\"'>]*/\Z")
-
-
-def _self_closed(tag: str, attrs: str) -> bool:
-    """Whether a tag is an element of its own; only those of svg and math can be, and a slash in a bare value is the value's."""
-    return tag in ("svg", "math") and attrs.endswith("/") and not _BARE.search(attrs)
 
 
 def _pairs(page: str, at: int) -> dict[int, int]:
@@ -150,7 +162,7 @@ def _pairs(page: str, at: int) -> dict[int, int]:
         if tag not in RAW:
             continue
         if tag in HIDES:
-            if m[1] or tag in endless or m[3].endswith("/") and (opened["svg"] or opened["math"]):
+            if m[1] or tag in endless:
                 continue
             if end := _ENDS[tag].search(page, at):
                 at = end.end()
@@ -159,7 +171,7 @@ def _pairs(page: str, at: int) -> dict[int, int]:
         elif m[1]:
             if opened[tag]:
                 out[opened[tag].pop()] = at
-        elif not _self_closed(tag, m[3]):
+        else:
             opened[tag].append(m.start())
     return out
 
@@ -247,9 +259,11 @@ class Boosted:
         b = self._bin(x)
         self.start = float(np.log((y * weight).sum() / ((1 - y) * weight).sum()))
         f, self.trees = np.full(len(y), self.start), []
+        rng = np.random.default_rng(SEED)
         for _ in range(TREES):
             q = 1 / (1 + np.exp(-f))
-            tree = self._tree(b, weight * (y - q), weight * q * (1 - q))
+            some = np.flatnonzero(rng.random(len(y)) < SHARE)
+            tree = self._tree(b[some], (weight * (y - q))[some], (weight * q * (1 - q))[some])
             self.trees.append(tree)
             f += self._leaf(tree, b)
         return self
@@ -270,7 +284,7 @@ class Boosted:
                 value[k] = RATE * gs / (hs + 1.0)
                 if level == DEPTH or len(own) < 20:
                     continue
-                flat = (b[own].astype(np.int64) + np.arange(d) * BINS).ravel()
+                flat = (b[own] + np.arange(d, dtype=np.int32) * BINS).ravel()
                 gl = np.bincount(flat, np.repeat(g[own], d), d * BINS).reshape(d, BINS).cumsum(axis=1)
                 hl = np.bincount(flat, np.repeat(h[own], d), d * BINS).reshape(d, BINS).cumsum(axis=1)
                 gain = gl**2 / (hl + 1) + (gs - gl) ** 2 / (hs - hl + 1) - gs**2 / (hs + 1)
@@ -418,6 +432,8 @@ def made_page(rng: random.Random) -> str:
         if len(parts) < 2:
             parts.append(para(True, 8, 60))
         body = "".join(parts)
+        if rng.random() < 0.08:  # straight in the page
+            return body
         r = rng.random()
         if r < 0.55:
             return put("article", True, name("main") if rng.random() < 0.3 else "", body)
@@ -425,6 +441,8 @@ def made_page(rng: random.Random) -> str:
             return put("main", True, "", put("article", True, "", body) if rng.random() < 0.5 else body)
         return put(rng.choice(["div", "section", "div"]), True, f' {rng.choice(["class", "id"])}="{rng.choice(TOKENS["main"].split())}"', body)
 
+    if rng.random() < 0.05:  # nothing else
+        return f"<html><body>{content()}</body></html>"
     if rng.random() < 0.5:
         out.append(put("header", False, name("head"), words(1, 8) + (menu() if rng.random() < 0.5 else "")))
     if rng.random() < 0.85:
@@ -480,8 +498,9 @@ def extract(pages: list[str], trees: Boosted) -> list[str]:
 
 
 def extract_pages(pages: DataFrame, column: str = "html") -> DataFrame:
-    """page_id, url, text, n_chars of each row of pages; the html is read whole. A null or empty page has an empty text,
-    and text without any markup is main text. Repeated rows stay."""
+    """page_id, url, text, n_chars of each row of pages; the html is read whole, however long or deeply nested. A null or
+    empty page has an empty text, and text without any markup is main text. Where keeping and leaving out are equally
+    likely, a node is kept. Repeated rows come out alike; other columns of pages are left behind."""
     small_batches(pages.sparkSession)
     trees = model()
     broadcast = pages.sparkSession.sparkContext.broadcast(trees)
@@ -496,4 +515,5 @@ def extract_pages(pages: DataFrame, column: str = "html") -> DataFrame:
 
 
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages; a null or empty one has none, long ones are read whole, repeated rows come out alike."""
     return extract_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
