@@ -77,6 +77,16 @@ def histogram_median(df: DataFrame, by: str, value: Column, name: str, step: flo
     return at.where(2 * F.col("_upto") >= F.col("_all")).groupBy(by).agg(((F.min("_step") + 0.5) * step).alias(name))
 
 
+def numbered(df: DataFrame, column: str, name: str) -> DataFrame:
+    """Distinct values of a column with numbers from 0 on without gaps, in their order: ranges are numbered each and offset."""
+    rows = save(df.select(column).distinct().repartitionByRange(column).sortWithinPartitions(column).withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    part, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
+    counts = rows.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))  # a row a partition
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return rows.withColumn("_part", part).join(F.broadcast(offsets), "_part").select(column, (place + F.col("_before")).alias(name))
+
+
 def parts_for(total_bytes: int, each: int = 16 << 20) -> int:
     """Partitions of about `each` bytes."""
     return max(1, -(-total_bytes // each))
@@ -95,12 +105,12 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SL
             at = to
 
 
-def gather(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
-    """Batches of short rows put together to about `rows`."""
+def gather(batches: Iterator[pa.RecordBatch], rows: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Batches of short rows put together to about `rows` or `most` bytes."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
         held.append(batch)
-        if sum(b.num_rows for b in held) >= rows:
+        if sum(b.num_rows for b in held) >= rows or sum(b.nbytes for b in held) >= most:
             yield pa.concat_batches(held)
             held = []
     if held:

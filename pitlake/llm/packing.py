@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -15,13 +16,11 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import frugal, save, slices, small_batches
+from .common import frugal, numbered, save, slices, small_batches
 
 CAPACITY = 2048
-#: Pieces that one group packs in the first round; a merged group has twice as many.
-GROUP_PIECES = 4096
-#: Rounds in which groups with a gap exchange documents.
-ROUNDS = 3
+#: Pieces that one group packs in the first round, and at most, give or take chance.
+GROUP_PIECES, MOST_PIECES = 4096, 65536
 #: Words, and runs of characters between white space, whose ids a worker keeps at least.
 CACHE_WORDS = 200_000
 
@@ -62,19 +61,37 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in shown else chr(next(others)) for b in range(256)]
 
 
+#: The set-up of a file whose split into words _WORDS is.
+_KNOWN = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+
+
 class WordTokenizer:
     """Ids of texts as little-endian unsigned 32-bit integers. Each distinct word is encoded once.
 
-    No token holds white space, so the ids of a run without white space are kept as well as those of its words.
+    No token holds white space, so the ids of a run without white space are kept as well as those of its words. A
+    file whose normaliser or split is another than _KNOWN is left to the library. `special`: texts that have the name
+    of a special token in them give its id; else it is ordinary text.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special: bool = False):
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not special
         model, letters = self.tokenizer.model, _byte_letters()
+        setup = json.loads(self.tokenizer.to_str())
+        self.known = all(setup[k] == v for k, v in _KNOWN.items()) and setup["model"]["type"] == "BPE" and not any(setup[k] for k in ("truncation", "padding", "post_processor"))
+        self.names = re.compile("|".join(re.escape(t["content"]) for t in setup["added_tokens"] if special or not t["special"]) or r"(?!)", re.I)
 
         def word(w: str) -> bytes:
             own = w if w.isascii() and w.isprintable() else "".join([letters[b] for b in w.encode()])
@@ -91,26 +108,29 @@ class WordTokenizer:
         """By the library alone."""
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _plain(self, text: str) -> bool:
+        return self.known and _PLAIN.fullmatch(text) is not None and self.names.search(text) is None
+
     def encode(self, texts: list[str]) -> list[bytes]:
         get = self.runs.__getitem__
-        return [b"".join(map(get, t.lower().split())) if _PLAIN.fullmatch(t) else self.whole([t])[0] for t in texts]
+        return [b"".join(map(get, t.lower().split())) if self._plain(t) else self.whole([t])[0] for t in texts]
 
 
-_tokenizers: dict[str, WordTokenizer] = {}
+_tokenizers: dict[tuple[str, bool], WordTokenizer] = {}
 
 
-def _tokenizer(path: str) -> WordTokenizer:
-    if path not in _tokenizers:
-        _tokenizers[path] = WordTokenizer(path)
-    return _tokenizers[path]
+def _tokenizer(path: str, special: bool) -> WordTokenizer:
+    if (path, special) not in _tokenizers:
+        _tokenizers[path, special] = WordTokenizer(path, special)
+    return _tokenizers[path, special]
 
 
-def tokenize_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
+def tokenize_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0, special: bool = False) -> DataFrame:
     """A row per piece: doc_id, piece, start, length, ids_crc32. A document's ids end with `end_id`; only a longer one is cut."""
 
     @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok, end = _tokenizer(path), np.array([end_id], dtype="<u4").tobytes()
+        tok, end = _tokenizer(path, special), np.array([end_id], dtype="<u4").tobytes()
         for part in slices(batches, most=4 << 20):
             rows: list[tuple] = []
             for doc_id, ids in zip(part.column("doc_id").to_pylist(), tok.encode(part.column("text").to_pylist()), strict=True):
@@ -190,51 +210,58 @@ def _repack(capacity: int):
 _PACKED = PIECES + ", new_group long, old_group long, seq long, place long, gap long"
 
 
-def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES, rounds: int = ROUNDS) -> DataFrame:
+def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES, most_pieces: int = MOST_PIECES) -> DataFrame:
     """Pieces with sequence_id and offset, in as few sequences as best fit finds.
 
-    Pieces are dealt by hash to groups. Each group is packed by best fit decreasing, and a lower bound from dual
-    feasible functions certifies its number of bins or shows a gap. Groups with a gap exchange their documents
-    (two become one) and are packed again, `rounds` times; a result that is no better is not taken.
+    Pieces are dealt by hash to groups, equal rows to different ones. Each group is packed by best fit decreasing, and
+    a lower bound from dual feasible functions certifies its number of bins or shows a gap. The groups with a
+    gap are numbered anew, each two exchange their documents and are packed again as one, until no gap is left or
+    groups have `most_pieces`; a result that is no better is not taken. Pieces of one length go by doc_id and piece.
     """
     saved = save(pieces, "pieces")
     n = saved.count()
-    groups = 1 << max(0, (-(-n // group_pieces) - 1).bit_length())
-    dealt = saved.withColumns(
+    groups = max(1, -(-n // group_pieces))
+    dealt = saved.withColumn("at", F.monotonically_increasing_id())  # of files as they were written: always the same
+    dealt = dealt.withColumns(
         {
-            "new_group": F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)),
+            "new_group": F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "at"), F.lit(groups)),
             "old_group": F.lit(-1).cast("long"),
             "seq": F.lit(-1).cast("long"),
             "place": F.lit(-1).cast("long"),
             "gap": F.lit(0).cast("long"),
         }
-    )
-    open_, done = dealt, None
-    for k in range(rounds + 1):
+    ).drop("at")
+    open_, done, k, size = dealt, None, 0, group_pieces
+    while True:
         packed = save(open_.groupBy("new_group").applyInPandas(_repack(capacity), _PACKED), "packed")
+        left = packed.where("gap > 0").select("old_group").distinct().count() if groups > 1 and 2 * size <= most_pieces else 0
+        last = left < 2
         # ids of finished groups: the round and the group make them unique
-        closed = packed.where("gap <= 0") if k < rounds else packed
-        closed = closed.withColumn("round", F.lit(k))
+        closed = (packed if last else packed.where("gap <= 0")).withColumn("round", F.lit(k))
         done = closed if done is None else done.unionByName(closed)
-        open_ = packed.where("gap > 0").withColumn("new_group", F.shiftright("new_group", 1))
-        if k == rounds or groups >> k <= 1:
-            if k < rounds:
-                done = done.unionByName(packed.where("gap > 0").withColumn("round", F.lit(k)))
+        if last:
             break
-    sequence = (F.col("round").cast("long") * (1 << 60)) + F.shiftleft(F.col("old_group"), 32) + F.col("seq")
+        pairs = numbered(packed.where("gap > 0"), "old_group", "number").select("old_group", F.shiftright("number", 1).alias("pair"))
+        open_ = packed.where("gap > 0").join(pairs, "old_group").withColumn("new_group", F.col("pair")).drop("pair")
+        groups, size, k = left, 2 * size, k + 1
+    sequence = (F.col("round").cast("long") * (1 << 58)) + F.shiftleft(F.col("old_group"), 26) + F.col("seq")
     return done.select("doc_id", "piece", "start", "length", "ids_crc32", sequence.alias("sequence_id"), F.col("place").alias("offset"))
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, special: bool = False) -> DataFrame:
     """Pack documents (null text: empty, so its end id alone) into sequences of at most `capacity` tokens.
 
-    A row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset. Repeated rows are packed each.
+    A row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset. Long texts are cut into pieces and
+    nothing is left out; repeated rows are packed each; ties in length go by doc_id, piece and ids. Names of special tokens
+    in a text are ordinary text, unless `special`. Other columns of docs are left behind.
     """
     small_batches(docs.sparkSession)
-    return pack_pieces(tokenize_pieces(docs, tokenizer_path, capacity), capacity)
+    return pack_pieces(tokenize_pieces(docs, tokenizer_path, capacity, special=special), capacity)
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of 2,048 tokens. A null or empty text is its end id; long ones are cut; repeated rows
+    are packed each."""
     import public_tokenizers
 
     return pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("word_bpe_49k.json"))
