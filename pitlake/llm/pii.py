@@ -19,6 +19,8 @@ from .common import frugal, slices, small_batches
 
 #: Key of the registered query. Give your own to `pseudonymise`; whoever has it can undo the pseudonyms.
 DEMO_KEY = b"pitlake demonstration key"
+#: Setting of a session that holds the key, in hexadecimal digits.
+KEY_SETTING = "spark.pitlake.pseudonyms.key"
 FEISTEL_ROUNDS = 8
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 
@@ -188,10 +190,9 @@ def _named_days(months: tuple[int, ...], ordinal: str, width: int) -> list[int]:
 
 
 @cache
-def _narrow_days(day: str, month: str, both: bool | None) -> list[int]:
-    """Days whose day and month are as wide (a leading 0 is 0, else 1 or 2) and that both orders can read or not."""
-    ok = {"0": range(1, 10), "1": range(1, 10), "2": range(10, 32)}
-    return _days(lambda x: x.day in ok[day] and x.month in ok[month] and both in (None, x.day <= 12))
+def _like_days(day: int, month: int) -> list[int]:
+    """Days whose day and month are as wide and as readable in another order: day 1-9, 10-12 or later, month 1-9 or later."""
+    return _days(lambda x: (x.day > 9) + (x.day > 12) == day and (x.month > 9) == month)
 
 
 def named_date(s: str, permute: Permutation) -> str | None:
@@ -232,21 +233,12 @@ def date(s: str, permute: Permutation) -> str | None:
             continue
         if not FIRST_DAY <= day <= LAST_DAY:
             return None
-        # dates that both orders can read must stay such, and others must not become such
-        both = not year_first and int(parts[m]) <= 12 and int(parts[d]) <= 12
-        if 1 in (len(parts[m]), len(parts[d])):
-            shape = ["0" if p[0] == "0" else str(len(p)) for p in (parts[d], parts[m])]
-            days = _narrow_days(*shape, None if year_first else both)
-            got = datetime.date.fromordinal(days[permute(bisect_left(days, day), len(days), f"date {y}{m} {shape} {both}")])
-            out = {y: f"{got.year:04d}", m: f"{got.month:0{len(parts[m])}d}", d: f"{got.day:0{len(parts[d])}d}"}
-            return sep.join(out[i] for i in range(3))
-        new = day - FIRST_DAY
-        while True:
-            new = permute(new, LAST_DAY - FIRST_DAY + 1, "date")
-            got = datetime.date.fromordinal(FIRST_DAY + new)
-            if year_first or (got.day <= 12) == both:
-                break
-        out = {y: f"{got.year:04d}", m: f"{got.month:02d}", d: f"{got.day:02d}"}
+        # one rule for all ways to write it, which keeps the width of its numbers and whether both orders can read them
+        was = datetime.date.fromordinal(day)
+        like = ((was.day > 9) + (was.day > 12), was.month > 9)
+        days = _like_days(*like)
+        got = datetime.date.fromordinal(days[permute(bisect_left(days, day), len(days), f"date {like[0]}{int(like[1])}")])
+        out = {y: f"{got.year:04d}", m: f"{got.month:0{len(parts[m])}d}", d: f"{got.day:0{len(parts[d])}d}"}
         return sep.join(out[i] for i in range(3))
     return None
 
@@ -260,8 +252,10 @@ def secret(s: str, permute: Permutation) -> str | None:
 
 
 def email(s: str, permute: Permutation) -> str | None:
+    """Name and host change, each by itself, so that one host's addresses stay linked; the top-level domain stays."""
     local, _, host = s.rpartition("@")
-    return f"{_mixed(local, permute, 'email')}@{host}"
+    site, _, top = host.rpartition(".")
+    return f"{_mixed(local, permute, 'email')}@{_mixed(site, permute, 'host')}.{top}"
 
 
 #: What is looked for, in order of preference where two begin at one place.
@@ -336,6 +330,12 @@ def replace(text: str, permute: Permutation) -> tuple[str, list[tuple[str, int,
 _FOUND = T.ArrayType(T.StructType().add("kind", "string").add("start", "integer").add("end", "integer"))
 
 
+def key_of(spark: SparkSession) -> bytes:
+    """The key of the session's setting KEY_SETTING; DEMO_KEY, which is no secret, where it is unset."""
+    found = spark.conf.get(KEY_SETTING, None)
+    return bytes.fromhex(found) if found else DEMO_KEY
+
+
 def pseudonymise(docs: DataFrame, key: bytes, column: str = "text", spans: str = "found", undo: bool = False) -> DataFrame:
     """docs with `column` pseudonymised and `spans`, an array of (kind, start, end) in code points.
 
@@ -344,8 +344,12 @@ def pseudonymise(docs: DataFrame, key: bytes, column: str = "text", spans: str =
     become equal ones in all documents, and with `undo` the same key gives them back. All else stays, and so
     does the length. A null text stays null with no spans. Columns of docs stay, but for a former `spans`.
 
-    Dates are three numbers or have the month's name in English, German, French or Spanish. Phone numbers begin with +, (,
-    1 or 0, or are 3-3-4 digits. Digits behind a card number are part of it if the check digit holds with them as well.
+    Dates are three numbers or have the month's name in English, German, French or Spanish. A date becomes the same
+    other date however its three numbers are written; one with a month's name, whose length must stay, is linked to those
+    with a name of the same language and length only. 03/04/2001 is the third of April in all texts. Phone numbers begin with +, (,
+    1 or 0, or are 3-3-4 digits; the country code and a leading 0 stay, and the same number with and without them is linked.
+    Digits behind a card number are part of it if the check digit holds with them as well. Of two readings that begin at
+    one place the first of FORMATS is taken. Long texts are read whole; repeated rows come out alike.
     """
     small_batches(docs.sparkSession)
     docs = docs.drop(spans)
@@ -369,5 +373,7 @@ def pseudonymise(docs: DataFrame, key: bytes, column: str = "text", spans: str =
 
 
 def op3_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pseudonyms in all documents. A null text stays null, with none found; long texts are read whole; repeated rows come
+    out alike."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return pseudonymise(docs, DEMO_KEY).select("doc_id", "text", F.size("found").cast("long").alias("n_found"), "found")
+    return pseudonymise(docs, key_of(spark)).select("doc_id", "text", F.size("found").cast("long").alias("n_found"), "found")
