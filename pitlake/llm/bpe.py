@@ -5,17 +5,21 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import frugal, parts_for, slices, small_batches, text_bytes
+from .common import frugal, save, slices, small_batches
+
+#: Text bytes and distinct words of a chunk, code points from which on a text's words are not held together, and
+#: words that a text takes up at once.
+CHUNK_BYTES, MOST_WORDS, LONG, STEP = 16 << 20, 60_000, 1 << 20, 1 << 18
 
 # The White_Space property, as the tokenizer library has it; Python's \s has U+001C to U+001F besides.
 _SPACE = r"\t-\r \x85\xa0  -     　"
@@ -34,7 +38,12 @@ class PreTokenizer:
         self.exact, self.plain = regex.compile(exact), plain
 
     def split(self, text: str) -> list[str]:
-        return (_FAST if self.plain and _PLAIN.fullmatch(text) else self.exact).findall(text)
+        return list(self.words(text))
+
+    def words(self, text: str) -> Iterable[str]:
+        """Matches one after the other; those of a long text are not held together."""
+        pattern = _FAST if self.plain and _PLAIN.fullmatch(text) else self.exact
+        return pattern.findall(text) if len(text) < LONG else map(itemgetter(0), pattern.finditer(text))
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -43,111 +52,141 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def _pack(parts: list[bytes]) -> bytes:
-    """Byte strings as one compressed string."""
-    sizes = np.fromiter(map(len, parts), dtype="<u4", count=len(parts))
-    return zstandard.ZstdCompressor(3).compress(np.uint32(len(parts)).tobytes() + sizes.tobytes() + b"".join(parts))
-
+class _Numbers(dict):
+    """Numbers of words in the order in which they are first asked for."""
 
-def _unpack(blob: bytes) -> list[bytes]:
-    raw = zstandard.ZstdDecompressor().decompress(blob)
-    n = int(np.frombuffer(raw, "<u4", 1)[0])
-    ends = np.concatenate([[0], np.cumsum(np.frombuffer(raw, "<u4", n, 4), dtype=np.int64)]) + 4 * (n + 1)
-    at = ends.tolist()
-    return [raw[a:b] for a, b in zip(at, at[1:], strict=False)]
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        return n
 
 
-def _deal(words: set[str], buckets: int) -> dict[int, list[bytes]]:
-    """Distinct words by bucket, sorted: the same on both ways."""
-    dealt: dict[int, list[bytes]] = {}
-    for b in map(str.encode, words):
-        dealt.setdefault(zlib.crc32(b) % buckets, []).append(b)
-    for own in dealt.values():
-        own.sort()
-    return dealt
+_SPLIT = "chunk long, place int, word string, doc_id long, width int, words binary"
 
 
-def _chunk_words(pattern: str, plain: bool, buckets: int):
-    """Distinct words of each chunk, dealt to buckets by a hash of the word."""
+def _split(pattern: str, plain: bool, chunk_bytes: int):
+    """Rows of two kinds: a chunk's distinct words with their places in it (doc_id and words are null), and its documents
+    with the places of their words in order (place is the document's, word is null). A chunk is a run of
+    documents of about `chunk_bytes` or MOST_WORDS distinct words; a longer document is one by itself."""
 
     @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pre, found = PreTokenizer(pattern, plain), {}
-        for part in slices(batches):
-            for chunk, text in zip(part.column("chunk").to_pylist(), part.column("text").to_pylist(), strict=True):
-                found.setdefault(chunk, set()).update(pre.split(text))
-        for chunk in list(found):
-            dealt = _deal(found.pop(chunk), buckets)
-            keys, blobs = list(dealt), list(map(_pack, dealt.values()))
-            yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(keys), pa.int64()), pa.array(keys, pa.int64()), pa.array(blobs, pa.binary())], names=["chunk", "bucket", "words"])
+        pre, numbers, docs, held, chunk = PreTokenizer(pattern, plain), _Numbers(), [], 0, TaskContext.get().partitionId() << 32
+
+        def send() -> Iterator[pa.RecordBatch]:
+            n, m = len(numbers), len(docs)
+            width = 2 if n <= 1 << 16 else 4
+            ids, places = zip(*docs, strict=True) if docs else ((), ())
+            columns = [
+                pa.array(np.full(n + m, chunk)),
+                pa.array(np.concatenate([np.arange(n), np.arange(m)]).astype(np.int32)),
+                pa.array([*numbers, *[None] * m], pa.string()),
+                pa.array([*[None] * n, *ids], pa.int64()),
+                pa.array(np.full(n + m, width, dtype=np.int32)),
+                pa.array([*[None] * n, *(p.astype(f"<u{width}").tobytes() for p in places)], pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in _SPLIT.split(", ")])
+
+        for part in slices(batches, most=4 << 20):
+            for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
+                docs.append((doc_id, np.fromiter(map(numbers.__getitem__, pre.words(text)), dtype=np.uint32)))
+                held += len(text)
+                if held >= chunk_bytes or len(numbers) >= MOST_WORDS:
+                    yield from send()
+                    numbers, docs, held, chunk = _Numbers(), [], 0, chunk + 1
+        if docs:
+            yield from send()
 
     return run
 
 
-def _encode_words(ranks_path: str, pattern: str, kind: str):
-    """Encode each distinct word of a bucket once, for all chunks that have it. Rows come sorted by bucket."""
+def _encode(ranks_path: str, pattern: str):
+    """Ids of distinct words."""
 
     @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
 
         encode = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=read_ranks(ranks_path), special_tokens={}).encode_ordinary
-        ids: dict[bytes, bytes] = {}
-        now = None
         for batch in batches:
-            out = []
-            for bucket, words in zip(batch.column("bucket").to_pylist(), batch.column("words").to_pylist(), strict=True):
-                if bucket != now:
-                    now, ids = bucket, {}
-                parts = _unpack(words)
-                for w in parts:
-                    if w not in ids:
-                        ids[w] = np.array(encode(w.decode()), dtype=kind).tobytes()
-                out.append(_pack([ids[w] for w in parts]))
-            yield pa.RecordBatch.from_arrays([batch.column("chunk"), batch.column("bucket"), pa.array(out, pa.binary())], names=["chunk", "bucket", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column("w"), pa.array([encode(w) for w in batch.column("w").to_pylist()], pa.list_(pa.int64()))], names=["w", "ids"])
 
     return run
 
 
-def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, each: Callable | None = None, fields: str = "ids binary", chunk_bytes: int = 16 << 20, plain: bool = True) -> DataFrame:
-    """Each document's token ids (little-endian unsigned 32-bit, `ids`), or what `each(ids)` makes of them, as `fields`.
+def encode_words(words: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+    """word, ids of the distinct words of a table (word): each is encoded once, wherever it stands."""
+    distinct = words.select(F.col("word").alias("w")).distinct()
+    return distinct.mapInArrow(_encode(ranks_path, pattern), "w string, ids array<long>").withColumnRenamed("w", "word")
+
+
+def token_bytes(spark: SparkSession, ranks_path: str) -> DataFrame:
+    """id, token: the bytes of each token, a row a token of the vocabulary."""
+    return spark.createDataFrame([(i, token) for token, i in read_ranks(ranks_path).items()], "id long, token binary")
+
+
+def decode_words(encoded: DataFrame, tokens: DataFrame) -> DataFrame:
+    """encoded (word, ids, ...) with `decoded`, the bytes of the ids: these are exploded with their positions, joined with the table of
+    tokens (as large as the vocabulary, so it is broadcast), and put together by position."""
+    found = encoded.select("word", F.posexplode("ids").alias("at", "id")).join(F.broadcast(tokens), "id")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", F.hex("token").alias("token")))), lambda x: x["token"]), "")
+    return encoded.join(found.groupBy("word").agg(F.unhex(text).alias("decoded")), "word", "left")
 
-    Documents are dealt to chunks of about `chunk_bytes` by a hash. The distinct pre-tokens of each chunk go to
-    buckets by word; a bucket encodes each of its words once and sends the ids back to the chunks, in the order
-    of the chunk's sorted words, and the documents' pre-tokens, in their order, take them up. A chunk holds each word once, so a frequent word is
-    no hot key. A null text counts as empty; repeated rows are encoded each. `plain`: the pattern is the one
-    that the standard library's fast form equals.
-    """
-    small_batches(docs.sparkSession)
-    n = parts_for(text_bytes(docs), chunk_bytes)
-    kind = "<u2" if max(read_ranks(ranks_path).values()) < 1 << 16 else "<u4"
-    text = F.coalesce(F.col("text"), F.lit(""))
-    dealt = docs.select("doc_id", text.alias("text"), F.pmod(F.xxhash64("doc_id", text), F.lit(n)).alias("chunk")).repartition(n, "chunk")
-    words = dealt.mapInArrow(_chunk_words(pattern, plain, n), "chunk long, bucket long, words binary")
-    encoded = words.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_encode_words(ranks_path, pattern, kind), "chunk long, bucket long, ids binary")
-    names = [f.split()[0] for f in fields.split(", ")]
 
-    def join(rows: pa.Table, table: pa.Table) -> pa.Table:
-        pre, ids, words, out = PreTokenizer(pattern, plain), {}, set(), []
-        parts = list(slices(iter(rows.select(["text"]).to_batches())))
-        for part in parts:
-            for text_ in part.column("text").to_pylist():
-                words.update(pre.split(text_))
-        dealt_ = _deal(words, n)
-        for bucket, blob in zip(table.column("bucket").to_pylist(), table.column("ids").to_pylist(), strict=True):
-            wide = [np.frombuffer(x, kind).astype("<u4").tobytes() for x in _unpack(blob)] if kind != "<u4" else _unpack(blob)
-            ids.update(zip(map(bytes.decode, dealt_.pop(bucket)), wide, strict=True))
-        get = ids.__getitem__
-        doc_ids = rows.column("doc_id")
-        for part in parts:
-            for text_ in part.column("text").to_pylist():
-                own = b"".join(map(get, pre.split(text_)))
-                out.append(each(own) if each else (own,))
+def _fill(columns: list[str], each: Callable | None, fields: str):
+    """Documents of a chunk from the ids (and whatever else `columns` names) of its words."""
+    names = [f.split()[0] for f in fields.split(", ")]
+    kinds = {"binary": pa.binary(), "string": pa.string(), "long": pa.int64()}
+
+    def run(words: pa.Table, docs: pa.Table) -> pa.Table:
+        n = words.num_rows
+        order = np.argsort(words.column("place").to_numpy())
+        tables = []
+        for c in columns:
+            own = words.column(c).combine_chunks().take(pa.array(order))
+            flat = (own.flatten().to_numpy().astype("<u4") if pa.types.is_list(own.type) else np.frombuffer(b"".join(own.to_pylist()), np.uint8)) if n else np.zeros(0, np.uint8)
+            size = (pa.compute.list_value_length(own) if pa.types.is_list(own.type) else pa.compute.binary_length(own)).to_numpy().astype(np.int64) if n else np.zeros(0, np.int64)
+            tables.append((flat, size, np.cumsum(size) - size))
+        out = []
+        for width, places in zip(docs.column("width").to_pylist(), docs.column("words").to_pylist(), strict=True):
+            at = np.frombuffer(places, f"<u{width}")
+            row = [b"".join(_taken(flat, size, start, at[i : i + STEP]) for i in range(0, len(at), STEP)) for flat, size, start in tables]
+            out.append(each(*row) if each else tuple(row))
         cols = list(zip(*out, strict=True)) or [[]] * len(names)
-        kinds = {"binary": pa.binary(), "string": pa.string(), "long": pa.int64()}
-        return pa.table({"doc_id": doc_ids} | {k: pa.array(c, kinds[f.split()[1]]) for k, c, f in zip(names, cols, fields.split(", "), strict=True)})
+        return pa.table({"doc_id": docs.column("doc_id")} | {k: pa.array(c, kinds[f.split()[1]]) for k, c, f in zip(names, cols, fields.split(", "), strict=True)})
+
+    return run
+
+
+def _taken(flat: np.ndarray, size: np.ndarray, start: np.ndarray, at: np.ndarray) -> bytes:
+    """The runs flat[start:start + size] of the places, one after the other."""
+    n = size[at]
+    total = int(n.sum())
+    return flat[np.repeat(start[at] - (np.cumsum(n) - n), n) + np.arange(total)].tobytes()
 
-    return dealt.groupBy("chunk").cogroup(encoded.repartition(n, "chunk").groupBy("chunk")).applyInArrow(join, "doc_id long, " + fields)
+
+def encode_documents(
+    docs: DataFrame, ranks_path: str, pattern: str, each: Callable | None = None, fields: str = "ids binary", decode: bool = False, chunk_bytes: int = CHUNK_BYTES, plain: bool = True
+) -> DataFrame:
+    """Each document's token ids (little-endian unsigned 32-bit, `ids`), or what `each(ids)` makes of them, as `fields`.
+
+    Texts are split once. Chunks of documents send each of their distinct pre-tokens once, with its place; distinct words
+    are encoded once, their ids are joined back by word, and a chunk's documents take them up in the order of their
+    positions. With `decode`, the words' ids are decoded by way of the table of tokens as well, and it is each(ids,
+    bytes). A frequent word is there once a chunk, with its place alone. A null text counts as empty; long texts are
+    read whole; repeated rows are encoded each; other columns of docs are left behind. `plain`: the pattern is the
+    one that the standard library's fast form equals.
+    """
+    small_batches(docs.sparkSession)
+    texts = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    parts = save(texts.mapInArrow(_split(pattern, plain, chunk_bytes), _SPLIT), "split")
+    words = parts.where("word IS NOT NULL").select("chunk", "place", "word")
+    encoded = encode_words(words, ranks_path, pattern)
+    columns = ["ids"]
+    if decode:
+        encoded, columns = decode_words(save(encoded, "encoded_words"), token_bytes(docs.sparkSession, ranks_path)), ["ids", "decoded"]
+    joined = words.join(encoded, "word").select("chunk", "place", *columns)
+    rows = parts.where("word IS NULL").select(F.col("chunk").alias("docs_chunk"), "doc_id", "width", "words")
+    return joined.groupBy("chunk").cogroup(rows.groupBy("docs_chunk")).applyInArrow(_fill(columns, each, fields), "doc_id long, " + fields)
 
 
 def decoder(ranks_path: str) -> Callable[[bytes], bytes]:
@@ -171,15 +210,14 @@ def decode_documents(encoded: DataFrame, ranks_path: str) -> DataFrame:
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all documents, and their texts again, as digests. A null or empty text has no ids; long ones are read
+    whole; repeated rows come out alike."""
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    state: dict[str, Callable] = {}
 
-    def digest(ids: bytes) -> tuple:
-        if "decode" not in state:
-            state["decode"] = decoder(path)
-        return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(state["decode"](ids)).hexdigest()
+    def digest(ids: bytes, decoded: bytes) -> tuple:
+        return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest()
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return encode_documents(docs, path, public_tokenizers.PATTERN, digest, "n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return encode_documents(docs, path, public_tokenizers.PATTERN, digest, "n_tokens long, ids_sha256 string, decoded_sha256 string", decode=True)
