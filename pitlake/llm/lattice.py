@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 from itertools import repeat
@@ -15,12 +16,12 @@ from pyspark.sql import functions as F
 from .common import frugal, gather, mix64, save, slices, small_batches
 from .langid import crc_of_id
 
-#: Words whose counts a task holds before it sends them, and words whose scores each worker holds.
-HELD_WORDS, FREQUENT = 300_000, 200_000
-#: Rounds of expectation maximisation from the vocabulary's own scores, and the share those keep.
-ROUNDS, PRIOR_SHARE = 2, 0.01
-#: Words of a batch in the forward recursion.
-BATCH = 20_000
+#: Words, and bytes of words, whose counts a task holds before it sends them, and words whose scores each worker holds.
+HELD_WORDS, HELD_BYTES, FREQUENT = 300_000, 32 << 20, 200_000
+#: Chance that a word ends after a piece, if it is written in pieces.
+STOP = 0.3
+#: Words and bytes of a batch in the forward recursion, and characters of a word that goes through it by itself, in slices.
+BATCH, BATCH_BYTES, LONG = 20_000, 4 << 20, 20_000
 START = "▁"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -54,10 +55,15 @@ def read_vocabulary(path: str) -> tuple[list[str], np.ndarray, np.ndarray]:
 
 
 class Lattice:
-    """Forward and backward recursions, in log space, over all ways to write words in pieces. A word starts with START."""
+    """The forward recursion, in log space, over all ways to write words in pieces. A word starts with START.
 
-    def __init__(self, pieces: list[str], logs: np.ndarray, of_byte: np.ndarray):
-        self.logs, self.of_byte = np.asarray(logs, dtype=np.float64), of_byte
+    A word is written piece by piece, each by the vocabulary's probabilities, and ends after one with probability
+    `stop`: the probabilities of all words together are at most 1.
+    """
+
+    def __init__(self, pieces: list[str], logs: np.ndarray, of_byte: np.ndarray, stop: float = STOP):
+        self.logs, self.of_byte = np.asarray(logs, dtype=np.float64) + np.log(1 - stop), of_byte
+        self.last = np.log(stop / (1 - stop))
         self.longest = max(map(len, pieces), default=1)
         keys = np.array([self._hash(p) for p in pieces if p], dtype=np.uint64)
         places = np.array([i for i, p in enumerate(pieces) if p], dtype=np.int64)
@@ -83,15 +89,15 @@ class Lattice:
         out[at] = np.where(self.keys[k] == some, self.places[k], -1)
         return out
 
-    def _edges(self, chars: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray]]:
-        """By length: places and log probabilities of the pieces from each start."""
+    def _edges(self, chars: np.ndarray) -> list[tuple[int, np.ndarray]]:
+        """By length: log probabilities of the pieces from each start."""
         n, size = chars.shape
         h, out = np.zeros(chars.shape, dtype=np.uint64), []
         for k in range(1, min(self.longest, size) + 1):
             h = h[:, : size - k + 1] * _BASE + chars[:, k - 1 :]
             found = self._find(h)
             if (found >= 0).any():
-                out.append((k, found, np.where(found >= 0, self.logs[found], -np.inf)))
+                out.append((k, np.where(found >= 0, self.logs[found], -np.inf)))
         return out
 
     def _bytes(self, chars: np.ndarray) -> np.ndarray:
@@ -119,7 +125,7 @@ class Lattice:
         with np.errstate(invalid="ignore"):
             for t in range(1, size + 1):
                 total = a[t - 1] + spelled[:, t - 1]
-                for k, _, p in edges:
+                for k, p in edges:
                     if k <= t:
                         total = np.logaddexp(total, a[t - k] + p[:, t - k])
                 a[t] = total
@@ -128,30 +134,39 @@ class Lattice:
     def log_marginals(self, words: list[str]) -> np.ndarray:
         """Natural log of the probability of each word, summed over its segmentations."""
         out = np.zeros(len(words))
-        for own, chars in self._batches(words):
-            out[own] = self._forward(self._edges(chars), self._bytes(chars))[-1]
+        usual = [i for i, w in enumerate(words) if len(w) < LONG]
+        for own, chars in self._batches([words[i] for i in usual]):
+            out[np.array(usual)[own]] = self._forward(self._edges(chars), self._bytes(chars))[-1] + self.last
+        for i, w in enumerate(words):
+            if len(w) >= LONG:
+                out[i] = self._long(w) + self.last
         return out
 
-    def expected(self, words: list[str], weights: np.ndarray) -> np.ndarray:
-        """Expected uses of each piece in the words, each word counted by its weight."""
-        total = np.zeros(len(self.logs))
-        for own, chars in self._batches(words):
-            edges, spelled = self._edges(chars), self._bytes(chars)
-            a = self._forward(edges, spelled)
-            back = self._forward([(k, f[:, ::-1], p[:, ::-1]) for k, f, p in edges], spelled[:, ::-1])[::-1]
-            for k, found, p in edges:
-                starts = found.shape[1]
-                with np.errstate(invalid="ignore", over="ignore"):
-                    post = np.exp(a[:starts].T + p + back[k : k + starts].T - a[-1][:, None])
-                use = found >= 0
-                share = np.nan_to_num(post[use]) * np.broadcast_to(weights[own][:, None], found.shape)[use]
-                total += np.bincount(found[use], weights=share, minlength=len(total))
-        return total
+    def _long(self, word: str) -> float:
+        """The recursion over one long word, of which a slice and the ends of the longest pieces are held."""
+        ends = [0.0]  # log probabilities of the last places, up to the one reached
+        word, keep = START + word, self.longest
+        for at in range(0, len(word), LONG):
+            before = min(at, keep - 1)
+            chars = np.frombuffer(word[at - before : at + LONG].encode("utf-32-le"), dtype="<u4").astype(np.uint64)[None, :]
+            size, spelled = chars.shape[1], self._bytes(chars)[0].tolist()
+            into: list[list] = [[] for _ in range(size + 1)]
+            for k, p in self._edges(chars):
+                for start in np.flatnonzero(p[0] > -np.inf).tolist():
+                    into[start + k].append((k, float(p[0][start])))
+            a = ends[-1 - before :]
+            for t in range(before + 1, size + 1):
+                from_ = [a[t - 1] + spelled[t - 1], *(a[t - k] + p for k, p in into[t])]
+                top = max(from_)
+                a.append(top + math.log(sum(math.exp(x - top) for x in from_)) if top > -math.inf else top)
+            ends = a[-keep:]
+        return ends[-1]
 
 
 @frugal
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict[bytes, int] = {}
+    size = 0
 
     def send() -> pa.RecordBatch:
         out = pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()).cast(pa.string()), pa.array(list(held.values()), pa.int64())], names=["word", "c"])
@@ -161,37 +176,17 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in slices(batches):
         for learn, text in zip(part.column("learn").to_pylist(), part.column("text").cast(pa.binary()).to_pylist(), strict=True):
             for w, n in Counter(text.lower().split()).items():
-                held[w] = held.get(w, 0) + (n if learn else 0)
-            if len(held) > HELD_WORDS:
+                if w not in held:
+                    size += len(w)
+                    held[w] = 0
+                if learn:
+                    held[w] += n
+            if len(held) > HELD_WORDS or size > HELD_BYTES:
                 yield send()
+                size = 0
     yield send()
 
 
-def fit_vocabulary(words: DataFrame, path: str, rounds: int = ROUNDS) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """The vocabulary of a file with probabilities learned from distinct words (word, c > 0), each counted once,
-    as unknown words resemble rare ones. Expectations are summed by Spark: a row per piece comes back."""
-    pieces, logs, of_byte = read_vocabulary(path)
-    first = np.exp(logs)
-    for _ in range(rounds):
-        now = logs
-
-        @frugal
-        def expect(batches: Iterator[pa.RecordBatch], now: np.ndarray = now) -> Iterator[pa.RecordBatch]:
-            lattice, total = Lattice(pieces, now, of_byte), np.zeros(len(now))
-            for batch in gather(batches, BATCH):
-                own = batch.column("word").to_pylist()
-                total += lattice.expected(own, np.ones(len(own)))
-            at = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["piece", "uses"])
-
-        uses = np.zeros(len(logs))
-        for r in words.where("c > 0").select("word").mapInArrow(expect, "piece long, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).orderBy("piece").collect():
-            uses[r.piece] = r.uses
-        if uses.sum():
-            logs = np.log((1 - PRIOR_SHARE) * uses / uses.sum() + PRIOR_SHARE * first)
-    return pieces, logs, of_byte
-
-
 def _score(frequent: object):
     """For each text the sums over its frequent words, as a row whose word no text has, and a row for each other word."""
 
@@ -232,31 +227,35 @@ def score_texts(docs: DataFrame, learn: Column, vocabulary_path: str, frequent:
     """A row per document: doc_id, n_tokens, n_known, train_tokens, base_score, score.
 
     Tokens are the words of the text with A-Z in lower case, and one end. Counts are learned from the documents
-    where `learn` holds. base_score sums log10((c + 1) / (N + V + 1)). score sums log10((c - D) / N + (D V / N) q):
-    a word is one piece itself with its share of the counts, less a discount D from counts of counts, or with what
-    is left for new words any sequence of pieces of the vocabulary, whose probabilities q sums over all segmentations. A null text counts as empty, so
-    it is its end alone. The `frequent` commonest words are sent to every task; all others are joined.
-    Rows that repeat doc_id and text come out alike.
+    where `learn` holds. base_score sums log10((c + 1) / (N + V + 1)). score sums log10((c - D) / N + w (1 - e) q):
+    the lattice of a word has all segmentations into pieces of the vocabulary, weighted by its own scores, whose
+    probabilities q sums, and one arc more, the word as a whole with its share of the training tokens, less a discount D
+    from counts of counts. What the discounts leave, w = D V / N, weighs the lattice of pieces against whole words; of
+    it the end of the text has the share e that it has among the tokens, so that the model's probabilities sum to
+    no more than 1. A null text counts as empty, so it is its end alone. The `frequent` commonest words are sent to
+    every task; all others are joined. Long texts and words are read whole, in slices; equal counts are treated alike;
+    rows that repeat doc_id and text come out alike; other columns of docs are left behind.
     """
     small_batches(docs.sparkSession)
     spark = docs.sparkSession
     texts = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), F.coalesce(learn, F.lit(True)).alias("learn"))
     counted = texts.select("text", "learn").mapInArrow(_count_words, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
     counts = save(counted, "words")
-    pieces, logs, of_byte = fit_vocabulary(counts, vocabulary_path)
+    pieces, logs, of_byte = read_vocabulary(vocabulary_path)
 
     @frugal
     def marginal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(pieces, logs, of_byte)
-        for batch in gather(batches, BATCH):
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lattice.log_marginals(batch.column("word").to_pylist()) / np.log(10))], names=["word", "c", "q"])
+        for whole in gather(batches, BATCH, BATCH_BYTES):
+            for batch in slices(iter([whole]), "word", BATCH_BYTES):
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lattice.log_marginals(batch.column("word").to_pylist()) / np.log(10))], names=["word", "c", "q"])
 
     found = save(counts.mapInArrow(marginal, "word string, c long, q double"), "marginals")
     sums = found.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), *(F.count_if(x).alias(k) for k, x in (("v", F.col("c") > 0), ("n1", F.col("c") == 1), ("n2", F.col("c") == 2)))).first()
     ends = texts.where("learn").count()
     n, v = sums.n + ends, sums.v + (1 if ends else 0)
     cut = min(0.9, max(0.1, sums.n1 / (sums.n1 + 2 * sums.n2))) if sums.n1 else 0.5
-    left = cut * v / n if n else 1.0
+    left, end_share = (cut * v / n, ends / n) if n else (1.0, 0.5)
 
     def model(c: Column, q: Column) -> Column:
         new = F.lit(float(np.log10(left))) + q
@@ -266,8 +265,9 @@ def score_texts(docs: DataFrame, learn: Column, vocabulary_path: str, frequent:
         return F.log10((c + 1) / F.lit(float(n + v + 1)))
 
     known = (F.col("c") > 0).cast("long")
-    scored = found.select("word", known.alias("k"), base(F.col("c")).alias("b"), model(F.col("c"), F.col("q")).alias("s"))
-    top = found.where(F.col("c") >= commonest(found, frequent)).select("word", known.alias("k"), base(F.col("c")).alias("b"), model(F.col("c"), F.col("q")).alias("s")).toPandas()
+    pieced = F.col("q") + F.lit(math.log10(1 - end_share) if end_share < 1 else -400.0)
+    scored = found.select("word", known.alias("k"), base(F.col("c")).alias("b"), model(F.col("c"), pieced).alias("s"))
+    top = found.where(F.col("c") >= commonest(found, frequent)).select("word", known.alias("k"), base(F.col("c")).alias("b"), model(F.col("c"), pieced).alias("s")).toPandas()
     sent = spark.sparkContext.broadcast(([w.encode() for w in top["word"]], top[["k", "b", "s"]].to_numpy(dtype=np.float64)))
     rows = texts.select("doc_id", "text", F.xxhash64("text").alias("row")).mapInArrow(_score(sent), "word string, doc_id long, row long, times long, n_tokens long, known long, base double, score double")
     doc = F.col("word").startswith("\n")
@@ -282,7 +282,7 @@ def score_texts(docs: DataFrame, learn: Column, vocabulary_path: str, frequent:
     )
     by_doc = joined.groupBy("doc_id", "row").agg(*(F.sum(c).alias(c) for c in ("copies", "n_tokens", "known", "base", "score")))
     end = float(ends)
-    one = spark.range(1).select(base(F.lit(end)).alias("b"), model(F.lit(end), F.lit(-np.log10(len(logs)))).alias("s")).first()
+    one = spark.range(1).select(base(F.lit(end)).alias("b"), model(F.lit(end), F.lit(math.log10(end_share) if ends else -400.0)).alias("s")).first()
     return by_doc.select(
         "doc_id",
         F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"),
@@ -295,6 +295,8 @@ def score_texts(docs: DataFrame, learn: Column, vocabulary_path: str, frequent:
 
 
 def op2_lattice_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents, learned from those not held out. A null or empty text is its end alone; long ones are read
+    whole; repeated rows come out alike."""
     import public_tokenizers
 
     held = F.pmod(crc_of_id(), F.lit(7)) == 2
