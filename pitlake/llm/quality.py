@@ -18,6 +18,8 @@ from .common import frugal, histogram_median, mix64, save, slices, small_batches
 WINDOW = 8
 #: Bands: so many robust standard deviations, and at least so many bits a symbol, around the language's median.
 BAND_SD, BAND_BITS = 5.0, 0.22
+#: Models whose names are sent to every task.
+MANY = 100_000
 #: The group of documents without a language, and what parts a language from the half of its texts.
 NO_LANGUAGE, FOLD = "", "\x01"
 
@@ -101,8 +103,9 @@ def quality_rules(docs: DataFrame, min_words: int = 20, max_repeat_percent: int
     models = save(charlm.fit(charlm.count(rows.select(F.concat("lang", F.lit(FOLD), "fold").alias("lang"), "text"), True)), "perplexity")
     halves = models.groupBy(F.expr("substr(lang, 1, length(lang) - 2)").alias("_lang")).agg(F.max(F.expr("substr(lang, -1)")).alias("_top"), F.count(F.lit(1)).alias("_halves"))
     other = F.when(F.col("_halves") == 2, (1 - F.col("fold")).cast("string")).otherwise(F.col("_top"))
-    named = rows.join(halves, F.col("lang") == F.col("_lang"), "left").select("doc_id", "lang", "text", F.concat("lang", F.lit(FOLD), other).alias("own"))
     parts = list(charlm.passes(models))
+    few = sum(map(len, parts)) <= MANY  # a row a language; a join splits a frequent one where they are many
+    named = rows.join(F.broadcast(halves) if few else halves, F.col("lang") == F.col("_lang"), "left").select("doc_id", "lang", "text", F.concat("lang", F.lit(FOLD), other).alias("own"))
     spark = docs.sparkSession
     measured = None
     for i, part in enumerate(parts or [{}]):
