@@ -10,10 +10,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import frugal, mix64, parts_for, slices, small_batches, text_bytes
+from .common import frugal, mix64, parts_for, save, slices, small_batches, text_bytes
 
 #: Words of a window, and of a minimiser.
 WINDOW, MINIMISER = 50, 4
@@ -21,6 +21,11 @@ WINDOW, MINIMISER = 50, 4
 LONGEST = 256
 #: Text bytes whose super-k-mers are packed together, and packed bytes of a bucket.
 CHUNK_BYTES, BUCKET_BYTES = 16 << 20, 8 << 20
+#: Packed bytes of a bucket from which on its windows are dealt by their own hashes, and the share of all super-k-mers of a
+#: sample from which on a minimiser's are from the start. The sample has so many documents.
+SPLIT_BYTES, HOT_SHARE, SAMPLE = 48 << 20, 2e-4, 20_000
+#: Parts into which equal windows are dealt where their smallest doc_id is looked for.
+SALTS = 16
 #: Bytes whose hashes are computed at once.
 STEP = 1 << 19
 #: Stands for a null doc_id: larger than any other.
@@ -132,8 +137,30 @@ def _words_of(part: pa.RecordBatch) -> Words:
     return Words([b" ".join(t.split()) for t in part.column("text").cast(pa.binary()).to_pylist()])
 
 
-def _pack_chunks(window: int, buckets: int):
-    """Distinct super-k-mers of each chunk of texts, packed for their buckets with the smallest doc_id that has them."""
+def _minimisers(window: int):
+    @frugal
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, most=2 << 20):
+            _, _, low, one, _, _ = super_kmers(_words_of(part), window)
+            yield pa.RecordBatch.from_arrays([pa.array(low.view(np.int64)), pa.array(one)], names=["low", "one"])
+
+    return run
+
+
+def _hot_minimisers(docs: DataFrame, window: int) -> np.ndarray:
+    """Minimisers that many different super-k-mers of a sample have; at most 1 / HOT_SHARE. They only say how windows travel."""
+    n = docs.count()
+    some = docs.sample(min(1.0, SAMPLE / n), seed=1) if n else docs
+    found = some.mapInArrow(_minimisers(window), "low long, one long").distinct()
+    sizes = found.groupBy("low").agg(F.count(F.lit(1)).alias("n"))
+    total = F.sum("n").over(Window.partitionBy())
+    least = F.greatest(total * HOT_SHARE, F.lit(50))
+    return np.sort(np.array([r.low for r in sizes.where("n > 50").withColumn("least", least).where("n >= least").collect()], dtype=np.int64).view(np.uint64))
+
+
+def _pack_chunks(window: int, buckets: int, hot: np.ndarray):
+    """Distinct super-k-mers of each chunk of texts, packed for their buckets with the smallest doc_id that has them. Those of
+    a hot minimiser go to buckets by their own hashes, which have numbers below 0."""
 
     @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,10 +184,14 @@ def _pack_chunks(window: int, buckets: int):
             words, docs = _words_of(part), _ids(part.column("doc_id"))
             first, size, low, one, two, text = super_kmers(words, window)
             begin, end = words.starts[first].tolist(), words.ends[first + size + window - 2].tolist()
-            bucket = (low % np.uint64(buckets)).astype(np.int64).tolist()
-            for b, e, k, key, doc in zip(begin, end, bucket, zip(one.tolist(), two.tolist(), strict=True), docs[text].tolist(), strict=True):
+            bucket = (low % np.uint64(buckets)).astype(np.int64)
+            if len(hot):
+                own = hot[np.minimum(np.searchsorted(hot, low), len(hot) - 1)] == low
+                bucket[own] = -1 - (one[own].view(np.uint64) % np.uint64(buckets)).astype(np.int64)
+            for b, e, k, key, doc in zip(begin, end, bucket.tolist(), zip(one.tolist(), two.tolist(), strict=True), docs[text].tolist(), strict=True):
                 if key in found:
                     old = found[key]
+                    _check_same(old[3], words.joined[b:e])
                     if doc != old[1]:
                         old[1], old[2] = min(doc, old[1]), 1
                 else:
@@ -174,6 +205,12 @@ def _pack_chunks(window: int, buckets: int):
     return run
 
 
+def _check_same(a: bytes, b: bytes) -> None:
+    """Strings with one 128-bit hash must be equal, since places of words are joined by it."""
+    if a != b:
+        raise ValueError("two different passages have the same 128-bit hash; change _ODD")
+
+
 def _same(words: Words, window: int, order: np.ndarray, prints: np.ndarray) -> np.ndarray:
     """Where the sorted windows differ from the one before. Neighbours with equal fingerprints are compared whole."""
     new = np.ones(len(order), dtype=bool)
@@ -185,8 +222,8 @@ def _same(words: Words, window: int, order: np.ndarray, prints: np.ndarray) -> n
     return new
 
 
-def _count_bucket(blobs: list[bytes], window: int) -> tuple[list, list, list, list, list]:
-    """For each super-k-mer that some document has after another: runs of its windows with the smallest doc_id of each."""
+def _read(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, Words]:
+    """Two hashes, smallest doc_id and whether there are several, and the words, of the distinct super-k-mers of blobs."""
     heads, texts = [], []
     for blob in blobs:
         raw = zstandard.ZstdDecompressor().decompress(blob)
@@ -202,16 +239,26 @@ def _count_bucket(blobs: list[bytes], window: int) -> tuple[list, list, list, li
     one, two, doc, several = (x[order] for x in (one, two, doc, several))
     new = np.ones(len(one), bool)
     new[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
+    for k in np.flatnonzero(~new).tolist():
+        _check_same(texts[order[k - 1]], texts[order[k]])
     at = np.flatnonzero(new)
     several = (np.maximum.reduceat(several, at) > 0) | (np.maximum.reduceat(doc, at) != doc[at])
-    one, two, doc = one[at], two[at], doc[at]
-    words = Words([texts[i] for i in order[at].tolist()])
-    del texts, heads
+    return one[at], two[at], doc[at], several, Words([texts[i] for i in order[at].tolist()])
+
+
+def _windows_of(words: Words, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Super-k-mer and first word of each window."""
     base = np.cumsum(words.counts) - words.counts
     size = words.counts - window + 1
-    run = np.repeat(np.arange(len(at)), size)
-    place = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-    start = base[run] + place
+    run = np.repeat(np.arange(len(size)), size)
+    return run, base[run] + np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+
+
+def _count_bucket(blobs: list[bytes], window: int) -> tuple[list, list, list, list, list]:
+    """For each super-k-mer that some document has after another: runs of its windows with the smallest doc_id of each."""
+    one, two, doc, several, words = _read(blobs)
+    run, start = _windows_of(words, window)
+    size = words.counts - window + 1
     prints = words.sequences(start, start + window, _ODD[0])
     full = np.zeros(len(words.hashes), dtype=np.uint64)
     full[start] = prints
@@ -229,7 +276,7 @@ def _count_bucket(blobs: list[bytes], window: int) -> tuple[list, list, list, li
     if len(groups):
         least[sorted_] = np.repeat(np.minimum.reduceat(owner[sorted_], groups), np.diff(np.append(groups, len(sorted_))))
     least = least[start]
-    hit = np.zeros(len(at), dtype=bool)
+    hit = np.zeros(len(one), dtype=bool)
     np.logical_or.at(hit, run, least < doc[run])
     out: tuple[list, list, list, list, list] = ([], [], [], [], [])
     ends = np.cumsum(size)
@@ -241,29 +288,65 @@ def _count_bucket(blobs: list[bytes], window: int) -> tuple[list, list, list, li
     return out
 
 
+def _prints(blobs: list[bytes], window: int) -> tuple[list, list, list, list, list, list]:
+    """For each super-k-mer: its hashes, smallest doc_id and whether there are several, and two hashes of each window."""
+    one, two, doc, several, words = _read(blobs)
+    _, start = _windows_of(words, window)
+    hashes = [words.sequences(start, start + window, b).view(np.int64) for b in (_ODD[0], _ODD[2])]
+    ends = np.cumsum(words.counts - window + 1)[:-1]
+    return one.tolist(), two.tolist(), doc.tolist(), several.tolist(), *([x.tolist() for x in np.split(h, ends)] for h in hashes)
+
+
+_COUNTED = "one long, two long, place array<int>, size array<int>, least array<long>, doc long, several boolean, p array<long>, q array<long>"
+
+
 def _count_windows(window: int):
-    """Rows come sorted by bucket."""
+    """Rows come sorted by bucket. A bucket is counted in itself; if it is of a hot minimiser, or larger than SPLIT_BYTES, its
+    super-k-mers come back in parts with hashes of all their windows, to be counted together with all others."""
+    kinds = [pa.int64(), pa.int64(), *[pa.list_(t) for t in (pa.int32(), pa.int32(), pa.int64())], pa.int64(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+    names = [f.split()[0] for f in _COUNTED.split(", ")]
 
     @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, blobs = None, []
+        now, blobs, held, split = None, [], 0, False
 
         def send() -> Iterator[pa.RecordBatch]:
-            if blobs:
-                kinds = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(_count_bucket(blobs, window), kinds, strict=True)], names=["one", "two", "place", "size", "least"])
+            if blobs and not split:
+                found = _count_bucket(blobs, window)
+                none = [None] * len(found[0])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((*found, none, none, none, none), kinds, strict=True)], names=names)
+            elif blobs:
+                one, two, doc, several, p, q = _prints(blobs, window)
+                none = [None] * len(one)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((one, two, none, none, none, doc, several, p, q), kinds, strict=True)], names=names)
 
         for batch in batches:
             for bucket, blob in zip(batch.column("bucket").to_pylist(), batch.column("packed").to_pylist(), strict=True):
                 if bucket != now:
                     yield from send()
-                    now, blobs = bucket, []
+                    now, blobs, held, split = bucket, [], 0, bucket < 0
+                elif held > (SPLIT_BYTES >> 4 if split else SPLIT_BYTES >> 2):  # compressed to about a quarter
+                    split = True
+                    yield from send()
+                    blobs, held = [], 0
                 blobs.append(blob)
+                held += len(blob)
         yield from send()
 
     return run
 
 
+def _least_of_windows(split: DataFrame) -> DataFrame:
+    """one, two, place, size, least of super-k-mers that came back with hashes of their windows. Equal windows are dealt
+    over SALTS parts, whose smallest doc_ids are merged, so a window that many documents have is in no single task."""
+    each = split.select("one", "two", "doc", "several", F.posexplode(F.arrays_zip("p", "q")).alias("at", "w"))
+    each = each.select("one", "two", "doc", "several", "at", "w.p", "w.q", F.pmod("one", F.lit(SALTS)).cast("int").alias("salt"))
+    parts = each.groupBy("p", "q", "salt").agg(F.min("doc").alias("low"))
+    least = parts.select("p", "q", "salt", F.min("low").over(Window.partitionBy("p", "q")).alias("low"))
+    found = each.join(least, ["p", "q", "salt"]).where("low < doc OR several")
+    return found.select("one", "two", F.array("at").alias("place"), F.array(F.lit(1)).alias("size"), F.array("low").alias("least"))
+
+
 def _find_runs(window: int):
     """Where each text has its super-k-mers."""
 
@@ -286,16 +369,18 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     Consecutive windows that share a minimiser travel as one packed string to the minimiser's bucket, each string
     once a chunk, so a passage or a text that many documents share is no hot key. A bucket sorts its windows,
-    compares neighbours whole and notes for each window the smallest doc_id. The super-k-mers that matter are
-    joined to their places in the documents; that join may be split where one of them is frequent.
+    compares neighbours whole and notes for each window the smallest doc_id. Where different contexts of one
+    minimiser are many, as a sample or the bucket's own size shows, windows are dealt by 128-bit hashes of their own instead.
+    The super-k-mers that matter are joined to their places in the documents, by 128-bit hashes of theirs; strings that
+    share one are compared wherever they meet. That join may be split where one of them is frequent.
     """
     total = text_bytes(docs)
     buckets = parts_for(int(3.1 * total), BUCKET_BYTES)
     texts = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("row"))
-    packed = texts.select("doc_id", "text").mapInArrow(_pack_chunks(window, buckets), "bucket long, packed binary")
-    counted = packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(
-        _count_windows(window), "one long, two long, place array<int>, size array<int>, least array<long>"
-    )
+    hot = _hot_minimisers(texts.select("text"), window)
+    packed = texts.select("doc_id", "text").mapInArrow(_pack_chunks(window, buckets, hot), "bucket long, packed binary")
+    counted = save(packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_count_windows(window), _COUNTED), "windows")
+    counted = counted.where("p IS NULL").select("one", "two", "place", "size", "least").unionByName(_least_of_windows(counted.where("p IS NOT NULL")))
     places = texts.mapInArrow(_find_runs(window), "one long, two long, doc_id long, row long, first int")
     return (
         places.join(counted, ["one", "two"])
@@ -335,7 +420,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, digest: bool = False)
     A word goes if a window of `window` words that covers it also starts in a document with a smaller doc_id;
     windows are judged on the input. A null text has no words; a text shorter than the window keeps all. A null
     doc_id counts as the largest. Rows that share a doc_id are not before one another, and repeated rows come
-    out alike.
+    out alike. Long texts are read whole; other columns of docs are left behind.
     """
     small_batches(docs.sparkSession)
     texts = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
@@ -347,4 +432,6 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, digest: bool = False)
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words in all documents that a smaller doc_id has. A null or empty text has no words; long ones are read
+    whole; repeated rows come out alike."""
     return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), digest=True).withColumnRenamed("kept", "kept_sha256")

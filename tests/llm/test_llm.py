@@ -79,7 +79,7 @@ def test_exact_dedup(docs, rows, empty):
     assert exact_dedup.exact_dedup(empty).count() == 0
 
 
-def test_substring(docs, rows, empty):
+def test_substring(docs, rows, empty, monkeypatch):
     first, want = {}, collections.Counter()
     order = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0))
     for r in order:
@@ -96,6 +96,11 @@ def test_substring(docs, rows, empty):
         kept = b" ".join(a for a, g in zip(w, gone) if not g)
         want[(r[0], len(w), sum(gone), hashlib.sha256(kept).hexdigest())] += 1
     assert bag(substring.remove_repeats(docs, digest=True)) == want
+    for name, value in (("HOT_SHARE", 0.0), ("SPLIT_BYTES", 0)):  # all windows dealt by their own hashes
+        with monkeypatch.context() as m:
+            m.setattr(substring, name, value)
+            m.setattr(substring, "_hot_minimisers", lambda d, w: np.unique(substring.super_kmers(substring.Words([b" ".join(split(r[1])) for r in rows]))[2])) if name == "HOT_SHARE" else None
+            assert bag(substring.remove_repeats(docs, digest=True)) == want
     assert sum(k[2] * n for k, n in want.items()) > 400
     assert substring.remove_repeats(empty).count() == 0
 
@@ -109,6 +114,23 @@ def test_substring_hash_collision(monkeypatch):
 
     blob = zstandard.ZstdCompressor(1).compress(np.array([2], "<i8").tobytes() + head.tobytes() + a + b)
     assert substring._count_bucket([blob], 50)[0] == []
+    head[:2] = 1
+    blob = zstandard.ZstdCompressor(1).compress(np.array([2], "<i8").tobytes() + head.tobytes() + a + b)
+    with pytest.raises(ValueError):
+        substring._count_bucket([blob], 50)
+
+
+def test_substring_hot_minimiser(spark):
+    """A phrase in many contexts: its minimiser is found to be hot."""
+    rng = random.Random(8)
+    rows = [(i, words(rng, 60, 10**6) + " all rights reserved by the firm of one and all " + words(rng, 60, 10**6)) for i in range(400)]
+    rows += [(1000, rows[7][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    lows = [set(substring.super_kmers(substring.Words([r[1].encode()]))[2].tolist()) for r in rows[:50]]
+    hot = substring._hot_minimisers(docs.select("text"), 50)
+    assert len(hot) and sum(bool(low & set(hot.tolist())) for low in lows) >= 20
+    found = {r.doc_id: r.n_removed for r in substring.remove_repeats(docs).collect()}
+    assert found[1000] == len(rows[7][1].split()) and sum(found.values()) == found[1000]
 
 
 def brute_classes(rows, least=0.8):
