@@ -88,37 +88,52 @@ def shingle_sets(words: Words, size: int = SHINGLE) -> tuple[np.ndarray, np.ndar
     return h[at], np.diff(np.append(at, len(h))), text[at]
 
 
-_SKETCHED = "doc_id long, row long, node binary, n int, keys array<long>, shingles binary"
+def _elements(part: pa.RecordBatch, weighted: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Shingles, their weights and the numbers of their texts."""
+    h, count, text = shingle_sets(_words_of(part))
+    return h, count if weighted else np.ones(len(h), dtype=np.int64), text
+
+
+def _units(h: np.ndarray, weight: np.ndarray, text: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes | None]]:
+    """Elements in the order of their texts, an integer weight being as many; how many each text has and where they end; and
+    the node of each text, a 128-bit hash of all of them."""
+    unit = np.arange(int(weight.sum())) - np.repeat(np.cumsum(weight) - weight, weight)
+    h, text = np.repeat(h, weight), np.repeat(text, weight)
+    h = np.where(unit > 0, mix64(h + _C * unit.astype(np.uint64)), h)
+    size = np.bincount(text, minlength=rows)
+    ends = np.cumsum(size)
+    one, two = (np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(h ^ c), dtype=np.uint64)]) for c in (_A, _B))
+    one, two = (mix64(x[ends] - x[ends - size] + size.astype(np.uint64)) for x in (one, two))
+    return h, size, ends, [one[i].tobytes() + two[i].tobytes() if size[i] else None for i in range(rows)]
+
+
+_SKETCHED = "doc_id long, row long, node binary, keys array<long>"
 
 
 def _sketch(weighted: bool):
     @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, most=1 << 20):
-            words = _words_of(part)
-            h, count, text = shingle_sets(words)
             rows = part.num_rows
-            weight = count if weighted else np.ones(len(h), dtype=np.int64)
+            h, weight, text = _elements(part, weighted)
             sig = darts(h, weight.astype(np.float64), text, rows)
             keys = np.zeros((rows, BANDS), dtype=np.uint64)
             for r in range(ROWS):
                 keys = mix64(keys * _A + sig.reshape(rows, BANDS, ROWS)[:, :, r] + np.arange(1, BANDS + 1, dtype=np.uint64))
-            if weighted:  # an integer weight is as many elements
-                unit = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-                h, text = np.repeat(h, count), np.repeat(text, count)
-                h = np.where(unit > 0, mix64(h + _C * unit.astype(np.uint64)), h)
-            size = np.bincount(text, minlength=rows)
-            ends = np.cumsum(size)
-            one, two = (np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(h ^ c), dtype=np.uint64)]) for c in (_A, _B))
-            one, two = (mix64(x[ends] - x[ends - size] + size.astype(np.uint64)) for x in (one, two))
-            nodes, sets = [], []
-            for i in range(rows):
-                some = bool(size[i])
-                nodes.append(one[i].tobytes() + two[i].tobytes() if some else None)
-                sets.append(np.sort(h[ends[i] - size[i] : ends[i]]).tobytes() if some else None)
-            flat = pa.array(keys.view(np.int64).ravel())
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * BANDS), flat)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("row"), pa.array(nodes, pa.binary()), pa.array(size.astype(np.int32)), lists, pa.array(sets, pa.binary())], names=["doc_id", "row", "node", "n", "keys", "shingles"])
+            _, _, _, nodes = _units(h, weight, text, rows)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * BANDS), pa.array(keys.view(np.int64).ravel()))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("row"), pa.array(nodes, pa.binary()), lists], names=["doc_id", "row", "node", "keys"])
+
+    return run
+
+
+def _payload(weighted: bool):
+    @frugal
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, most=1 << 20):
+            h, size, ends, nodes = _units(*_elements(part, weighted), part.num_rows)
+            sets = [np.sort(h[e - n : e]).tobytes() for e, n in zip(ends.tolist(), size.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(size.astype(np.int32)), pa.array(sets, pa.binary())], names=["node", "n", "shingles"])
 
     return run
 
@@ -298,12 +313,13 @@ def _compare_buckets(members: DataFrame, payload: DataFrame, similarity: float)
     return rows.repartition("group").sortWithinPartitions("group", "node").mapInArrow(_link_groups(similarity), "a binary, b binary")
 
 
-def link(sketched: DataFrame, similarity: float = SIMILARITY) -> DataFrame | None:
+def link(texts: DataFrame, sketched: DataFrame, similarity: float = SIMILARITY, weighted: bool = True) -> DataFrame | None:
     """node, label for nodes (distinct shingle sets) with a link, None if there is none.
 
     Candidates share a band. In ROUNDS rounds the nodes of each bucket are compared with a leader, its smallest or one
     by a hash, unless they are joined already: a bucket of near copies costs a comparison each. What is still
-    in several components is then compared within its bucket, each two nodes of different components.
+    in several components is then compared within its bucket, each two nodes of different components. Shingles
+    of the candidates alone are made again from their texts, since all documents' would take more room than the texts.
     """
     some = sketched.where("node IS NOT NULL")
     members = some.select("node", F.explode("keys").alias("key")).distinct().withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
@@ -311,9 +327,10 @@ def link(sketched: DataFrame, similarity: float = SIMILARITY) -> DataFrame | Non
     shared = save(members.join(whole, ["key", "salt"]).select("key", "salt", "node", "leader"), "buckets")
     if not shared.limit(1).count():
         return None
-    reps = some.groupBy("node").agg(F.min("doc_id").alias("least")).join(shared.select("node").distinct(), "node", "left_semi").withColumnRenamed("node", "node_")
-    payload = some.join(reps, (F.col("node") == F.col("node_")) & F.col("doc_id").eqNullSafe(F.col("least")))
-    payload = save(payload.dropDuplicates(["node"]).select("node", "n", "shingles"), "payload")
+    reps = some.join(shared.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "row")).alias("one"))
+    reps = reps.select(F.col("one.doc_id").alias("doc_"), F.col("one.row").alias("row_"))
+    payload = texts.join(reps, F.col("doc_id").eqNullSafe(F.col("doc_")) & (F.col("row") == F.col("row_")), "left_semi")
+    payload = save(payload.mapInArrow(_payload(weighted), "node binary, n int, shingles binary").dropDuplicates(["node"]), "payload")
     edges, labels = None, None
     for k in range(ROUNDS + 1):
         if labels is None:
@@ -344,7 +361,7 @@ def _classes(docs: DataFrame, similarity: float, weights: str) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     texts = docs.select("doc_id", F.xxhash64(text).alias("row"), text.alias("text"))
     sketched = save(texts.mapInArrow(_sketch(weights == "count"), _SKETCHED), "sketched")
-    labels = link(sketched, similarity)
+    labels = link(texts, sketched, similarity, weights == "count")
     rows = sketched.where("node IS NOT NULL").select("doc_id", "row", "node")
     best = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     by_node = rows.groupBy("node").agg(F.min(best).alias("best"), F.count(F.lit(1)).alias("size"))
