@@ -211,10 +211,10 @@ def test_byte_bpe(docs, rows, empty, monkeypatch):
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
     want = collections.Counter((r[0], np.array(enc.encode_ordinary(r[1] or ""), "<u4").tobytes()) for r in rows)
-    for long, most in ((1 << 20, 60_000), (1000, 300)):
+    for long, buckets in ((1 << 20, 16 << 20), (1000, 20_000)):
         monkeypatch.setattr(bpe, "LONG", long)
-        monkeypatch.setattr(bpe, "MOST_WORDS", most)
-        monkeypatch.setattr(bpe, "STEP", most)
+        monkeypatch.setattr(bpe, "BUCKET_BYTES", buckets)
+        monkeypatch.setattr(bpe, "STEP", long // 4)
         encoded = bpe.encode_documents(docs, path, public_tokenizers.PATTERN, chunk_bytes=60_000).cache()
         assert collections.Counter((r.doc_id, bytes(r.ids)) for r in encoded.collect()) == want
     assert bag(bpe.decode_documents(encoded, path)) == collections.Counter((r[0], r[1] or "") for r in rows)
@@ -223,6 +223,13 @@ def test_byte_bpe(docs, rows, empty, monkeypatch):
     assert bpe.encode_documents(empty, path, public_tokenizers.PATTERN, decode=True, fields="ids binary, text binary").count() == 0
 
 
+def test_squeezed_numbers():
+    rng = np.random.default_rng(1)
+    for most in (1, 192, 70_000, 4_194_303, 4_194_304, 2**32):
+        arrays = [rng.integers(0, most, n).astype(np.uint32) for n in (0, 1, 5000)]
+        assert all((a == b).all() for a, b in zip(arrays, bpe._expand(bpe._squeeze(*arrays)), strict=True))
+
+
 def test_packing(docs, rows, empty):
     path = public_tokenizers.path("word_bpe_49k.json")
     found = packing.pack_documents(docs, path).collect()
