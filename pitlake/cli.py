@@ -43,8 +43,8 @@ def run_strategy(lake: Lake, name: str, setting: str, start: str, top: int) -> D
     x = x.withColumn("eligible", x["in_index"])
     w = portfolio.build_weights(signals.REGISTRY[name](x), portfolio.Construction(top=top))
     sched = backtest.rebalance_schedule(identity.derive_calendar(p.select("date")), start)
-    w = backtest.with_closing_rows(w.selectExpr(f"'{name}' AS run", "date", "security_id", "weight"), sched)
-    return backtest.run_backtest(w, p, sched, costs.SETTINGS[setting]).groupBy("run", "period").agg({"nav": "first"}).orderBy("period")
+    w = w.selectExpr(f"'{name}' AS run", "date", "security_id", "weight")
+    return backtest.rebalances(backtest.run_backtest(w, p, sched, costs.SETTINGS[setting])).select("run", "period", "nav").orderBy("period")
 
 
 def battery(spark: SparkSession, lake: Lake) -> DataFrame:

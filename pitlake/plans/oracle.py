@@ -47,6 +47,7 @@ CTE: dict[str, tuple[tuple[str, ...], str]] = {
         FROM ibars b JOIN cal USING (date)"""),
     "dense": (("cal",), """
         SELECT b.*, c.session_index, c.is_month_end, (security_id + month(b.date)) % 4 <> 0 AS in_index, CAST(0.0005 * (1 + security_id % 3) AS DOUBLE) AS half_spread,
+               open AS raw_open, CASE WHEN c.session_index < 800 + 100 * security_id THEN 2.0::DOUBLE ELSE 1.0 END AS cum_split,
                CASE WHEN count(close * volume) OVER w >= 10 THEN quantile_cont(close * volume, 0.5) OVER w END AS dollar_volume
         FROM (SELECT s AS security_id, d AS date, max(CASE WHEN a = 1 THEN px END) AS open, max(px) AS high, min(px) AS low,
                      max(CASE WHEN z = 1 THEN px END) AS close, sum(q) AS volume

@@ -13,7 +13,7 @@ from pitlake.plans.oracle import sql
 from pitlake.plans.q_fundamental import _MORE, _values
 from pitlake.plans.q_lake import day, r
 from pitlake.plans.q_price import _CLASS, _REASONS, _reasons
-from pitlake.plans.q_research import _MON, _MS, _RK_SHORT, _run_weights, _schedule
+from pitlake.plans.q_research import _MON, _MS, _RK_SHORT, _events, _run_weights, _schedule
 from pitlake.plans.q_timing import _f
 
 QUERIES: dict = {}
@@ -100,25 +100,21 @@ def benchmark_rebased(spark, d):
 
 @_add()
 def cost_settings(spark, d):
-    """One strategy under all cost settings: last value of each run."""
-    sched = _schedule(spark, d)
-    h = backtest.run_settings(backtest.with_closing_rows(_run_weights(spark, d), sched), S.dense_panel(spark, d), sched, costs.SETTINGS)
-    out = h.groupBy("run").agg(F.max_by("nav", "period").alias("nav"), F.sum(F.col("commission") + F.col("spread") + F.col("fixed")).alias("cost"))
+    """One strategy under all cost settings: last value before a trade and all costs of each run."""
+    e = backtest.run_settings(_run_weights(spark, d), S.dense_panel(spark, d), _schedule(spark, d), costs.SETTINGS)
+    out = backtest.rebalances(e).groupBy("run").agg(F.max_by("nav", "period").alias("nav"), F.sum("cost").alias("cost"))
     return out.select(F.element_at(F.split("run", r"\|"), 2).alias("setting"), r("nav", 2).alias("nav"), r("cost", 2).alias("cost"))
 
 
 @_add()
 def most_traded(spark, d):
-    sched = _schedule(spark, d)
-    h = backtest.run_backtest(backtest.with_closing_rows(_run_weights(spark, d), sched), S.dense_panel(spark, d), sched, costs.SETTINGS["realistic"])
-    return backtest.most_traded(backtest.ledger(h), 5).withColumn("value", r("value", 2))
+    m = backtest.most_traded(backtest.ledger(_events(spark, d)), 5)
+    return m.withColumns({"notional": r("notional", 2), "cost": r("cost", 2)})
 
 
 @_add()
 def exit_diagnostics(spark, d):
-    sched = _schedule(spark, d)
-    h = backtest.run_backtest(backtest.with_closing_rows(_run_weights(spark, d), sched), S.dense_panel(spark, d), sched, costs.SETTINGS["free"])
-    return h.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+    return backtest.exits(_events(spark, d, "free")).withColumn("proceeds", r("proceeds", 2))
 
 
 @_add("SELECT 0::BIGINT AS changed")
@@ -355,5 +351,5 @@ def backtest_roster(spark, d):
         x = signals.REGISTRY[name](x).withColumnRenamed("score", f"s_{name}")
     long = x.select("date", "security_id", "eligible", F.explode(F.array(*[F.struct(F.lit(n).alias("run"), F.col(f"s_{n}").cast("double").alias("score")) for n in names])).alias("v"))
     weights = portfolio.build_weights(long.select("date", "security_id", "eligible", "v.run", "v.score"), portfolio.Construction(top=4), ("run", "date"))
-    h = backtest.run_settings(backtest.with_closing_rows(weights, sched), p, sched, costs.SETTINGS)
-    return h.groupBy("run").agg(F.count_if(F.col("delta") != 0).alias("orders"), F.max("period").alias("last_period"))
+    h = backtest.rebalances(backtest.run_settings(weights, p, sched, costs.SETTINGS))
+    return h.groupBy("run").agg(F.count_if(F.col("traded") > 0).alias("trades"), F.max("period").alias("last_period"))

@@ -184,44 +184,70 @@ def rebalance_schedule(spark, d):
     return _schedule(spark, d).select("period", day("date").alias("date"), "exec", "until")
 
 
-@_add(f"""WITH {_W}, {_SCHED}, p AS (SELECT sch.period, wt.weight, f.open AS fill, coalesce(n.open, (SELECT arg_max(close, session_index) FROM dense q WHERE q.security_id = wt.security_id AND q.session_index >= sch.exec AND q.session_index < sch.until), f.open) AS done
-  FROM wt JOIN sch USING (date) LEFT JOIN dense f ON f.security_id = wt.security_id AND f.session_index = sch.exec LEFT JOIN dense n ON n.security_id = wt.security_id AND n.session_index = sch.until)
-  SELECT period::INT AS period, round(1 + sum(CASE WHEN fill IS NOT NULL THEN weight * (done / fill - 1) ELSE 0 END), 6) AS growth FROM p GROUP BY period""", "dense", "cal")
+#: Prices of each name and period; a series that breaks off or pauses before the next fill ends at its last close.
+_PERIODS = f"""{_SCHED}, nx AS (SELECT *, lead(session_index) OVER (PARTITION BY security_id ORDER BY session_index) AS nxt, (SELECT max(until) - 1 FROM sch) AS fin FROM dense),
+  pp AS (SELECT q.security_id, sch.period, max(CASE WHEN session_index = exec THEN open END) AS fill, max(CASE WHEN session_index = exec THEN raw_open * cum_split END) AS traded, arg_max(close, session_index) AS last_close,
+           min(CASE WHEN session_index < least(until, fin) AND coalesce(nxt, -1) <> session_index + 1 THEN session_index END) AS brk
+         FROM (SELECT security_id, session_index, open, close, raw_open, cum_split, nxt, fin FROM nx) q JOIN (SELECT period, exec, until FROM sch) sch ON session_index >= exec AND session_index < until GROUP BY ALL),
+  pr AS (SELECT pp.*, CASE WHEN lead(pp.period) OVER w = pp.period + 1 THEN lead(fill) OVER w END AS next_fill, b.close AS break_close, b.raw_open * b.cum_split AS break_traded, b.nxt IS NOT NULL AS resumes
+         FROM pp LEFT JOIN nx b ON b.security_id = pp.security_id AND b.session_index = brk WINDOW w AS (PARTITION BY pp.security_id ORDER BY pp.period)),
+  wp AS (SELECT wt.security_id, wt.weight, sch.period, sch.exec FROM wt JOIN sch USING (date) WHERE wt.weight <> 0),
+  gr AS (SELECT wp.period, 1 + sum(CASE WHEN fill IS NOT NULL THEN weight * (CASE WHEN brk IS NOT NULL THEN break_close ELSE coalesce(next_fill, last_close) END / fill - 1) ELSE 0 END) AS growth
+         FROM wp LEFT JOIN pr USING (security_id, period) GROUP BY wp.period)"""
+
+
+@_add(f"WITH {_W}, {_PERIODS} SELECT period::INT AS period, round(growth, 6) AS growth FROM gr", "dense", "cal")
 def backtest_free_growth(spark, d):
     return backtest.free_growth(_run_weights(spark, d), S.dense_panel(spark, d), _schedule(spark, d)).select("period", r("growth").alias("growth"))
 
 
+def _events(spark, d, setting="realistic"):
+    return backtest.run_backtest(_run_weights(spark, d), S.dense_panel(spark, d), _schedule(spark, d), costs.SETTINGS[setting])
+
+
 @_add()
 def backtest_run(spark, d):
-    """Holdings of a run under realistic costs; tested against an independent fold."""
-    sched = _schedule(spark, d)
-    w = backtest.with_closing_rows(_run_weights(spark, d), sched)
-    h = backtest.run_backtest(w, S.dense_panel(spark, d), sched, costs.SETTINGS["realistic"])
-    return h.select("run", "period", "security_id", r("shares", 4).alias("shares"), "status", r("nav", 2).alias("nav"), r("cash", 2).alias("cash"))
+    """Positions of a run under realistic costs; tests hold it against a plain loop over sessions."""
+    h = backtest.positions(_events(spark, d)).join(backtest.rebalances(_events(spark, d)).select("run", "period", "nav", "cash"), ["run", "period"])
+    return h.select("run", "period", "security_id", r("shares", 4).alias("shares"), "until", r("nav", 2).alias("nav"), r("cash", 2).alias("cash"))
+
+
+_ORDERS_FREE = f"""WITH {_W}, {_PERIODS}, nv AS (SELECT period, 100000 * coalesce(exp(sum(ln(growth)) OVER (ORDER BY period ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), 1) AS nav FROM gr),
+  hv AS (SELECT wp.security_id, wp.period, weight, nav, fill, traded, brk, break_close, break_traded, resumes, next_fill, CASE WHEN fill IS NOT NULL THEN weight * nav ELSE 0 END AS after FROM wp JOIN nv USING (period) LEFT JOIN pr USING (security_id, period)),
+  bf AS (SELECT security_id, period + 1 AS period, after / fill * next_fill AS before FROM hv WHERE fill IS NOT NULL AND brk IS NULL AND period + 1 IN (SELECT period FROM nv)),
+  od AS (SELECT security_id, period, coalesce(after, 0) - coalesce(before, 0) AS delta, p.traded FROM hv FULL JOIN bf USING (security_id, period) LEFT JOIN (SELECT security_id, period, traded FROM pr) p USING (security_id, period)),
+  al AS (SELECT period, security_id, CASE WHEN delta > 0 THEN 'buy' ELSE 'sell' END AS side, 'filled' AS status, 'rebalance' AS reason, abs(delta) / traded AS shares, abs(delta) AS notional, -delta AS cash_flow FROM od WHERE abs(delta) > 1e-6
+         UNION ALL SELECT period, security_id, 'buy', 'unfilled', 'no_opening_bar', NULL, weight * nav, 0 FROM hv WHERE fill IS NULL
+         UNION ALL SELECT period, security_id, 'sell', 'filled', CASE WHEN resumes THEN 'exit:price_gap' ELSE 'exit:unresolved' END, after / fill * break_close / break_traded, after / fill * break_close, after / fill * break_close FROM hv WHERE fill IS NOT NULL AND brk IS NOT NULL)"""
 
 
-@_add("SELECT 0::BIGINT AS unbalanced")
+@_add(_ORDERS_FREE + """
+  SELECT period::INT AS period, security_id, side, status, reason, round(shares, 2) AS shares, round(notional, 2) AS notional, round(cash_flow, 2) AS cash_flow FROM al""", "dense", "cal")
+def backtest_orders(spark, d):
+    """The whole ledger of a run without costs: orders, unfilled ones and forced exits, shares in the money of the day."""
+    orders = backtest.ledger(_events(spark, d, "free")).where("notional > 1e-6")
+    return orders.select("period", "security_id", "side", "status", "reason", r("shares", 2).alias("shares"), r("notional", 2).alias("notional"), r("cash_flow", 2).alias("cash_flow"))
+
+
+@_add(_ORDERS_FREE + " SELECT 'top4' AS run, true AS ok, round(sum(notional), 0) AS traded, round(sum(cash_flow), 0) AS flow FROM al WHERE status = 'filled'", "dense", "cal")
 def backtest_reconcile(spark, d):
-    sched = _schedule(spark, d)
-    h = backtest.run_backtest(backtest.with_closing_rows(_run_weights(spark, d), sched), S.dense_panel(spark, d), sched, costs.SETTINGS["realistic"])
-    filled = h.groupBy("run", "period").agg(F.max((F.col("status") == "unfilled").cast("int")).alias("u")).where("u = 0").select("run", "period")
-    return backtest.reconcile(h).join(filled, ["run", "period"]).join(h.select("run", "period", "nav").distinct(), ["run", "period"]).where("abs(gap) > 1e-9 * nav").agg(F.count(F.lit(1)).alias("unbalanced"))
+    """Whether orders, charges and the cash account replayed from them agree in every period of the run, with what was traded
+    and what flowed in all."""
+    e = _events(spark, d, "free")
+    n = backtest.ledger(e).where("status = 'filled'").groupBy("run").agg(r(F.sum("notional"), 0).alias("traded"), r(F.sum("cash_flow"), 0).alias("flow"))
+    return backtest.reconcile(e).join(n, "run").select("run", "ok", "traded", "flow")
 
 
 @_add()
 def backtest_ledger(spark, d):
     sched = _schedule(spark, d)
-    h = backtest.run_backtest(backtest.with_closing_rows(_run_weights(spark, d), sched), S.dense_panel(spark, d), sched, costs.SETTINGS["realistic"])
-    dated = backtest.ledger(h).join(F.broadcast(sched.select("period", F.year("date").alias("y"))), "period")
-    return backtest.ledger_summary(dated, F.col("y")).withColumns({c: r(c, 2) for c in ("value", "cost", "cost_bp")})
+    dated = backtest.ledger(_events(spark, d)).join(F.broadcast(sched.select("period", F.year("date").alias("y"))), "period")
+    return backtest.ledger_summary(dated, F.col("y")).withColumns({c: r(c, 2) for c in ("notional", "cost", "cost_bp")})
 
 
 @_add()
 def backtest_daily_value(spark, d):
-    sched = _schedule(spark, d)
-    p = S.dense_panel(spark, d)
-    h = backtest.run_backtest(backtest.with_closing_rows(_run_weights(spark, d), sched), p, sched, costs.SETTINGS["optimistic"])
-    return backtest.daily_value(h, p).select("run", "session_index", r("nav", 2).alias("nav"))
+    return backtest.daily_value(_events(spark, d, "optimistic"), S.dense_panel(spark, d)).select("run", "session_index", r("nav", 2).alias("nav"))
 
 
 @_add(f"""WITH {_SCHED} SELECT period::INT AS period, round(avg(n.open / f.open), 6) AS growth, count(*) AS names FROM dense s JOIN sch USING (session_index) JOIN dense f ON f.security_id = s.security_id AND f.session_index = sch.exec

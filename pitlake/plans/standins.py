@@ -105,7 +105,7 @@ def curves(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dense_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten securities with bars on nearly all sessions: bars of suppliers modulo 10, session_index, is_month_end, in_index
-    (by id and month), dollar_volume (trailing median) and half_spread."""
+    (by id and month), dollar_volume (trailing median), half_spread, raw_open, and cum_split (two for one, on a day by id)."""
     px = F.col("l_extendedprice") / F.col("l_quantity")
     key = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity", "l_suppkey")
     b = (
@@ -121,5 +121,7 @@ def dense_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
             "in_index": (F.col("security_id") + F.month("date")) % 4 != 0,
             "dollar_volume": F.when(F.count(value).over(w) >= 10, F.percentile(value, F.lit(0.5)).over(w)),
             "half_spread": 0.0005 * (1 + F.col("security_id") % 3),
+            "raw_open": F.col("open"),
+            "cum_split": F.when(F.col("session_index") < 800 + 100 * F.col("security_id"), 2.0).otherwise(1.0),
         }
     )

@@ -153,16 +153,108 @@ def test_constant_growth(spark):
     cal = identity.derive_calendar(p)
     sched = backtest.rebalance_schedule(cal, "2020-01-01")
     w = p.where("is_month_end").select(F.lit("a").alias("run"), "date", "security_id", F.lit(1 / 3).alias("weight"))
-    h = backtest.run_backtest(w, p, sched, costs.SETTINGS["free"])
+    h = backtest.run_backtest(w, p, sched, costs.SETTINGS["free"]).cache()
     nav = backtest.daily_value(h, p).orderBy("session_index").toPandas()["nav"]
     assert np.allclose(nav.to_numpy()[1:] / nav.to_numpy()[:-1], 1.001)
     free = backtest.free_growth(w, p, sched).toPandas().sort_values("period")["growth"]
-    runs = h.groupBy("period").agg(F.first("nav").alias("nav")).toPandas().sort_values("period")["nav"]
+    runs = backtest.rebalances(h).toPandas().sort_values("period")["nav"]
     assert np.allclose(runs.to_numpy()[1:] / runs.to_numpy()[:-1], free.to_numpy()[:-1])
     assert backtest.equal_weight_reference(p, sched).count() == sched.count() - 1
     dear = backtest.run_backtest(w, p, sched, costs.SETTINGS["pessimistic"])
-    assert dear.agg(F.max("nav")).first()[0] < h.agg(F.max("nav")).first()[0]
-    assert backtest.reconcile(dear).where("abs(gap) > 0.01").count() == 0
+    assert backtest.rebalances(dear).agg(F.max("nav")).first()[0] < backtest.rebalances(h).agg(F.max("nav")).first()[0]
+    assert backtest.reconcile(dear).first().ok
+
+
+def plain_backtest(bars, dates, signals_, weights, model, capital, ends):
+    """Session by session with dictionaries: bars[name][session] = (open, close, traded open, half spread)."""
+    cash, shares, orders, navs, charged = capital, {}, [], {}, 0.0
+    last = len(dates) - 1
+    fills = {s + 1: s for s in signals_}
+    first = min(fills)
+
+    def cost(notional, price, hs):
+        if notional == 0:
+            return 0.0
+        commission = min(max(model.rate * notional / price, model.minimum), model.most * notional)
+        return commission + notional * (model.unknown if hs is None else hs) * model.spread + notional * model.bps / 1e4
+
+    for t in range(first, last + 1):
+        if t in fills:
+            now = {n: shares.get(n, 0.0) * bars[n][t][0] for n in shares}
+            nav = cash + sum(now.values())
+            want = {n: w for n, w in weights[fills[t]].items()}
+            names = sorted({*now, *(n for n in want if t in bars[n])})
+            for n in sorted(want):
+                if want[n] and t not in bars[n]:
+                    orders.append((t, n, "unfilled", round(want[n] * nav, 4), 0.0))
+            target = {n: want.get(n, 0.0) * nav for n in names}
+            for _ in range(2):
+                paid = {n: cost(abs(target[n] - now.get(n, 0.0)), bars[n][t][2], bars[n][t][3]) for n in names}
+                target = {n: want.get(n, 0.0) * (nav - sum(paid.values())) for n in names}
+            charged += sum(paid.values())
+            for n in names:
+                move = target[n] - now.get(n, 0.0)
+                if move or paid[n]:
+                    orders.append((t, n, "rebalance", round(abs(move), 4), round(abs(move) / bars[n][t][2], 4)))
+            cash = nav - sum(target.values()) - sum(paid.values())
+            shares = {n: v / bars[n][t][0] for n, v in target.items() if v}
+        navs[t] = cash + sum(q * bars[n][t][1] for n, q in shares.items())
+        for n in sorted(shares):
+            if t < last and t + 1 not in bars[n]:
+                resumes = any(s > t for s in bars[n])
+                factor = 1.0 if resumes else 1 + ends.get(n, (0.0, ""))[0]
+                value = shares.pop(n) * bars[n][t][1]
+                reason = "exit:price_gap" if resumes else "exit:" + ends.get(n, (0.0, "unresolved"))[1]
+                orders.append((t, n, reason, round(value, 4), round(value / bars[n][t][2], 4)))
+                cash += value * factor
+    return orders, navs, charged
+
+
+@pytest.mark.parametrize("setting", ["free", "realistic", "pessimistic"])
+def test_backtest_against_a_plain_loop(spark, setting):
+    """Random prices with gaps, halts on the day of the fill, ends with a loss, splits, and all costs."""
+    rng = np.random.default_rng(17)
+    dates = pd.bdate_range("2020-01-01", periods=190)
+    bars, rows = {}, []
+    for n in range(8):
+        price, own = 20.0 + 10 * n, {}
+        for t in range(len(dates)):
+            price *= float(np.exp(rng.normal(0, 0.02)))
+            if rng.random() < 0.01 or (n == 3 and t > 120) or (n == 5 and t > 150):
+                continue
+            split = 4.0 if t < 60 + 10 * n else 1.0
+            open_ = price * float(np.exp(rng.normal(0, 0.005)))
+            hs = None if n == 2 else 0.0004 * (n + 1)
+            own[t] = (open_, price, open_ * split, hs)
+            rows.append((n, dates[t].date(), t, open_, price, hs, open_, split))
+        bars[n] = own
+    panel = spark.createDataFrame(rows, "security_id long, date date, session_index int, open double, close double, half_spread double, raw_open double, cum_split double")
+    days = spark.createDataFrame([(d.date(),) for d in dates], "date date")
+    sched = backtest.rebalance_schedule(identity.derive_calendar(days), "2020-01-01")
+    signals_ = [r.session_index for r in sched.orderBy("period").collect()]
+    weights = {}
+    for s in signals_:
+        w = rng.random(8) * (rng.random(8) < 0.6)
+        w[[3, 5]] = 0.3  # held when their bars end
+        weights[s] = {n: float(x) for n, x in enumerate(w / max(w.sum(), 1e-9) * rng.choice([0.7, 1.0])) if x}
+    given = spark.createDataFrame([("a", dates[s].date(), n, x) for s, own in weights.items() for n, x in own.items()], "run string, date date, security_id long, weight double")
+    ends = {3: (-0.5, "bankruptcy"), 5: (0.1, "acquisition")}
+    frame_ = spark.createDataFrame([(n, *v) for n, v in ends.items()], "security_id long, delist_return double, reason string")
+    events = backtest.run_backtest(given, panel, sched, costs.SETTINGS[setting], 50_000.0, frame_).cache()
+    orders, navs, charged = plain_backtest(bars, dates, signals_, weights, costs.SETTINGS[setting], 50_000.0, ends)
+    got = sorted((r.session, r.security_id, r.reason if r.status == "filled" else r.status, round(r.notional, 4), round(r.shares or 0.0, 4)) for r in backtest.ledger(events).collect())
+    assert [x[:3] for x in got] == [x[:3] for x in sorted(orders)]
+    assert np.allclose([x[3:] for x in got], [x[3:] for x in sorted(orders)], atol=2e-3)
+    assert {x[2] for x in got} >= {"rebalance", "unfilled", "exit:price_gap", "exit:bankruptcy"}
+    found = {r.session_index: r.nav for r in backtest.daily_value(events, panel).collect()}
+    assert sorted(found) == sorted(navs) and np.allclose([found[t] for t in sorted(navs)], [navs[t] for t in sorted(navs)])
+    audit = backtest.reconcile(events, 50_000.0).first()
+    assert audit.ok and audit.charged == pytest.approx(charged)
+    both = backtest.run_settings(given, panel, sched, {k: costs.SETTINGS[k] for k in ("free", setting)}, 50_000.0, frame_)
+    assert {round(r.nav, 6) for r in backtest.rebalances(both).where(f"run = 'a|{setting}'").collect()} == {round(r.nav, 6) for r in backtest.rebalances(events).collect()}
+    assert backtest.last_orders(backtest.ledger(events), 3).count() == 3
+    sliced = backtest.ledger_between(backtest.ledger(events), sched, "2020-03-01", "2020-04-30")
+    assert {str(r.signal_date)[:7] for r in sliced.select("signal_date").distinct().collect()} == {"2020-03", "2020-04"}
 
 
 def test_costs(spark):
