@@ -226,3 +226,19 @@ def factor_sanity(factors: DataFrame, columns: list[str], most: float = 0.25, me
     rules = {f"{c} out of bounds": F.abs(c) > most for c in columns}
     means = factors.agg(*[F.abs(F.avg(c)).alias(c) for c in columns])
     return counted(factors, "factor_sanity", "ERROR", rules).union(counted(means, "factor_sanity", "WARN", {f"mean of {c}": F.col(c) > mean for c in columns}))
+
+
+def benchmarks(bars: DataFrame, calendar: DataFrame | None = None, pays: str | None = None) -> DataFrame:
+    """Benchmark series: impossible prices, repeated (ticker, date), negative dividends and splits, a series that must pay dividends
+    but has none, and (as INFO) rows that are on no session of the calendar."""
+    c = F.col
+    rules = {"impossible prices": (c("high") < c("low")) | (c("high") < c("open") - 1e-9) | (c("high") < c("close") - 1e-9) | (c("low") > c("open") + 1e-9) | (c("low") > c("close") + 1e-9) | (c("close") <= 0)}
+    rules |= {f"negative {n}": c(k) < 0 for k, n in (("dividend", "dividend"), ("split_ratio", "split ratio")) if k in bars.columns}
+    out = counted(bars, "benchmarks", "ERROR", rules).unionByName(primary_key(bars, ["ticker", "date"], "benchmarks"))
+    if pays is not None and "dividend" in bars.columns:
+        paid = bars.where(c("ticker") == pays).agg(F.count(F.lit(1)).alias("n"), F.max(F.coalesce(c("dividend"), F.lit(0.0))).alias("most")).where("n > 0 AND most <= 0")
+        out = out.unionByName(finding(paid, "benchmarks", "ERROR", pays, f"no dividends of {pays}", F.lit(1)))
+    if calendar is not None:
+        off = bars.join(F.broadcast(calendar.select("date")), "date", "left_anti").agg(F.count(F.lit(1)).alias("n")).where("n > 0")
+        out = out.unionByName(finding(off, "benchmarks", "INFO", "", "not a session", c("n")))
+    return out

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pitlake.functions.exprs import blend, conditional, rank_pct
+from pitlake.functions.exprs import blend, conditional, rank_pct, zscore
 
 BY = ["date"]
 
@@ -154,3 +154,10 @@ def weighted_rank_sum(x: DataFrame, weights: dict[str, float], dead: float = 0.0
     if most is not None:
         live = dict(sorted(live.items(), key=lambda kv: (-abs(kv[1]), kv[0]))[:most])
     return _scored(x, blend([(rank(k), w) for k, w in live.items()]) if live else F.lit(None).cast("double"))
+
+
+def evolved_blend(x: DataFrame, weights: dict[str, float]) -> DataFrame:
+    """The weighted sum of features' z-scores over the eligible names, not clipped; without one of them there is no score."""
+    eligible = {c: F.when(F.col("eligible"), F.col(c).cast("double")) for c in weights}
+    z = {c: zscore(e, ["date"], None) for c, e in eligible.items()}
+    return _scored(x, sum((F.lit(w) * z[c] for c, w in weights.items()), F.lit(0.0)))

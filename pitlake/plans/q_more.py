@@ -117,19 +117,6 @@ def exit_diagnostics(spark, d):
     return backtest.exits(_events(spark, d, "free")).withColumn("proceeds", r("proceeds", 2))
 
 
-@_add("SELECT 0::BIGINT AS changed")
-def no_lookahead(spark, d):
-    """Weights up to a cut are the same when later data are gone."""
-    p = S.dense_panel(spark, d)
-
-    def weights(x):
-        f = price_features.price_features(x, 3).where("is_month_end AND session_index <= 1200").withColumn("eligible", F.col("in_index"))
-        return portfolio.build_weights(signals.REGISTRY["momentum_12_1"](f), portfolio.Construction(top=4)).select("date", "security_id", r("weight").alias("weight"))
-
-    a, b = weights(p), weights(panel_ops.truncate(p, 1200))
-    return a.exceptAll(b).unionAll(b.exceptAll(a)).agg(F.count(F.lit(1)).alias("changed"))
-
-
 @_add(f"WITH {_MS} SELECT run_id, round(sharpe * sqrt(12), 5) AS sharpe, row_number() OVER (ORDER BY sharpe DESC, run_id)::INT AS place FROM ms", "curves")
 def scoreboard(spark, d):
     m = metrics.monthly_stats(S.curves(spark, d))

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pitlake.operators import liquidity, price_features
-from pitlake.operators import panel as panel_ops
 from pitlake.plans import standins as S
 from pitlake.plans.oracle import sql
 from pitlake.plans.q_lake import day, r
@@ -214,13 +213,3 @@ def fill_rates(spark, d):
     per = p.groupBy("date").agg(*[(F.count(c) / F.count(F.lit(1))).alias(c) for c in ("close", "dollar_volume")])
     long = per.unpivot(["date"], ["close", "dollar_volume"], "f", "share")
     return long.groupBy("f").agg(r(F.min("share")).alias("worst"), r(F.avg("share")).alias("mean"))
-
-
-@_add("SELECT 0::BIGINT AS changed")
-def leakage_check(spark, d):
-    """Features of sessions up to a cut must not change when later data go."""
-    p = S.dense_panel(spark, d)
-    names = ["security_id", "session_index", "trend_200d", "vol_21d", "mom_12_1", "beta_252d"]
-    whole = price_features.price_features(p, 3).where("session_index <= 1200").select(*names)
-    cut = price_features.price_features(panel_ops.truncate(p, 1200), 3).select(*names)
-    return whole.exceptAll(cut).unionAll(cut.exceptAll(whole)).agg(F.count(F.lit(1)).alias("changed"))

@@ -138,13 +138,6 @@ def turnover(spark, d):
     return portfolio.turnover(_w(spark, d)).select(day("date").alias("date"), r("turnover").alias("turnover"))
 
 
-@_add("SELECT 0::BIGINT AS bad_dates, 0::BIGINT AS untradable")
-def weight_checks(spark, d):
-    w = _w(spark, d)
-    bad = portfolio.violations(w).agg(F.count(F.lit(1)).alias("bad_dates"))
-    return bad.crossJoin(portfolio.untradable(w, S.dense_panel(spark, d)).agg(F.count(F.lit(1)).alias("untradable")))
-
-
 _ORDERS = "o AS (SELECT l_suppkey % 10 AS grp, l_extendedprice * CASE WHEN l_returnflag = 'R' THEN -1 ELSE 1 END AS notional, l_extendedprice / l_quantity / 20 AS price, CASE WHEN l_linenumber < 6 THEN l_discount / 100 END AS half_spread FROM lineitem)"
 
 

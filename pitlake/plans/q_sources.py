@@ -143,7 +143,7 @@ def genetic_search(spark, d):
     """Generations of a small seeded search."""
     ranked = _ranked(spark, d).cache()
     folds = evolve.contiguous_folds("1995-06-01", "2001-06-01", 3)
-    _, history = evolve.evolve(ranked, ["f1", "f2"], folds, size=6, generations=2, top=3)
+    _, history = evolve.evolve(ranked, evolve.box(["f1", "f2"]), folds, generations=2, top=3, how=evolve.Search(size=6, fresh=1))
     ranked.unpersist()
     return spark.createDataFrame([(h["generation"], float(h["best"]), h["distinct"]) for h in history], "generation int, best double, distinct int")
 

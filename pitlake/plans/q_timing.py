@@ -73,13 +73,14 @@ for _n, (_on, _id) in _HOLD.items():
     )
 
 
-@_add("SELECT true AS ok")
+@_add(f"WITH {_LEGS}, g AS (SELECT session_index, ln(1 + coalesce(CASE WHEN session_index > (SELECT min(session_index) FROM lg) THEN r_on END, 0)) AS o, ln(1 + r_id) AS i FROM lg) SELECT true AS ok, round(sum(o), 5) AS overnight, round(sum(i), 5) AS intraday, round(sum(o + i), 5) AS buy_hold FROM g", "dense")
 def timing_identity(spark, d):
-    """Overnight times intraday is buy and hold, to 1e-9."""
+    """Overnight times intraday is buy and hold, to 1e-9; and what each comes to."""
     b = _one(spark, d)
     p = {n: timing.gross_path(b, n).select("session_index", F.ln("nav").alias(n)) for n in ("buy_hold", "overnight", "intraday")}
     j = p["buy_hold"].join(p["overnight"], "session_index").join(p["intraday"], "session_index")
-    return j.agg((F.max(F.abs(F.col("buy_hold") - F.col("overnight") - F.col("intraday"))) < 1e-9).alias("ok"))
+    last = {n: r(F.max_by(n, "session_index"), 5).alias(n) for n in p}
+    return j.agg((F.max(F.abs(F.col("buy_hold") - F.col("overnight") - F.col("intraday"))) < 1e-9).alias("ok"), *last.values())
 
 
 @_add("""WITH x AS (SELECT security_id, CASE WHEN in_index AND lag(in_index) OVER w AND lag(session_index) OVER w = session_index - 1 THEN ln(open / lag(close) OVER w) END AS a, CASE WHEN in_index AND lag(in_index) OVER w AND lag(session_index) OVER w = session_index - 1 THEN ln(close / open) END AS b

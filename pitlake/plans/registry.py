@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pitlake.operators import pit
-from pitlake.plans import q_fundamental, q_lake, q_more, q_price, q_research, q_sources, q_support, q_timing
+from pitlake.plans import q_forward, q_fundamental, q_lake, q_more, q_price, q_research, q_sources, q_support, q_timing
 from pitlake.plans import standins as S
 
-MODULES = (q_lake, q_price, q_fundamental, q_research, q_timing, q_sources, q_more, q_support)
+MODULES = (q_lake, q_price, q_fundamental, q_research, q_timing, q_sources, q_more, q_support, q_forward)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,10 +10,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from pitlake.functions import exprs
-from pitlake.operators import adjust, backtest, costs, evolve, experiments, identity, learned, metrics, panel, pit, portfolio, quality, timing
+from pitlake.operators import acceptance, adjust, backtest, costs, evolve, experiments, forward, genomes, identity, learned, metrics, panel, pit, portfolio, quality, timing
 from pitlake.plans import registry
 from pitlake.plans import standins as S
+from pitlake.sources import ingest as feeds
 from pitlake.sources import lake, parse
+from pitlake.sources import registry as runlog
 from pitlake.streaming import ingest
 
 
@@ -360,20 +362,205 @@ def test_stream_upsert(spark, tmp_path):
     assert {(r.k, r.v) for r in ingest.current(spark, table).collect()} == {("a", 2), ("b", 1)}
 
 
-def test_evolution_operators():
+def test_breeding():
     rng = np.random.default_rng(0)
-    a, b = rng.uniform(-1, 1, 6), rng.uniform(-1, 1, 6)
-    assert set(np.where(evolve.uniform_crossover(a, b, rng) == a, 1, 0)) <= {0, 1}
-    c = evolve.blend_crossover(a, b, rng)
-    assert (np.abs(c - (a + b) / 2) <= np.abs(a - b) + 1e-12).all()
-    assert np.abs(evolve.mutate(a * 5, rng)).max() <= 1
-    assert (evolve.effective(np.array([0.01, 0.5, -0.9, 0.6]), most=2) == [0, 0, -0.9, 0.6]).all()
-    seen: set = set()
-    assert len({evolve.fingerprint(g) for g in evolve.deduplicate([a, a.copy(), a.copy()], rng, seen)}) == 3
+    box, how = genomes.space("price"), evolve.Search(size=30, elite=3, fresh=4)
+    x = box.draw(30, rng)
+    assert (x >= box.low).all() and (x <= box.high).all() and (x[:, box.whole] == np.rint(x[:, box.whole])).all()
+    fit = rng.normal(size=30)
+    won = evolve.parents(np.array([0.0, 5.0, 5.0]), 200, rng, 20)
+    assert set(won) == {1}
+    plain = evolve.Search(cross=1.0, move=0.0, renew=0.0)
+    child = evolve.bred(x[:10], x[10:20], evolve.replace(box, whole=np.zeros_like(box.whole)), rng, plain)
+    assert (np.abs(child - (x[:10] + x[10:20]) / 2) <= np.abs(x[:10] - x[10:20]) + 1e-9).all()
+    assert (evolve.bred(x[:10], x[10:20], box, rng, evolve.Search(cross=0.0, move=0.0, renew=0.0)) == x[:10]).all()
+    same = np.repeat(x[:1], 5, axis=0)
+    changed, n = evolve.novel(same, box, rng, how, set())
+    assert n == 4 and len(set(box.marks(changed))) == 5
+    stuck, n = evolve.novel(same, box, rng, evolve.Search(tries=0), set(box.marks(x[:1])))
+    assert n == 5 and len(set(box.marks(stuck)) | set(box.marks(x[:1]))) == 6  # drawn anew, not left as they are
+    y = evolve.next_generation(x, fit, box, rng, how, set(box.marks(x)))
+    assert y.shape == x.shape and (y[:3] == x[np.argsort(-fit)[:3]]).all() and not set(box.marks(y[3:26])) & set(box.marks(x))
+    assert evolve.spread_of(same, box) < 1e-12 < evolve.spread_of(x, box)
     folds = evolve.contiguous_folds("2000-01-01", "2004-01-01", 4)
     assert folds[0].start == "2000-01-01" and all(x.end < y.start for x, y in zip(folds, folds[1:]))
     assert evolve.random_folds("2000-01-01", "2010-01-01") == evolve.random_folds("2000-01-01", "2010-01-01")
-    assert evolve.tournament([0.0, 5.0], np.random.default_rng(0), 20) == 1
+
+
+def test_search_spaces(spark):
+    box = genomes.space("families")
+    v = box.vector(dict.fromkeys(box.names[:9], 0.5) | {"f_momentum": 0.9, "f_value": 0.8, "f_payout": 0.05} | genomes.PLAIN_SHAPE)
+    assert [n for n, _ in genomes.family_weights(box, v)] == ["momentum", "value", "reversal"]  # three at most, of equal ones the first
+    assert genomes.live_features(box, v)[:2] == ["mom_12_1", "resid_mom_12_1"] and "div_yield" not in genomes.live_features(box, v)
+    said = box.params(v)
+    assert said["weighting"] == "equal" and said["top_k"] == 50 and said["f_low_risk"] == 0.0
+    assert (box.vector(said) == box.behaving(v)[0]).all() and box.marks(v) == box.marks(box.vector(said))
+    assert list(genomes.recipes("families")) == list(genomes.FAMILIES) and set(genomes.recipes("price")) == {"momentum", "residual_momentum", "low_vol", "lottery_averse", "reversal", "trend"}
+    night = genomes.space("night")
+    w = night.vector({n: 0.05 if i else -0.5 for i, n in enumerate(night.names[: night.signals])} | genomes.PLAIN_SHAPE)
+    assert genomes.live_features(night, w) == ["mom_12_1"] and genomes.family_weights(night, w) == []
+    assert set(genomes.features_of("families")) >= {"cf_yield", "eps_surprise"} and genomes.space("full").signals == 23
+    with pytest.raises(KeyError):
+        genomes.space("none")
+    with pytest.raises(ValueError):
+        box.inside(np.zeros(3))
+    x = spark.createDataFrame([(0.1, 0.9, None), (None, None, 0.5), (None, None, None)], "a double, b double, c double")
+    got = [r.s for r in x.select(genomes.ensemble(["a", "b", "c"], least=1).alias("s")).collect()]
+    assert got == [0.5, 0.5, None]
+
+
+def test_search_goes_on_from_its_checkpoint(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    rows = [(d.date(), i, float(rng.random()), float(rng.random()), float(rng.normal(0, 0.05))) for d in pd.date_range("2000-01-31", periods=24, freq="ME") for i in range(8)]
+    ranked = spark.createDataFrame(rows, "date date, security_id long, f1 double, f2 double, fwd double").cache()
+    folds, box, how = evolve.contiguous_folds("2000-01-01", "2002-01-01", 2), evolve.box(["f1", "f2"]), evolve.Search(size=5, fresh=1)
+    best, history = evolve.evolve(ranked, box, folds, 3, 3, 7, how)
+    path = str(tmp_path / "search")
+    evolve.evolve(ranked, box, folds, 2, 3, 7, how, path)
+    again, longer = evolve.evolve(ranked, box, folds, 3, 3, 7, how, path)
+    assert history == longer and (best == again).all() and len(evolve.load_history(spark, path)) == 3
+    top = evolve.search_best(spark, path, box, 3)
+    assert len(top) == 3 and top[0][0] == max(h["best"] for h in history) and evolve.load_history(spark, path + "-none") == []
+    genes = [np.array([0.5, -0.25]), np.array([0.0, 0.0])]
+    found = {(r.genome, r.date): r.ret for r in evolve.evaluate(evolve.genomes_frame(spark, genes), ranked, ["f1", "f2"], 3).collect()}
+    assert {g for g, _ in found} == {0}
+    for d in {r[0] for r in rows}:
+        own = sorted((r for r in rows if r[0] == d), key=lambda r: -(0.5 * r[2] - 0.25 * r[3]))
+        assert found[0, d] == pytest.approx(np.mean([r[4] for r in own[:3]]))
+
+
+def test_registry(spark, tmp_path):
+    reg = runlog.Registry(spark, str(tmp_path / "reg"))
+    assert reg.runs().count() == 0 and reg.touches().count() == 0
+    kw = {"strategy": "s", "params": {"b": 2, "a": 1}, "setting": "realistic", "start": "2010-01-01", "end": "2020-12-31"}
+    with runlog.study("one"):
+        first = reg.log_run(**kw, sharpe=0.5)
+        with runlog.study("two"):
+            reg.log_run(**(kw | {"params": {"a": 1, "b": 2}}), sharpe=0.6)
+        assert runlog.current_study() == "one"
+    assert runlog.current_study() == runlog.UNNAMED
+    runs = reg.runs()
+    assert {r.study for r in runs.collect()} == {"one", "two"} and runs.select("fingerprint").distinct().count() == 1
+    assert runlog.run_rows(runs).count() == 2 and runs.select(runlog.parameter("params", "b")).first()[0] == "2"
+    values = spark.createDataFrame([(pd.Timestamp(d).date(), v) for d, v in (("2020-01-30", 1.0), ("2020-01-31", 2.0), ("2020-02-10", 3.0))], "date date, nav double")
+    reg.log_curve(first["run_id"], values.withColumn("nav", F.col("nav") * 10))
+    reg.log_curve(first["run_id"], values)
+    assert [r.nav for r in reg.curves().orderBy("date").collect()] == [2.0, 3.0]
+    window = {"strategy": "s", "start": "2020-01-01", "boundary": "2022-01-01"}
+    assert reg.run(lambda: 7, mode="exclude", end="2021-12-31", **window) == 7 and reg.touches().count() == 0
+    with pytest.raises(ValueError):
+        reg.run(lambda: 7, mode="exclude", end="2022-06-30", **window)
+    with pytest.raises(RuntimeError):
+        reg.run(lambda: (_ for _ in ()).throw(RuntimeError()), mode="include", end="2022-06-30", **window)
+    assert [r.mode for r in reg.touches().collect()] == ["include"]  # a run that fails has looked too
+    with pytest.raises(ValueError), runlog.study(" "):
+        pass
+    a = runlog.data_version(values, ["date"]).first()[0]
+    assert a == runlog.data_version(values.orderBy("nav", ascending=False), ["date"]).first()[0] != runlog.data_version(values.limit(2), ["date"]).first()[0]
+
+
+def test_seals_and_forward(spark):
+    runs = spark.createDataFrame([("a", 1, False), ("b", 2, False)], "strategy string, seed int, touches boolean")
+    seals = forward.seal(runs, ["strategy", "seed"], " why ", "2024-01-01")
+    assert seals.columns == ["seal_id", "sealed_at", "rationale", "strategy", "seed"] and {r.rationale for r in seals.collect()} == {"why"}
+    assert forward.new_seals(seals, seals.limit(1)).count() == 1
+    with pytest.raises(ValueError):
+        forward.seal(runs.withColumn("touches", F.col("seed") == 2), ["strategy"], "why", "2024-01-01")
+    with pytest.raises(ValueError):
+        forward.seal(runs, ["strategy"], "  ", "2024-01-01")
+    ends = frame(spark, [("2021-06-30",)], "data_end string", "data_end")
+    with pytest.raises(forward.ForwardError):
+        forward.forward_window(ends).first()
+    assert forward.forward_window(frame(spark, [("2023-12-31",)], "data_end string", "data_end"), "2000-01-01").first().months == 24
+    base = {"sharpe_r": 0.3, "sharpe_f": 0.3, "se_r": 0.1, "se_f": 0.1, "n_f": 30, "ruined_f": False, "cagr_f": 0.1, "bench_sharpe_r": 0.1, "bench_sharpe_f": 0.1, "bench_cagr_f": 0.05, "max_drawdown_f": -0.1, "max_drawdown_r": -0.2, "turnover_f": 1.0, "turnover_r": 1.0}
+    cases = [({}, "held"), ({"n_f": 23}, "inconclusive"), ({"ruined_f": True}, "failed"), ({"cagr_f": -0.01}, "failed"), ({"sharpe_f": 0.0, "bench_sharpe_f": -0.5}, "failed"), ({"bench_sharpe_f": 0.4}, "decayed"), ({"sharpe_f": 0.12, "bench_sharpe_f": 0.0}, "decayed"), ({"se_f": None}, "held"), ({"cagr_f": None}, "held")]
+    x = spark.createDataFrame([tuple((base | c)[k] for k in base) + (i,) for i, (c, _) in enumerate(cases)], ", ".join(f"{k} {'boolean' if k == 'ruined_f' else 'int' if k == 'n_f' else 'double'}" for k in base) + ", i int")
+    got = [r.verdict for r in forward.verdict(forward.checks(forward.comparison(x))).orderBy("i").collect()]
+    assert got == [v for _, v in cases]
+
+    def bad():
+        raise RuntimeError("no data")
+
+    ok, failed = forward.suite({"good": lambda: runs, "bad": bad, "worse": lambda: runs.select("nothing")}, lambda w: w.select("strategy"))
+    assert ok.count() == 2 and set(failed) == {"bad", "worse"} and failed["bad"] == "RuntimeError: no data"
+    log = spark.createDataFrame([("s", "realistic", "paired")] * 2, "seal_id string, setting string, mode string")
+    assert forward.records(spark.createDataFrame([("s", "realistic"), ("t", "realistic")], "seal_id string, setting string"), log, "now", "paired").orderBy("seal_id").select("look").collect()[0].look == 3
+
+
+def test_forward_test_runs_both_ways(spark):
+    p = constant_panel(spark, 520, 0.0005)
+    cal = identity.derive_calendar(p)
+    w = p.where("is_month_end").select(F.lit("a").alias("run"), "date", "security_id", F.lit(1 / 3).alias("weight"))
+    bench = cal.select("date", (100 + F.col("session_index") / 100).alias("close"))
+    for mode in ("paired", "continuous"):
+        r = forward.forward_test(w, p, cal, bench, "2020-01-01", "2021-01-01", mode, {"free": costs.SETTINGS["free"]}, 6).first()
+        assert r.run == "a|free" and r.n_r >= 10 and r.n_f >= 10 and r.cagr_f == pytest.approx(1.0005**260.9 - 1, abs=0.01) and not r.ruined_f and r.enough_data
+    with pytest.raises(ValueError):
+        forward.forward_test(w, p, cal, bench, "2020-01-01", mode="other")
+
+
+def test_acceptance(spark):
+    p = constant_panel(spark)
+    assert set(acceptance.cheats_blocked(p, 10).values()) == {True} and acceptance.AsOf(p, 10).at(3).count() == 3
+    assert acceptance.differing(p, p).count() == 0 and acceptance.differing(p, p.limit(1)).count() == p.count() - 1
+    sched = backtest.rebalance_schedule(identity.derive_calendar(p), "2020-01-01")
+    good = p.where("is_month_end").select(F.lit("good").alias("run"), "date", "security_id", F.lit(1 / 3).alias("weight"))
+    bad = good.withColumns({"run": F.lit("bad"), "weight": F.when(F.col("security_id") == 1, -0.5).otherwise(1.0)})
+    odd = good.withColumns({"run": F.lit("odd"), "weight": F.when(F.col("security_id") == 1, float("nan")).otherwise(0.1)})
+    found = {r.run: r for r in acceptance.contract(good.unionByName(bad).unionByName(odd.where("security_id > 1").unionByName(odd.where("security_id = 1").withColumn("weight", F.lit(None).cast("double")))), p, sched, costs.SETTINGS["realistic"], costs.SETTINGS["free"]).collect()}
+    assert found["good"].ok and not found["bad"].ok and not found["bad"].not_negative and not found["bad"].no_leverage and not found["odd"].finite
+    own = backtest.free_growth(good, p, sched)
+    ref = backtest.equal_weight_reference(p, sched)
+    assert acceptance.index_reproduced(own, ref, 0.5).first().ok
+    c = p.where("security_id = 1").select("date", F.col("close").alias("nav"))
+    assert acceptance.calibrated(c, c).first().ok and not acceptance.dividends_in_band(c, c).first().ok
+    none = quality.primary_key(p, ["security_id", "date"], "p")
+    one = quality.primary_key(p.union(p.limit(1)), ["security_id", "date"], "p")
+    assert [s[1] for s in acceptance.stages({"a": lambda: none, "b": lambda: one, "c": lambda: none})] == ["ok", "failed", "skipped"]
+    assert acceptance.stages({"a": lambda: none.select("nothing")})[0][1].startswith("failed")
+
+
+def test_ingest(spark, tmp_path):
+    budget = feeds.Budget(10, 3)
+    assert budget.spend("a", lambda: b"x", 7) == b"x" and budget.used == 7
+    with pytest.raises(feeds.BudgetExhausted):
+        budget.spend("b", lambda: b"y")
+    assert budget.spend("b", lambda: b"y", cached=lambda: b"z") == b"z"
+    with pytest.raises(FileNotFoundError):
+        feeds.zip_member(b"PK\x05\x06" + bytes(18))
+    head, rows = feeds.html_tables("<table><tr><td>a<td>b<tr><td colspan=2>1</table>")[0]
+    assert head == ["a", "b"] and rows == [["1", "1"]]
+    with pytest.raises(LookupError):
+        feeds.pick_table("<table><tr><th>a</table>", "b", 0)
+    asked = []
+    got = feeds.pages(lambda t: (asked.append(t), {None: ([{"k": 1, "v": "x"}, {"k": 2, "v": "y"}], "p2"), "p2": ([{"k": 2, "v": "late"}], None)}[t])[1], "k")
+    assert [r["v"] for r in got] == ["x", "y"] and asked == [None, "p2"]
+    sizes = []
+    assert len(feeds.batched(range(120), lambda ks: sizes.append(len(ks)) or {k: k for k in ks})) == 120 and sizes == [50, 50, 20]
+    b = bars(spark, [1200.0, 1210.0, 121.0])
+    day = str(b.agg(F.max("date")).first()[0])
+    assert feeds.split_convention(b, day, 1210.0, 10.0) == "as_traded" and feeds.split_convention(b.withColumn("close", F.lit(121.0)), day, 1210.0, 10.0) == "split_adjusted"
+    assert feeds.split_convention(b, "1990-01-01", 1.0, 2.0) == "inconclusive" and feeds.split_convention(b.limit(0), day, 1.0, 2.0) == "no data"
+    wide = b.select(F.lit("SPY").alias("ticker"), "date", "close")
+    own, cal = feeds.benchmarks(wide.union(wide), {"SPY": "fund"}, "vendor", "SPY")
+    assert own.count() == cal.count() == 3 and own.first().description == "fund"
+    with pytest.raises(LookupError):
+        feeds.benchmarks(wide, {}, "vendor", "IVV")
+    assert feeds.lookup(wide, "ticker", "close", "none") is None and feeds.lookup(wide.limit(1), "ticker", "close", "SPY") == 1200.0
+    path = str(tmp_path / "result")
+    feeds.save_result(spark, path, {"equity": wide, "trades": wide}, {"a": 1}, {"sharpe": 0.5})
+    tables, config, stats = feeds.load_result(spark, path)
+    assert set(tables) == {"equity", "trades"} and config == {"a": 1} and stats == {"sharpe": 0.5} and spark.read.option("header", True).csv(path + "/trades_csv").count() == 3
+    with pytest.raises(FileNotFoundError):
+        feeds.load_result(spark, path + "-none")
+    with pytest.raises(ValueError):
+        feeds.save_result(spark, path, {"other": wide}, {}, {})
+    known = spark.createDataFrame([(1,)], "security_id long")
+    with pytest.raises(KeyError):
+        feeds.aligned(spark.createDataFrame([(1, 0.5), (2, 0.5)], "security_id long, weight double"), known)
+    x = spark.createDataFrame([(1, float("nan")), (1, 2.0), (1, 2.0)], "d int, v double")
+    assert x.groupBy("d").agg(feeds.first_finite(F.col("v")).alias("v")).first().v == 2.0
+
 
 
 def test_ridge_equals_numpy(spark):
