@@ -29,8 +29,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data give way to pseudonyms of the same format and length."""
-    return pii.pseudonymise(docs, pii.DEMO_KEY, spans="_pii_found").drop("_pii_found")
+    """Personal data give way to pseudonyms of the same format and length, under the key that the session sets."""
+    return pii.pseudonymise(docs, pii.key_of(spark), spans="_pii_found").drop("_pii_found")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
