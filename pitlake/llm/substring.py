@@ -21,9 +21,9 @@ WINDOW, MINIMISER = 50, 4
 LONGEST = 256
 #: Text bytes whose super-k-mers are packed together, and packed bytes of a bucket.
 CHUNK_BYTES, BUCKET_BYTES = 16 << 20, 8 << 20
-#: Packed bytes of a bucket from which on its windows are dealt by their own hashes, and the share of all super-k-mers of a
-#: sample from which on a minimiser's are from the start. The sample has so many documents.
-SPLIT_BYTES, HOT_SHARE, SAMPLE = 48 << 20, 2e-4, 20_000
+#: Bytes of a bucket from which on its windows are dealt by their own hashes, and documents of the sample that tells which
+#: minimisers have as many, whose windows are from the start.
+SPLIT_BYTES, SAMPLE = 48 << 20, 20_000
 #: Parts into which equal windows are dealt where their smallest doc_id is looked for.
 SALTS = 16
 #: Bytes whose hashes are computed at once.
@@ -147,15 +147,16 @@ def _minimisers(window: int):
     return run
 
 
-def _hot_minimisers(docs: DataFrame, window: int) -> np.ndarray:
-    """Minimisers that many different super-k-mers of a sample have; at most 1 / HOT_SHARE. They only say how windows travel."""
+def _hot_minimisers(docs: DataFrame, window: int, packed_bytes: int) -> np.ndarray:
+    """Minimisers whose different super-k-mers would take SPLIT_BYTES and more, by their share in a sample; at most as many
+    as packed_bytes has room for. They only say how windows travel, never which are counted."""
     n = docs.count()
     some = docs.sample(min(1.0, SAMPLE / n), seed=1) if n else docs
     found = some.mapInArrow(_minimisers(window), "low long, one long").distinct()
-    sizes = found.groupBy("low").agg(F.count(F.lit(1)).alias("n"))
-    total = F.sum("n").over(Window.partitionBy())
-    least = F.greatest(total * HOT_SHARE, F.lit(50))
-    return np.sort(np.array([r.low for r in sizes.where("n > 50").withColumn("least", least).where("n >= least").collect()], dtype=np.int64).view(np.uint64))
+    share = F.lit(SPLIT_BYTES / max(packed_bytes, 1))
+    sizes = found.groupBy("low").agg(F.count(F.lit(1)).alias("n")).where("n > 50")
+    total = found.agg(F.count(F.lit(1)).alias("total"))
+    return np.sort(np.array([r.low for r in sizes.crossJoin(F.broadcast(total)).where(F.col("n") >= F.col("total") * share).select("low").collect()], dtype=np.int64).view(np.uint64))
 
 
 def _pack_chunks(window: int, buckets: int, hot: np.ndarray):
@@ -377,7 +378,7 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     total = text_bytes(docs)
     buckets = parts_for(int(3.1 * total), BUCKET_BYTES)
     texts = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("row"))
-    hot = _hot_minimisers(texts.select("text"), window)
+    hot = _hot_minimisers(texts.select("text"), window, int(3.1 * total))
     packed = texts.select("doc_id", "text").mapInArrow(_pack_chunks(window, buckets, hot), "bucket long, packed binary")
     counted = save(packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_count_windows(window), _COUNTED), "windows")
     counted = counted.where("p IS NULL").select("one", "two", "place", "size", "least").unionByName(_least_of_windows(counted.where("p IS NOT NULL")))

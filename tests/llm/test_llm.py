@@ -96,10 +96,10 @@ def test_substring(docs, rows, empty, monkeypatch):
         kept = b" ".join(a for a, g in zip(w, gone) if not g)
         want[(r[0], len(w), sum(gone), hashlib.sha256(kept).hexdigest())] += 1
     assert bag(substring.remove_repeats(docs, digest=True)) == want
-    for name, value in (("HOT_SHARE", 0.0), ("SPLIT_BYTES", 0)):  # all windows dealt by their own hashes
+    every = np.unique(substring.super_kmers(substring.Words([b" ".join(split(r[1])) for r in rows]))[2])
+    for name, value in (("_hot_minimisers", lambda d, w, b: every), ("SPLIT_BYTES", 0)):  # all windows dealt by their own hashes
         with monkeypatch.context() as m:
             m.setattr(substring, name, value)
-            m.setattr(substring, "_hot_minimisers", lambda d, w: np.unique(substring.super_kmers(substring.Words([b" ".join(split(r[1])) for r in rows]))[2])) if name == "HOT_SHARE" else None
             assert bag(substring.remove_repeats(docs, digest=True)) == want
     assert sum(k[2] * n for k, n in want.items()) > 400
     assert substring.remove_repeats(empty).count() == 0
@@ -127,7 +127,8 @@ def test_substring_hot_minimiser(spark):
     rows += [(1000, rows[7][1])]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     lows = [set(substring.super_kmers(substring.Words([r[1].encode()]))[2].tolist()) for r in rows[:50]]
-    hot = substring._hot_minimisers(docs.select("text"), 50)
+    hot = substring._hot_minimisers(docs.select("text"), 50, substring.SPLIT_BYTES * 50)
+    assert not len(substring._hot_minimisers(docs.select("text"), 50, 1000))
     assert len(hot) and sum(bool(low & set(hot.tolist())) for low in lows) >= 20
     found = {r.doc_id: r.n_removed for r in substring.remove_repeats(docs).collect()}
     assert found[1000] == len(rows[7][1].split()) and sum(found.values()) == found[1000]
@@ -292,7 +293,7 @@ def test_packing_rounds(spark, monkeypatch):
             assert at <= 2048
         counts.append(len(places))
     assert counts[0] >= counts[1] >= counts[2]
-    assert packing.lower_bound(sizes, 2048) <= counts[2] <= packing.best_fit_decreasing(sizes, 2048)[2] + 1
+    assert packing.lower_bound(sizes, 2048) <= counts[2] <= packing.best_fit_decreasing(sizes, 2048)[2] * 1.03
 
 
 def test_packing_deals_equal_rows(spark):
