@@ -134,16 +134,17 @@ def legs(values: DataFrame, rebalances: DataFrame, windows: DataFrame, benchmark
     standard error by month, growth and drawdown, turnover a year, the benchmark's on the same dates, and ruin."""
     cut = values.join(F.broadcast(windows), (F.col("date") >= F.col("start")) & (F.col("date") <= F.col("end")))
     cut = cut.withColumn("run_id", F.concat_ws("#", "run", "leg"))
-    both = cut.join(F.broadcast(benchmark.select("date", F.col("close").alias("bench"))), "date", "left")
-    stats = metrics.performance(cut.select("run_id", "date", "nav")).select("run_id", "cagr", "max_drawdown")
-    bench = metrics.performance(both.where("bench IS NOT NULL").select("run_id", "date", F.col("bench").alias("nav"))).select("run_id", F.col("cagr").alias("bench_cagr"))
-    month = metrics.sharpe_inference(metrics.monthly_stats(cut.select("run_id", "date", "nav"))).select("run_id", "n", "sharpe", "se")
-    bmonth = metrics.monthly_stats(both.where("bench IS NOT NULL").select("run_id", "date", F.col("bench").alias("nav"))).select("run_id", F.col("sharpe").alias("bench_sharpe"))
+    bench = cut.join(F.broadcast(benchmark.select("date", F.col("close").alias("bench"))), "date")
+    # a run and the benchmark on its dates are two curves of one frame
+    curves = cut.select(F.concat(F.lit("r"), "run_id").alias("run_id"), "date", "nav").unionByName(bench.select(F.concat(F.lit("b"), "run_id").alias("run_id"), "date", F.col("bench").alias("nav")))
+    month = metrics.sharpe_inference(metrics.monthly_stats(curves)).select("run_id", "n", "sharpe", "se")
+    both = metrics.performance(curves).select("run_id", "cagr", "max_drawdown").join(month, "run_id", "left")
+    key = F.expr("substr(run_id, 2)").alias("run_id")
+    stats = both.where("run_id LIKE 'r%'").select(key, "n", "sharpe", "se", "cagr", "max_drawdown")
+    known = both.where("run_id LIKE 'b%'").select(key, F.col("sharpe").alias("bench_sharpe"), F.col("cagr").alias("bench_cagr"))
     span = cut.groupBy("run_id", "run", "leg").agg(F.min("nav").alias("_low"), (F.datediff(F.max("date"), F.min("date")) / 365.25).alias("_years"))
     traded = rebalances.join(F.broadcast(windows), (F.col("date") >= F.col("start")) & (F.col("date") <= F.col("end"))).groupBy("run", "leg").agg(F.sum(F.col("traded") / 2 / F.col("nav")).alias("_t"))
-    out = span.join(traded, ["run", "leg"], "left")
-    for s in (stats, bench, month, bmonth):
-        out = out.join(s, "run_id", "left")
+    out = span.join(traded, ["run", "leg"], "left").join(stats, "run_id", "left").join(known, "run_id", "left")
     return out.select("run", "leg", "n", "sharpe", "se", "cagr", "max_drawdown", (F.coalesce("_t", F.lit(0.0)) / F.col("_years")).alias("turnover"), "bench_sharpe", "bench_cagr", (F.col("_low") <= 0).alias("ruined"))
 
 
@@ -162,7 +163,8 @@ def forward_test(
     """Every run of weights (run, date, security_id, weight) under every cost setting: its comparison, checks and verdict.
 
     mode "paired": the research and the forward window are backtests of their own, each from `capital`; "continuous": one
-    backtest goes through both and is cut at the boundary, so what is held then is carried over.
+    backtest goes through both and is cut at the boundary, so what is held then is carried over. What the runs did and their
+    daily values, which the statistics read several times, are persisted.
     """
     if mode not in ("paired", "continuous"):
         raise ValueError(f"unknown mode {mode}")
@@ -177,14 +179,14 @@ def forward_test(
     for _, start, stop in parts:
         days = calendar.where(F.col("date") <= F.lit(stop))
         schedule = backtest.rebalance_schedule(days, str(start))
-        events = backtest.run_settings(weights, panel.where(F.col("date") <= F.lit(stop)), schedule, models, capital)
+        events = backtest.run_settings(weights, panel.where(F.col("date") <= F.lit(stop)), schedule, models, capital).persist()
         dates = F.broadcast(calendar.select("session_index", "date"))
         curves.append(backtest.daily_value(events, panel).join(dates, "session_index").where((F.col("date") >= F.lit(start)) & (F.col("date") <= F.lit(stop))))
         trades.append(backtest.rebalances(events).join(F.broadcast(schedule.select("period", "date")), "period"))
     values, done = curves[0], trades[0]
     for c, t in zip(curves[1:], trades[1:], strict=True):
         values, done = values.unionByName(c), done.unionByName(t)
-    found = legs(values, done, windows, benchmark)
+    found = legs(values.persist(), done.persist(), windows, benchmark)
     return verdict(checks(comparison(paired(found)), least_months))
 
 

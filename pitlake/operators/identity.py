@@ -59,11 +59,16 @@ def normalize_ticker(c: Column) -> Column:
 
 
 def assign_ids(known: DataFrame, seen: DataFrame, natural: list[str], order: str, prefix: str = "SID") -> DataFrame:
-    """security_id and natural key of all keys: the known ones keep theirs, new ones follow by first `order`."""
+    """security_id and natural key of all keys: the known ones keep theirs, new ones follow by first `order`. They are
+    numbered within each value of `order`, and those before are counted by value, so no task has all of them."""
     new = seen.groupBy(*natural).agg(F.min(order).alias("_first")).join(known, natural, "left_anti")
     top = known.agg(F.coalesce(F.max(F.regexp_extract("security_id", r"(\d+)$", 1).cast("int")), F.lit(0)).alias("_top"))
-    numbered = new.withColumn("_n", F.row_number().over(Window.orderBy("_first", *natural))).crossJoin(F.broadcast(top))
-    made = numbered.select(F.format_string(prefix + "%06d", F.col("_n") + F.col("_top")).alias("security_id"), *natural)
+    per = new.groupBy(F.col("_first").alias("_at")).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.select("_at", F.coalesce(F.sum("_n").over(before), F.lit(0)).cast("int").alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_first").orderBy(*natural))
+    numbered = new.withColumn("_n", place).join(per, F.col("_first").eqNullSafe(F.col("_at"))).crossJoin(F.broadcast(top))
+    made = numbered.select(F.format_string(prefix + "%06d", F.col("_n") + F.col("_before") + F.col("_top")).alias("security_id"), *natural)
     return known.select("security_id", *natural).unionByName(made)
 
 

@@ -28,13 +28,13 @@ def performance(curves: DataFrame, risk_free: float = 0.0, benchmark: DataFrame
     under_water, var5, cvar5; with a benchmark (date, bench) beta, alpha, tracking_error, information_ratio."""
     r = returns(curves)
     freq = r.groupBy(RUN).agg(F.percentile("gap", F.lit(0.5)).alias("_gap"))
-    r = r.join(F.broadcast(freq), RUN).withColumn("ppy", periods_per_year(F.col("_gap")).cast("double"))
+    r = r.join(freq, RUN).withColumn("ppy", periods_per_year(F.col("_gap")).cast("double"))
     if benchmark is not None:
         w = Window.orderBy("date")
         b = benchmark.withColumn("bret", F.when(F.lag("bench").over(w) > 0, F.col("bench") / F.lag("bench").over(w) - 1))
         r = r.join(F.broadcast(b.select("date", "bret")), "date", "left").withColumn("ex", F.col("ret") - F.col("bret"))
     q5 = r.groupBy(RUN).agg(F.percentile("ret", F.lit(0.05)).alias("_q5"))
-    r = r.join(F.broadcast(q5), RUN)
+    r = r.join(q5, RUN)
     trough = F.struct("drawdown", "date")
     aggs = [
         F.first("ppy").alias("ppy"), F.count("ret").alias("n"), F.min_by("nav", "date").alias("first"), F.max_by("nav", "date").alias("last"), F.datediff(F.max("date"), F.min("date")).alias("days"),

@@ -35,9 +35,9 @@ def _add(text: str | None = None, *ctes: str):
 
 #: Pairs of legs made of orders: whatever values they have, with nulls.
 _LEG = {
-    "k": "o_orderkey", "sharpe_r": "(o_custkey % 17) / 6.0 - 0.5", "sharpe_f": "CASE WHEN o_custkey % 13 = 0 THEN NULL ELSE (o_orderkey % 19) / 6.0 - 1.0 END", "se_r": "0.2 + (o_custkey % 5) / 20.0", "se_f": "0.1 + (o_orderkey % 7) / 10.0",
-    "n_f": "20 + o_orderkey % 30", "ruined_f": "o_orderkey % 101 = 0", "cagr_f": "(o_custkey % 11) / 40.0 - 0.05", "bench_sharpe_r": "0.6", "bench_sharpe_f": "(o_orderkey % 5) / 8.0", "bench_cagr_f": "0.06",
-    "max_drawdown_f": "-((o_orderkey % 23) / 30.0)", "max_drawdown_r": "-0.4", "turnover_f": "(o_orderkey % 9) / 4.0", "turnover_r": "CASE WHEN o_custkey % 29 = 0 THEN 0.0 ELSE 1.0 END",
+    "k": "o_orderkey", "sharpe_r": "(o_custkey % 17) / 6.0e0 - 0.5e0", "sharpe_f": "CASE WHEN o_custkey % 13 = 0 THEN NULL ELSE (o_orderkey % 19) / 6.0e0 - 1.0e0 END", "se_r": "0.2137e0 + (o_custkey % 5) / 20.0e0", "se_f": "0.1071e0 + (o_orderkey % 7) / 10.0e0",
+    "n_f": "20 + o_orderkey % 30", "ruined_f": "o_orderkey % 101 = 0", "cagr_f": "(o_custkey % 11) / 40.0e0 - 0.05e0", "bench_sharpe_r": "0.6e0", "bench_sharpe_f": "(o_orderkey % 5) / 8.0e0", "bench_cagr_f": "0.06e0",
+    "max_drawdown_f": "-((o_orderkey % 23) / 30.0e0)", "max_drawdown_r": "-0.4e0", "turnover_f": "(o_orderkey % 9) / 4.0e0", "turnover_r": "CASE WHEN o_custkey % 29 = 0 THEN 0.0e0 ELSE 1.0e0 END",
 }
 
 
@@ -101,20 +101,6 @@ def forced_exits(spark, d):
     return backtest.exits(_events(spark, d, "free")).select("reason", "n", r("proceeds", 0).alias("proceeds"))
 
 
-@_add()
-def forward_test(spark, d):
-    """Two strategies, sealed on the years before 1998 and tried on what follows, under two cost settings."""
-    p, cal = S.dense_panel(spark, d), S.calendar(spark, d)
-    x = price_features.price_features(p, 3).where("is_month_end").withColumn("eligible", F.col("in_index"))
-    weights = None
-    for name in ("equal_weight", "short_reversal"):
-        w = portfolio_ops.build_weights(signals.REGISTRY[name](x), portfolio_ops.Construction(top=4)).select(F.lit(name).alias("run"), "date", "security_id", "weight")
-        weights = w if weights is None else weights.unionByName(w)
-    bench = S.benchmark(spark, d)
-    out = forward.forward_test(weights, p, cal, bench, "1994-01-01", "1998-01-01", "continuous", {k: costs.SETTINGS[k] for k in ("realistic", "optimistic")}, 12)
-    return out.select("run", "n_r", "n_f", r("sharpe_r", 4).alias("sharpe_r"), r("sharpe_f", 4).alias("sharpe_f"), r("turnover_f", 3).alias("turnover_f"), "verdict", "because")
-
-
 @_add("SELECT study, CASE WHEN max(sharpe) FILTER (fingerprint = 'click') IS NOT NULL THEN 'ensemble' ELSE 'champion' END AS kind, coalesce(max(run_id) FILTER (fingerprint = 'click'), max(run_id) FILTER (fingerprint <> 'click')) AS genome FROM runs GROUP BY study", "runs")
 def search_deliverables(spark, d):
     x = S.runs(spark, d)
@@ -145,8 +131,8 @@ def _family_sql(name: str) -> str:
     return f"CASE WHEN {n} > 0 THEN ({total}) / ({n}) END"
 
 
-_FAMILY_RANKS = {"mom_12_1": "p_size / 50.0", "resid_mom_12_1": "CASE WHEN p_size % 3 = 0 THEN NULL ELSE (p_partkey % 100) / 100.0 END", "high_52w_ratio": "CASE WHEN p_size % 4 = 0 THEN NULL ELSE p_retailprice / 3000 END",
-                 "info_discreteness": "CASE WHEN p_size % 5 = 0 THEN NULL ELSE (p_partkey % 7) / 7.0 END", "asset_growth": "CASE WHEN p_partkey % 2 = 0 THEN NULL ELSE (p_partkey % 11) / 11.0 END"}
+_FAMILY_RANKS = {"mom_12_1": "p_size / 50.371e0", "resid_mom_12_1": "CASE WHEN p_size % 3 = 0 THEN NULL ELSE (p_partkey % 100) / 100.913e0 END", "high_52w_ratio": "CASE WHEN p_size % 4 = 0 THEN NULL ELSE p_retailprice / 3001.7e0 END",
+                 "info_discreteness": "CASE WHEN p_size % 5 = 0 THEN NULL ELSE (p_partkey % 7) / 7.131e0 END", "asset_growth": "CASE WHEN p_partkey % 2 = 0 THEN NULL ELSE (p_partkey % 11) / 11.173e0 END"}
 
 
 @_add(f"""WITH x AS (SELECT p_partkey AS k, {', '.join(f"CAST({e} AS DOUBLE) AS {n}" for n, e in _FAMILY_RANKS.items())} FROM part), c AS (SELECT k, {_family_sql('momentum')} AS m, {_family_sql('investment')} AS i FROM x)
@@ -213,9 +199,9 @@ def leakage_check(spark, d):
     return cut.select("security_id", "session_index", *[r(F.col(n).cast("double"), 3).alias(n) for n in _LEAK])
 
 
-@_add(f"""WITH {_W}, b AS (SELECT date, security_id, weight * CASE WHEN month(date) = 5 THEN 1.3 WHEN month(date) = 6 AND security_id = 2 THEN -1 ELSE 1 END AS weight FROM wt), x AS (SELECT date, count(*) FILTER (weight < -1e-9) AS bad, sum(weight) AS total FROM b GROUP BY date),
-  o AS (SELECT b.date, count(*) AS untradable FROM (SELECT date + 0 AS date, (security_id + 1) % 10 AS security_id, weight FROM b) b LEFT JOIN dense d ON d.date = b.date AND d.security_id = b.security_id AND d.in_index AND d.close IS NOT NULL WHERE b.weight > 0 AND d.date IS NULL GROUP BY b.date)
-  SELECT strftime(coalesce(x.date, o.date), '%Y-%m-%d') AS date, bad, round(total, 6) AS total, coalesce(untradable, 0) AS untradable FROM (SELECT * FROM x WHERE bad > 0 OR total > 1 + 1e-9) x FULL JOIN o ON x.date = o.date""", "dense")
+@_add(f"""WITH {_W}, bw AS (SELECT date, security_id, weight * CASE WHEN month(date) = 5 THEN 1.3 WHEN month(date) = 6 AND security_id = 2 THEN -1 ELSE 1 END AS weight FROM wt), xw AS (SELECT date, count(*) FILTER (weight < -1e-9) AS bad, sum(weight) AS total FROM bw GROUP BY date),
+  ow AS (SELECT b.date, count(*) AS untradable FROM (SELECT date, (security_id + 1) % 10 AS security_id, weight FROM bw) b LEFT JOIN dense d ON d.date = b.date AND d.security_id = b.security_id AND d.in_index AND d.close IS NOT NULL WHERE b.weight > 0 AND d.date IS NULL GROUP BY b.date)
+  SELECT strftime(coalesce(x.date, ow.date), '%Y-%m-%d') AS date, bad, round(total, 6) AS total, coalesce(untradable, 0) AS untradable FROM (SELECT * FROM xw WHERE bad > 0 OR total > 1 + 1e-9) x FULL JOIN ow ON x.date = ow.date""", "dense")
 def weight_checks(spark, d):
     """Planted faults: weights over the whole in May, a negative one in June, and names moved to others that can't be traded."""
     w = _w(spark, d).withColumn("weight", F.col("weight") * F.when(F.month("date") == 5, 1.3).when((F.month("date") == 6) & (F.col("security_id") == 2), -1).otherwise(1))

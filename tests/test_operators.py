@@ -487,14 +487,13 @@ def test_seals_and_forward(spark):
     assert forward.records(spark.createDataFrame([("s", "realistic"), ("t", "realistic")], "seal_id string, setting string"), log, "now", "paired").orderBy("seal_id").select("look").collect()[0].look == 3
 
 
-def test_forward_test_runs_both_ways(spark):
+def test_forward_test(spark):
     p = constant_panel(spark, 520, 0.0005)
     cal = identity.derive_calendar(p)
     w = p.where("is_month_end").select(F.lit("a").alias("run"), "date", "security_id", F.lit(1 / 3).alias("weight"))
     bench = cal.select("date", (100 + F.col("session_index") / 100).alias("close"))
-    for mode in ("paired", "continuous"):
-        r = forward.forward_test(w, p, cal, bench, "2020-01-01", "2021-01-01", mode, {"free": costs.SETTINGS["free"]}, 6).first()
-        assert r.run == "a|free" and r.n_r >= 10 and r.n_f >= 10 and r.cagr_f == pytest.approx(1.0005**260.9 - 1, abs=0.01) and not r.ruined_f and r.enough_data
+    r = forward.forward_test(w, p, cal, bench, "2020-01-01", "2021-01-01", "continuous", {"free": costs.SETTINGS["free"]}, 6).first()
+    assert r.run == "a|free" and r.n_r >= 10 and r.n_f >= 10 and r.cagr_f == pytest.approx(1.0005**260.9 - 1, abs=0.01) and not r.ruined_f and r.enough_data
     with pytest.raises(ValueError):
         forward.forward_test(w, p, cal, bench, "2020-01-01", mode="other")
 
