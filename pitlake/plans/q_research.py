@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pitlake.functions import exprs
-from pitlake.operators import backtest, costs, experiments, metrics, panel, portfolio, price_features, signals
+from pitlake.operators import backtest, costs, experiments, metrics, portfolio, price_features, signals
 from pitlake.plans import standins as S
 from pitlake.plans.oracle import sql
 from pitlake.plans.q_lake import day, r
