@@ -167,6 +167,20 @@ def test_constant_growth(spark):
     assert backtest.reconcile(dear).first().ok
 
 
+def test_audit_of_large_and_small_accounts(spark):
+    """Rounding of a large account is no gap; a part in 1e9 of it is, and two cents of a small one are."""
+    p = constant_panel(spark)
+    sched = backtest.rebalance_schedule(identity.derive_calendar(p), "2020-01-01")
+    w = p.where("is_month_end").select(F.lit("a").alias("run"), "date", "security_id", F.lit(0.3).alias("weight"))
+    for capital, off in ((1e25, 1e16), (1e5, 0.02)):
+        events = backtest.run_backtest(w, p, sched, costs.SETTINGS["pessimistic"], capital).cache()
+        assert backtest.reconcile(events, capital).first().ok
+        assert not backtest.reconcile(events, capital + off).first().ok
+        wrong = F.when((F.col("kind") == "order") & (F.col("period") == 1) & (F.col("security_id") == 1), F.col("cash_flow") + off).otherwise(F.col("cash_flow"))
+        assert not backtest.reconcile(events.withColumn("cash_flow", wrong), capital).first().ok
+    assert registry.queries()["backtest_reconcile"](spark, "/root/testdata/sf0.01").first().ok
+
+
 def plain_backtest(bars, dates, signals_, weights, model, capital, ends):
     """Session by session with dictionaries: bars[name][session] = (open, close, traded open, half spread)."""
     cash, shares, orders, navs, charged = capital, {}, [], {}, 0.0
