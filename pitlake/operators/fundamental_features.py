@@ -91,21 +91,24 @@ def tenure(panel: DataFrame) -> DataFrame:
 def dividend_features(actions: DataFrame, grid: DataFrame, days: int = 372) -> DataFrame:
     """grid (security_id, date, close) with trailing dividends: yield, growth against the days before, cut and pays flags.
 
-    Days and events are one ordered sequence by security, and the sums are range frames over day numbers.
+    Days and events are one ordered sequence by security, and the sums are range frames over day numbers. They are exact, in
+    decimals of 18 places, and so the same in any order of rows; a fall by just 5 % is no cut. NaN counts as no dividend.
     """
-    g = grid.select("security_id", "date", "close", F.lit(None).cast("double").alias("v"), F.lit(True).alias("_g"))
-    e = actions.where("action_type = 'dividend'").select("security_id", "date", F.lit(None).cast("double").alias("close"), F.col("value").alias("v"), F.lit(False).alias("_g"))
+    exact = F.when(~F.isnan("value"), F.col("value")).cast("decimal(38,18)")
+    g = grid.select("security_id", "date", "close", F.lit(None).cast("decimal(38,18)").alias("v"), F.lit(True).alias("_g"))
+    e = actions.where("action_type = 'dividend'").select("security_id", "date", F.lit(None).cast("double").alias("close"), exact.alias("v"), F.lit(False).alias("_g"))
     w = Window.partitionBy("security_id").orderBy("_t")
     both = g.unionByName(e).withColumn("_t", F.unix_date("date"))
-    now = F.coalesce(F.sum("v").over(w.rangeBetween(-(days - 1), 0)), F.lit(0.0))
-    before = F.coalesce(F.sum("v").over(w.rangeBetween(-(2 * days - 1), -days)), F.lit(0.0))
+    now = F.coalesce(F.sum("v").over(w.rangeBetween(-(days - 1), 0)).cast("double"), F.lit(0.0))
+    before = F.coalesce(F.sum("v").over(w.rangeBetween(-(2 * days - 1), -days)).cast("double"), F.lit(0.0))
     out = both.withColumns({"now": now, "before": before}).where("_g")
+    limit = 0.95 * F.col("before") * (1 - 1e-15)  # the product may round to just above a tie
     return out.select(
         "security_id",
         "date",
         div_positive(F.col("now"), F.col("close")).alias("div_yield"),
         growth(F.col("now"), F.col("before")).alias("div_growth_1y"),
-        F.when(F.col("before") > 0, (F.col("now") < 0.95 * F.col("before")).cast("double")).alias("div_cut"),
+        F.when(F.col("before") > 0, (F.col("now") < limit).cast("double")).alias("div_cut"),
         (F.col("now") > 0).cast("double").alias("pays_dividend"),
     )
 

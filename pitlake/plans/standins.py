@@ -34,10 +34,11 @@ def indexed_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def actions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """security_id, date, action_type, value: a day's discounts of returned lines as dividend, and splits of 2."""
+    """security_id, date, action_type, value: a day's discounts of returned lines as dividend (their exact sum), and splits of 2."""
     li = table(spark, sf_dir, "lineitem")
     key = [F.col("l_suppkey").alias("security_id"), F.col("l_shipdate").cast("date").alias("date")]
-    dividends = li.where("l_returnflag = 'R'").groupBy(*key).agg(F.sum("l_discount").alias("value")).withColumn("action_type", F.lit("dividend"))
+    paid = F.sum(F.col("l_discount").cast("decimal(28,18)")).cast("double")
+    dividends = li.where("l_returnflag = 'R'").groupBy(*key).agg(paid.alias("value")).withColumn("action_type", F.lit("dividend"))
     splits = li.where("l_linenumber = 7 AND l_tax >= 0.07").select(*key).distinct().withColumns({"value": F.lit(2.0), "action_type": F.lit("split")})
     return dividends.unionByName(splits).select("security_id", "date", "action_type", "value")
 

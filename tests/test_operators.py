@@ -1,5 +1,6 @@
 """Golden cases of the operators."""
 
+import datetime
 import math
 import random
 import statistics
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from pitlake.functions import exprs
 from pitlake.operators import acceptance, adjust, backtest, costs, evolve, experiments, forward, genomes, identity, learned, metrics, panel, pit, portfolio, quality, timing
+from pitlake.operators import fundamental_features as ff
 from pitlake.plans import registry
 from pitlake.plans import standins as S
 from pitlake.sources import ingest as feeds
@@ -622,6 +624,28 @@ def test_market_cap_of_every_bar(spark, tiny):
     assert {k[1][8:] for k, v in got.items() if v is not None} > {f"{i:02d}" for i in range(1, 28)}
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_dividends_at_the_limit(spark, seed):
+    """A fall by just 5 % is no cut and sums are the nearest doubles, in whatever order dividends come."""
+    rng = random.Random(seed)
+    rows, want = [], {}
+    for s in range(60):
+        cents = [rng.randint(0, 10) for _ in range(rng.randint(5, 40))]
+        cents += [20 - sum(cents) % 20]
+        before, now = sum(cents), sum(cents) * 19 // 20 - s % 2
+        parts = [now // 7] * 6 + [now - now // 7 * 6]
+        rows += [(s, datetime.date(2020, 1, 1) + datetime.timedelta(rng.randint(0, 300)), "dividend", c / 100) for c in cents]
+        rows += [(s, datetime.date(2021, 3, 1) + datetime.timedelta(rng.randint(0, 200)), "dividend", c / 100) for c in parts]
+        want[s] = (float(s % 2), (now / 100) / (before / 100) - 1, (now / 100) / 50.0, 1.0)
+    rng.shuffle(rows)
+    actions = spark.createDataFrame(rows, "security_id long, date date, action_type string, value double")
+    grid = spark.createDataFrame([(s, datetime.date(2021, 12, 31), 50.0) for s in want], "security_id long, date date, close double")
+    cutoff = datetime.date(2021, 12, 31) - datetime.timedelta(743)
+    assert min(r[1] for r in rows) >= cutoff
+    got = {r.security_id: (r.div_cut, r.div_growth_1y, r.div_yield, r.pays_dividend) for r in ff.dividend_features(actions, grid).collect()}
+    assert got == want
+
+
 def test_dividend_due_of_every_security(spark, tiny):
     ex = {}
     for a in S.actions(spark, tiny).where("action_type = 'dividend'").collect():
