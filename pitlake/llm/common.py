@@ -32,14 +32,27 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: With it, Spark removes a query's shuffle files when it ends, not when the driver happens to collect garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def save(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write df as Parquet to the shared folder and read it again: a short lineage that outlives executors.
 
-    The table stays until the folder is cleared, since frames that read it are lazy.
+    The table stays until the folder is cleared, since frames that read it are lazy. The shuffle files of the write go at
+    once: no other query reads them, and those of many steps together would take more disk than any step.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -16,7 +16,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from pitlake.llm import bpe, charlm, exact_dedup, html_text, langid, lattice, neardup, packing, pii, quality, substring
+from pitlake.llm import bpe, charlm, common, exact_dedup, html_text, langid, lattice, neardup, packing, pii, quality, substring
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, keep_id long, row long, node string, kept string, found string, salt int, score double, bits double, lang_pred string, symbols long"
 
@@ -161,6 +161,30 @@ def test_near_dedup(docs, rows, empty):
     assert neardup.near_classes(empty).count() == 0
 
 
+def test_saved_steps_leave_no_shuffle_files(spark):
+    """They would stay until the driver collects garbage, those of all steps together; a frame can be saved again."""
+
+    def files():
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().iterator()
+        names = set()
+        while found.hasNext():
+            names.add(found.next().getName())
+        return {x for x in names if x.startswith("shuffle_")}
+
+    def gone(before):
+        end = time.time() + 10
+        while files() - before and time.time() < end:
+            time.sleep(0.2)
+        return not files() - before
+
+    df = spark.range(50_000).groupBy((F.col("id") % 10_007).alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    joined = df.join(df.hint("merge").withColumnRenamed("n", "m"), "k")
+    before, own = files(), spark.conf.get(common.CLEANUP, None)
+    saved = common.save(joined, "first")
+    assert gone(before) and spark.conf.get(common.CLEANUP, None) == own
+    assert saved.count() == joined.count() == common.save(joined, "second").count() == 10_007
+
+
 def test_near_dedup_large_family(spark):
     """A family of several hundred copies, linked by way of one another, in small blocks."""
     rng = random.Random(1)
